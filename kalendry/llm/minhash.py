@@ -116,7 +116,7 @@ def _sketch(batches, bands: int, rows: int, size: int):
         keys, bags = [], []
         for text in texts:
             words = (text or "").lower().split()
-            keys.append(xxhash.xxh3_128_hexdigest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None)
+            keys.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None)
             bags.append(multiset(words, cache, size))
         sig = np.concatenate([signatures(bags[i : i + 250], bands * rows) for i in range(0, len(bags), 250)]) if bags else np.zeros((0, bands * rows), np.uint32)
         band = np.zeros((len(bags), bands), np.uint64)
@@ -125,7 +125,7 @@ def _sketch(batches, bands: int, rows: int, size: int):
         band = mix(band + np.arange(bands, dtype=np.uint64) * _STEP).view(np.int64)
         byte = mix(sig.astype(np.uint64) + _STEP).astype(np.uint8)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(np.arange(len(bags) + 1) * bands, pa.int32()), pa.array(band.ravel(), pa.int64())), pa.array([x.tobytes() for x in byte], pa.binary())],
+            [batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(bags) + 1) * bands, pa.int32()), pa.array(band.ravel(), pa.int64())), pa.array([x.tobytes() for x in byte], pa.binary())],
             names=["row", "doc_id", "key", "bands", "sig"],
         )
 
@@ -136,9 +136,9 @@ def _unit_rows(batches, size: int):
         keys, out = [], []
         for text in batch.column("text").to_pylist():
             words = (text or "").lower().split()
-            keys.append(xxhash.xxh3_128_hexdigest(" ".join(words).encode("utf-8", "surrogatepass")))
+            keys.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
             out.append(units(*multiset(words, cache, size)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(out, pa.binary())], names=["key", "units"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["key", "units"])
 
 
 def _verified(batches, threshold: float):
@@ -172,7 +172,52 @@ def _block_links(table: pa.Table, threshold: float, registers: int) -> pa.Table:
                         if r["core"] == old:
                             r["core"] = new
                     root = {k: new if v == old else v for k, v in root.items()}
-    return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _near(batches, least: float, registers: int):
+    """(a, b, sig, other) -> the pairs whose signatures agree in enough registers."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, registers) for c in ("sig", "other"))
+        good = pa.array((x == y).mean(1) >= least)
+        yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], names=["a", "b"])
+
+
+def _near_keys(table: pa.Table, least: float, registers: int) -> pa.Table:
+    """Keys of one block that are near another key of their band by signature, unless one pivot explains both."""
+    rows = table.to_pylist()
+    left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+    out = set()
+    if left and right:
+        sig = np.frombuffer(b"".join(r["sig"] for r in right), np.uint8).reshape(len(right), registers)
+        for x in left:
+            near = [right[j]["key"] for j in np.nonzero((sig == np.frombuffer(x["sig"], np.uint8)).mean(1) >= least)[0]]
+            if near != [x["key"]]:
+                out.update(near)
+    return pa.table({"key": pa.array(sorted(out), pa.binary())})
+
+
+def _open_bands(member: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the bands that their pivot does not explain wholly; of bands with the same members, one.
+
+    Bands of two are done with the pivot. -> (band, key, pivot, core: linked to the pivot, n, open).
+    """
+    linked = links.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.lit(True).alias("core"))
+    state = member.where("n > 2").drop("n").join(linked, ["key", "pivot"], "left").withColumn("core", F.coalesce("core", F.col("key") == F.col("pivot")))
+    bands = state.groupBy("band").agg(F.sum((~F.col("core")).cast("long")).alias("open"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).where("open > 0 and n > 1")
+    once = bands.groupBy("members", "n", "open").agg(F.min("band").alias("band"))
+    return state.join(once.select("band", "n", "open"), "band")
+
+
+def _in_blocks(state: DataFrame):
+    """Groups of at most about BLOCK_A unexplained members (side 0) and BLOCK_B members of their band (side 1)."""
+    payload = [c for c in state.columns if c in ("sig", "units")]
+    i_blocks, j_blocks = F.ceil(F.col("open") / BLOCK_A).cast("long"), F.ceil(F.col("n") / BLOCK_B).cast("long")
+    spot = F.xxhash64("key", F.lit(7))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = state.where("not core").select("band", F.lit(0).alias("side"), "key", F.col("key").alias("core"), *payload, F.pmod(spot, i_blocks).alias("i"), every(j_blocks).alias("j"))
+    right = state.select("band", F.lit(1).alias("side"), "key", F.when(F.col("core"), F.col("pivot")).otherwise(F.col("key")).alias("core"), *payload, every(i_blocks).alias("i"), F.pmod(spot, j_blocks).alias("j"))
+    return left.union(right).groupBy("band", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -184,42 +229,41 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     prepare(spark)
     source = id_and_text(docs)
     sketch = materialize(
-        source.withColumn("row", row_key()).mapInArrow(lambda it: _sketch(it, bands, rows, size), "row long, doc_id long, key string, bands array<long>, sig binary"),
+        source.withColumn("row", row_key()).mapInArrow(lambda it: _sketch(it, bands, rows, size), "row long, doc_id long, key binary, bands array<long>, sig binary"),
         "minhash-sketch",
     )
-    texts = sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    member = materialize(texts.select("key", F.explode("bands").alias("band")), "minhash-bands")
+    texts = materialize(sketch.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "minhash-texts")
+    member = texts.select("key", F.explode("bands").alias("band"))
     pivots = member.groupBy("band").agg(F.min("key").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     member = materialize(member.join(pivots, "band"), "minhash-members")
-
-    wanted = member.select("key").distinct().join(texts.select("key", "rep", "sig"), "key")
-    wanted = materialize(wanted, "minhash-wanted")
-    named = wanted.select(F.col("rep")).distinct()
-    bodies = source.join(named, source.doc_id.eqNullSafe(named.rep), "left_semi").select("text").mapInArrow(lambda it: _unit_rows(it, size), "key string, units binary")
+    signed = texts.select("key", "sig")
+
+    # By signatures alone: members near their pivot, and in bands where some are not, who is near whom.
+    left, right = (signed.select(F.col("key").alias(k), F.col("sig").alias(v)) for k, v in (("a", "sig"), ("b", "other")))
+    near = member.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct().join(left, "a").join(right, "b").select("a", "b", "sig", "other")
+    near = materialize(near.mapInArrow(lambda it: _near(it, threshold - SLACK, bands * rows), "a binary, b binary"), "minhash-near")
+    state = _open_bands(member, near).join(signed, "key")
+    flagged = _in_blocks(state).applyInArrow(lambda t: _near_keys(t, threshold - SLACK, bands * rows), "key binary")
+    used = materialize(near.select(F.col("a").alias("key")).union(near.select("b")).union(flagged).distinct(), "minhash-used")
+
+    wanted = materialize(texts.select("key", "rep", "sig").join(used, "key"), "minhash-wanted")
+    named = wanted.select("rep").distinct()
+    bodies = source.join(named, source.doc_id.eqNullSafe(named.rep), "left_semi").select("text").mapInArrow(lambda it: _unit_rows(it, size), "key binary, units binary")
     bodies = materialize(bodies.join(wanted.select("key", "sig"), "key").dropDuplicates(["key"]), "minhash-units")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = bodies.select(F.col("key").alias("a"), F.col("units").alias("left"))
         right = bodies.select(F.col("key").alias("b"), F.col("units").alias("right"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(lambda it: _verified(it, threshold), "a string, b string")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(lambda it: _verified(it, threshold), "a binary, b binary")
 
-    first = materialize(verify(member.where("key != pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()), "minhash-links")
-
-    # Members that their band's pivot does not explain; bands of two are done with the pivot.
-    linked = first.select(F.col("a").alias("key"), F.col("b").alias("pivot"), F.lit(True).alias("core"))
-    state = member.where("n > 2").join(linked, ["key", "pivot"], "left").withColumn("core", F.coalesce("core", F.col("key") == F.col("pivot")))
-    open_bands = state.groupBy("band").agg(F.sum((~F.col("core")).cast("long")).alias("open"), F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("members")).where("open > 0")
-    once = open_bands.groupBy("members", "n", "open").agg(F.min("band").alias("band"))
-    state = materialize(state.drop("n").join(once.select("band", "n", "open"), "band").join(bodies, "key"), "minhash-open")
-    blocks_a, blocks_b = F.ceil(F.col("open") / BLOCK_A).cast("long"), F.ceil(F.col("n") / BLOCK_B).cast("long")
-    spot = F.xxhash64("key", F.lit(7))
-    tasks = state.where("not core").select("band", F.lit(0).alias("side"), "key", F.col("key").alias("core"), "sig", "units", F.pmod(spot, blocks_a).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks_b - 1)).alias("j"))
-    others = state.select("band", F.lit(1).alias("side"), "key", F.when(F.col("core"), F.col("pivot")).otherwise(F.col("key")).alias("core"), "sig", "units", F.explode(F.sequence(F.lit(0).cast("long"), blocks_a - 1)).alias("i"), F.pmod(spot, blocks_b).alias("j"))
-    second = tasks.union(others).groupBy("band", "i", "j").applyInArrow(lambda t: _block_links(t, threshold, bands * rows), "a string, b string")
+    first = materialize(verify(near), "minhash-links")
+    # What is near its pivot by signature but not in fact, or near others of its band only, is verified in blocks.
+    state = _open_bands(member.join(used, "key", "left_semi"), first).join(bodies, "key")
+    second = _in_blocks(state).applyInArrow(lambda t: _block_links(t, threshold, bands * rows), "a binary, b binary")
 
     roots = components(first.union(second), "minhash-components")
     known = sketch.select("row", "doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    known = materialize(known.select("row", "doc_id", F.coalesce("root", "key", F.concat(F.lit("row "), F.col("row").cast("string"))).alias("class_key")), "minhash-classes")
+    known = materialize(known.select("row", "doc_id", F.coalesce("root", "key", F.unhex(F.hex("row"))).alias("class_key")), "minhash-classes")
     classes = known.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return known.join(classes, "class_key").select("row", "doc_id", "class_key", "class_id", "class_size")
 

@@ -80,8 +80,8 @@ def test_blocks_link_what_the_pivot_misses():
     words = [str(x) for x in rng.integers(0, 10**9, 200)]
     near = words[:195] + ["z"] * 5
     rows = []
-    for key, w in (("a", words), ("b", near)):
+    for key, w in ((b"a", words), (b"b", near)):
         m = minhash.multiset(w, cache, 5)
         rows.append({"side": 0, "key": key, "core": key, "sig": minhash.signatures([m], 100).astype(np.uint8).tobytes(), "units": minhash.units(*m).tobytes()})
     table = pa.Table.from_pylist(rows + [r | {"side": 1} for r in rows])
-    assert {tuple(sorted(x.values())) for x in minhash._block_links(table, 0.8, 100).to_pylist()} == {("a", "b")}
+    assert {tuple(sorted(x.values())) for x in minhash._block_links(table, 0.8, 100).to_pylist()} == {(b"a", b"b")}
