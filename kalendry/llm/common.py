@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch that goes to Python: whole texts may be long, so batches are short.
 ARROW_ROWS = 1000
-#: Entries of a per-task word cache; a full cache is emptied, so memory stays bounded.
-CACHE_WORDS = 1 << 18
+#: Entries of one generation of a per-task word cache, so memory stays bounded.
+CACHE_WORDS = 1 << 17
 
 _own: dict[str, str] = {}
 
@@ -64,15 +64,19 @@ def crc_fold(modulus: int):
 
 
 class Cache(dict):
-    """word -> make(word), emptied when full."""
+    """word -> make(word), in two generations: a full one becomes the old one, and words found there come back."""
 
     def __init__(self, make, size: int = CACHE_WORDS):
-        self.make, self.size = make, size
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, word):
         if len(self) >= self.size:
+            self.old = dict(self)
             self.clear()
-        self[word] = out = self.make(word)
+        out = self.old.get(word)
+        if out is None:
+            out = self.make(word)
+        self[word] = out
         return out
 
 
