@@ -33,7 +33,7 @@ from kalendry.llm.common import Cache, id_and_text, prepare
 END = "</w>"
 #: Fixed: how the library spells bytes as letters (printable Latin-1 stays, the rest follow from 256 on).
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SPELL = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _KEPT)}
+SPELL = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _KEPT)}
 #: Fixed: white space as the vocabulary file's \\s has it.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 
@@ -144,7 +144,7 @@ class Codec:
     def _word(self, word: str) -> list[int]:
         if word.isascii() and word.isprintable():
             return self.vocabulary.word(word)
-        return self.vocabulary.word("".join(map(_SPELL.__getitem__, word.encode("utf-8", "surrogatepass"))))
+        return self.vocabulary.word("".join(map(SPELL.__getitem__, word.encode("utf-8", "surrogatepass"))))
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, the ids and their tokens as text, of a run of text without white space."""

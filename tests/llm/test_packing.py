@@ -57,13 +57,20 @@ def test_defined_cases(make_docs):
     assert [tuple(r)[1:] for r in packing.pack(make_docs([None]), PATH).collect()] == [(0, 1, zlib.crc32(bytes(4)), 1, 0, 0)]
 
 
-@pytest.mark.parametrize("capacity,sizes,demand,best", [(10, [3, 5, 7], [10, 10, 10], 15.0), (100, [26, 35, 49], [40, 40, 40], 44.0)])
+# best: the value of a feasible dual solution, (1/3, 1/2, 2/3) and (1/3, 1/3, 1/2)
+@pytest.mark.parametrize("capacity,sizes,demand,best", [(10, [3, 5, 7], [10, 10, 10], 15.0), (100, [26, 35, 49], [40, 40, 40], 140 / 3)])
 def test_column_generation_reaches_the_bound(capacity, sizes, demand, best):
     patterns, often = packing.cutting_stock(np.array(sizes), np.array(demand, float), capacity, gap=0)
     assert np.allclose(patterns @ often, demand) and (np.array(sizes) @ patterns <= capacity).all()
     assert often.sum() <= best + 1e-6
 
 
+def test_ids_equal_the_library():
+    texts = ["", "a  b\n\n c ", " lead", "<|endoftext|> x", "tab\tq\xa0\x1c\x85 n’s", "日本語 ⅷ \u209d", "Ωmega ñ", "don't I'LL 12345 !!??", "x" * 5000, "\r\n \n", "e\u0301\u200d"]
+    tokenizer = Tokenizer.from_file(PATH)
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.Ids(PATH).encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_most_items_go_by_patterns():
     rng = np.random.default_rng(1)
     sizes, demand = np.unique(rng.integers(1, 1024, 50_000), return_counts=True)
