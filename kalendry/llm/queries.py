@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kalendry.llm import bpe, fingerprint, minhash, packing
-from kalendry.llm.common import table
+from kalendry.llm import bpe, fingerprint, langid, minhash, packing, quality, toxicity
+from kalendry.llm.common import crc_fold, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,14 +19,34 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    return langid.predict(docs, crc_fold(4) == 2, path, langid.learn(docs.where(crc_fold(4) != 2), path))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    vectors = quality.word_vectors(docs)
+    network = quality.train(docs, labels.where(crc_fold(3) != 1).select("doc_id", F.col("quality").alias("label")), vectors)
+    return quality.score(docs, vectors, network, (crc_fold(3) == 1).alias("held_out")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, toxic (1: reject), p_toxic, p_junk: the chain goes from low quality to toxicity."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    vocabulary, chain = toxicity.learn(docs, labels.select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic"), ["junk", "toxic"])
+    p = toxicity.score(docs, vocabulary, chain)
+    return p.select("doc_id", (F.col("probabilities")[1] >= 0.5).cast("int").alias("toxic"), F.col("probabilities")[1].alias("p_toxic"), F.col("probabilities")[0].alias("p_junk"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

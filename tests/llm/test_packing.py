@@ -75,4 +75,4 @@ def test_most_items_go_by_patterns():
     rng = np.random.default_rng(1)
     sizes, demand = np.unique(rng.integers(1, 1024, 50_000), return_counts=True)
     plan = packing.Plan(sizes, demand, 1024)
-    assert plan.sequences - plan.stream < 0.02 * plan.sequences
+    assert plan.sequences - plan.stream <= len(sizes)  # rounding leaves less than one pattern of each column
