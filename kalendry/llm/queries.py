@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalendry.llm import bpe, fingerprint, langid, minhash, packing, quality, toxicity
-from kalendry.llm.common import crc_fold, table
+from kalendry.llm import bpe, fingerprint, langid, minhash, packing, quality, sharding, substring, topk, toxicity
+from kalendry.llm.common import crc_fold, new_folder, table
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, crc_fold(4) == 2, path, langid.learn(docs.where(crc_fold(4) != 2), path))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Appends the documents as small shards, compacts them, and reports every live shard from its rows."""
+    shards = sharding.ShardedTable(spark, new_folder(spark, "shards"))
+    shards.append(table(spark, sf_dir, "documents"))
+    shards.compact()
+    return sharding.shard_report(shards)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -39,6 +47,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, toxic (1: reject), p_toxic, p_junk: the chain goes from low quality to toxicity."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -47,9 +59,27 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("doc_id", (F.col("probabilities")[1] >= 0.5).cast("int").alias("toxic"), F.col("probabilities")[1].alias("p_toxic"), F.col("probabilities")[0].alias("p_junk"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each repeated passage: doc_id and its word places, and those of the earlier document it repeats."""
+    found = substring.repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc_b").alias("doc_id"), F.col("start_b").alias("start_word"), F.col("end_b").alias("end_word"), F.col("doc_a").alias("first_doc_id"), F.col("start_a").alias("first_start"), F.col("end_a").alias("first_end"))
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_exact_topk": TOPK_SQL}
