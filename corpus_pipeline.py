@@ -1,2 +1,74 @@
-STAGES = []
-def run(spark, sf_dir): raise NotImplementedError
+"""The corpus pipeline: toxicity, quality, near-duplicates, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes every
+stage's documents as Parquet in the shared folder and rereads them. Models are fitted to the whole
+`documents` and `labels` tables of sf_dir; each stage's own input decides everything else. Rows may repeat,
+and texts may be null or empty, as each operator's docstring defines. No stage is SQL: the tests hold the
+result against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from kalendry.llm import minhash, packing, quality, substring, toxicity
+from kalendry.llm.common import materialize, table
+
+ORACLE_SQL = None
+
+
+def _kept(docs: DataFrame, p: DataFrame, keep) -> DataFrame:
+    """The columns of docs, of rows whose score passes; scores travel with the row, so nothing is joined."""
+    return p.where(keep).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _carried(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] + [F.col("text").cast("string").alias("kept_text")]
+
+
+def _restored(docs: DataFrame, scored: DataFrame) -> DataFrame:
+    return scored.withColumnRenamed("kept_text", "text")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
+    vocabulary, chain = toxicity.learn(table(spark, sf_dir, "documents"), labels, ["junk", "toxic"])
+    scored = toxicity.score(docs, vocabulary, chain, *_carried(docs))
+    return _kept(docs, _restored(docs, scored), F.col("probabilities")[1] < 0.5)
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    vectors = quality.word_vectors(docs)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    network = quality.train(table(spark, sf_dir, "documents"), labels, vectors)
+    return _kept(docs, _restored(docs, quality.score(docs, vectors, network, *_carried(docs))), F.col("score") >= 0.5)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", drop_low_quality),
+    ("minhash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeats),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
