@@ -94,6 +94,16 @@ class ShardedTable:
         empty = not rows.sparkSession.read.parquet(folder).take(1) if len(fresh) <= 1 else False
         return self.commit(base, base.shards + (() if empty else fresh))
 
+    def _write_apart(self, merged: DataFrame, folder: str) -> None:
+        """Writes a union of one-task frames as so many tasks: Spark would else see equal partitionings and zip them into one."""
+        name = "spark.sql.unionOutputPartitioning"
+        before = self.spark.conf.get(name)
+        self.spark.conf.set(name, "false")
+        try:
+            merged.write.parquet(folder)
+        finally:
+            self.spark.conf.set(name, before)
+
     def tier(self, size: int) -> int:
         """How often the size can grow by the fanout before it reaches the target."""
         steps = 0
@@ -133,7 +143,7 @@ class ShardedTable:
                     one = self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1)
                     merged = one if merged is None else merged.union(one)
                     gone |= {s.path for s in run}
-                merged.write.parquet(folder)
+                self._write_apart(merged, folder)
                 level = 1 + max(s.level for run in runs for s in run)
                 fresh += [replace(s, level=level) for s in self._written(folder, level)]
             now = self.commit(now, tuple(s for s in now.shards if s.path not in gone) + tuple(fresh))

@@ -76,6 +76,7 @@ def test_sharding(spark, small_docs, tmp_path):
     before, base = t.current().version, t.current()
     done = t.compact()
     assert len(done.shards) < many and done.version > before
+    assert len(done.shards) > 1 and max(s.bytes for s in done.shards) <= 1.2 * t.target
     as_set = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
     assert as_set(t.read()) == as_set(small_docs)
     with pytest.raises(sharding.Conflict):
