@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 DAY = 86_400_000_000
 #: Fixed: zone texts that pages use, and what they mean there.
 ZONES = {
-    "aoe": "UTC-12", "anywhere on earth": "UTC-12",
     "edt": "UTC-4", "cdt": "UTC-5", "mdt": "UTC-6", "pdt": "UTC-7", "cest": "UTC+2", "bst": "UTC+1", "aest": "UTC+10", "aedt": "UTC+11",
     "et": "America/New_York", "est": "America/New_York", "eastern": "America/New_York",
     "ct": "America/Chicago", "cst": "America/Chicago", "central": "America/Chicago",
@@ -24,7 +23,8 @@ def zone_of(text: Column) -> Column:
     name = F.regexp_replace(F.lower(F.trim(text)), r"\s+time$", "")
     table = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
     passed = F.when(text.rlike(r"^(UTC|GMT|CET|EET|UTC[+-]\d{1,2}(:\d{2})?|[A-Z][A-Za-z]+/[A-Za-z_/+-]+)$"), text)
-    return F.coalesce(F.try_element_at(table, name), passed)
+    anywhere = F.when(text.rlike(r"(?i)aoe|anywhere\s+on\s+earth"), F.lit("UTC-12"))
+    return F.coalesce(anywhere, F.try_element_at(table, name), passed)
 
 
 def instant(local: Column, zone: Column) -> Column:

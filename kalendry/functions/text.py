@@ -21,31 +21,71 @@ def or_default(c: Column, default) -> Column:
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
 
 
-#: Fixed: elements whose content is not page text, and elements that end a line.
-HIDDEN = ("script", "style", "noscript", "svg", "nav", "header", "footer")
-BLOCKS = "p|div|li|tr|h[1-6]|section|article|ul|ol|table"
+#: Fixed: elements whose content is not page text, elements that end a line, and named characters.
+HIDDEN = ("script", "style", "noscript", "svg", "head", "nav", "footer")
+BLOCKS = "p|div|li|tr|table|h[1-6]|section|article"
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&ndash;", "-"), ("&mdash;", "-"), ("&amp;", "&"))
+
+
+def _character(piece: Column) -> Column:
+    """&#n; as its character; beyond Unicode and for surrogates the replacement character."""
+    n = F.regexp_extract(piece, r"^&#0*(\d{1,8});$", 1).try_cast("long")
+    real = (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    known = F.decode(F.unhex(F.lpad(F.hex(F.when(real, n).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+    return F.when(piece.rlike(r"^&#\d+;$"), F.coalesce(known, F.lit("\ufffd"))).otherwise(piece)
+
+
+def decoded(c: Column) -> Column:
+    """Decimal references first, then the eight names, so &#38;lt; ends as <; hexadecimal ones stay."""
+    pieces = F.transform(F.regexp_extract_all(c, F.lit(r"(?s)(&#\d+;|[^&]+|&)"), F.lit(1)), _character)
+    out = F.when(F.contains(c, F.lit("&#")), F.array_join(pieces, "")).otherwise(c)
+    for name, text in ENTITIES:
+        out = F.replace(out, F.lit(name), F.lit(text))
+    return out
 
 
 def html_text(html: Column) -> Column:
     """Visible text of a page: hidden elements and comments go, cells are set apart, blocks end lines."""
-    out = html
-    for name in HIDDEN:
-        out = F.regexp_replace(out, rf"(?is)<{name}\b[^>]*>.*?</{name}\s*>", " ")
+    out = F.regexp_replace(html, rf"(?is)<({'|'.join(HIDDEN)})\b.*?</\1\s*>", " ")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)</t[dh]\s*>", " | ")
-    out = F.regexp_replace(out, rf"(?i)<(br|hr)\b[^>]*>|</({BLOCKS})\s*>", "\n")
-    out = F.regexp_replace(out, r"<[^>]+>", " ")
-    for name, text in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(text))
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
+    out = F.regexp_replace(out, r"(?i)</t[dh]>", " | ")
+    out = F.regexp_replace(out, rf"(?i)<(br|hr)\b[^>]*>|</({BLOCKS})>", "\n")
+    out = F.regexp_replace(decoded(F.regexp_replace(out, r"<[^>]+>", " ")), r"[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"(?U)^\s+|\s+$", "")
 
 
 def links(html: Column) -> Column:
     """Array of (href, text) of anchors with a quoted address, in page order."""
-    anchor = F.lit(r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>""")
+    anchor = F.lit(r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a\s*>""")
     pairs = F.arrays_zip(F.regexp_extract_all(html, anchor, F.lit(1)).alias("href"), F.regexp_extract_all(html, anchor, F.lit(2)).alias("text"))
-    return F.transform(pairs, lambda p: F.struct(p["href"].alias("href"), F.trim(F.regexp_replace(F.regexp_replace(p["text"], r"<[^>]+>", " "), r"\s+", " ")).alias("text")))
+    return F.transform(pairs, lambda p: F.struct(p["href"].alias("href"), F.trim(F.regexp_replace(html_text(p["text"]), r"(?U)\s+", " ")).alias("text")))
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """An address relative to its page: absolute, //host, /path, ?query or a name beside the page (no dot segments)."""
+    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.when(page == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
+    return (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^/]*)", 1), href))
+        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("?"), F.concat(page, href))
+        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
+        .otherwise(F.concat(folder, href))
+    )
+
+
+def page_links(html: Column, base: Column, most: int = 200) -> Column:
+    """Array of (href, text): absolute, fetchable, with a text, each address once (its first), at most `most`.
+
+    `most` is the reader's own limit on a page's list.
+    """
+    full = F.transform(links(html), lambda p: F.struct(normal_url(resolved(p["href"], base)).alias("href"), p["text"].alias("text")))
+    usable = F.filter(full, lambda p: p["href"].isNotNull() & (p["text"] != "") & url_refusal(p["href"]).isNull())
+    pair = "array<struct<href:string,text:string>>"
+    once = F.aggregate(usable, F.array().cast(pair), lambda kept, p: F.when(F.exists(kept, lambda k: k["href"] == p["href"]), kept).otherwise(F.concat(kept, F.array(p)).cast(pair)))
+    return F.slice(once, 1, most)
 
 
 def normal_url(url: Column) -> Column:

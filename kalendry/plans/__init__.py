@@ -1 +1,6 @@
+"""The queries over the driver's tables, and their SQL."""
 
+from kalendry.plans import editions  # noqa: F401  (registers its queries)
+from kalendry.plans.queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]

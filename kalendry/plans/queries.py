@@ -213,30 +213,37 @@ def big_moves(spark, sf_dir):
     return merge.big_moves(merge.change_log(*_upsert_sides(spark, sf_dir), "id", ["deadline"]), ["deadline"]).select("id", "days")
 
 
-def _html_sql() -> str:
-    x = "html"
-    for name in tx.HIDDEN:
-        x = rf"regexp_replace({x}, '<{name}\b[^>]*>.*?</{name}\s*>', ' ', 'gis')"
+def _html_sql(x: str) -> str:
+    """Visible text in RE2, which has no backreference: one replacement for each hidden element."""
+    for name in ("head", *(n for n in tx.HIDDEN if n != "head")):
+        x = rf"regexp_replace({x}, '<{name}\b.*?</{name}\s*>', ' ', 'gis')"
     x = rf"regexp_replace({x}, '<!--.*?-->', ' ', 'gs')"
-    x = rf"regexp_replace({x}, '</t[dh]\s*>', ' | ', 'gi')"
-    x = rf"regexp_replace({x}, '<(br|hr)\b[^>]*>|</({tx.BLOCKS})\s*>', chr(10), 'gi')"
+    x = rf"regexp_replace({x}, '</t[dh]>', ' | ', 'gi')"
+    x = rf"regexp_replace({x}, '<(br|hr)\b[^>]*>|</({tx.BLOCKS})>', chr(10), 'gi')"
     x = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
-    for name, text in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{text}')"
+    for name, text in tx.ENTITIES:
+        x = f"replace({x}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')"
     x = rf"regexp_replace({x}, '[ \t]+', ' ', 'g')"
-    return rf"SELECT page_id, regexp_replace(regexp_replace({x}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS text FROM pages"
+    return rf"regexp_replace(regexp_replace({x}, ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
-@query(_html_sql())
+@query(f"SELECT page_id, {_html_sql('html')} AS text FROM pages")
 def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
 
 
-@query(r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a\s*>', 1, 'is')) AS href,
- unnest(regexp_extract_all(html, '<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["''][^>]*>(.*?)</a\s*>', 2, 'is')) AS t FROM pages)
-SELECT page_id, href, trim(regexp_replace(regexp_replace(t, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM l""")
+_ANCHOR = r"""'<a\b[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a\s*>'"""
+
+
+@query(rf"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, {_ANCHOR}, 1, 'is')) AS href, unnest(regexp_extract_all(html, {_ANCHOR}, 2, 'is')) AS t,
+ unnest(range(len(regexp_extract_all(html, {_ANCHOR}, 1, 'is')))) AS i FROM pages),
+f AS (SELECT page_id, i, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || href ELSE href END AS href, trim(regexp_replace({_html_sql("t")}, '\s+', ' ', 'g')) AS text FROM l),
+n AS (SELECT page_id, i, CASE WHEN regexp_matches(href, '^https?://[^/]*/$') THEN href ELSE regexp_replace(regexp_replace(href, '#.*$', ''), '/$', '') END AS href, text FROM f WHERE text <> '' AND regexp_matches(href, '^https?:')),
+d AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY i) AS r FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place FROM d WHERE r = 1)
+SELECT page_id, href, text FROM k WHERE place <= 200""")
 def extract_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.explode(tx.links(F.col("html"))).alias("l")).select("page_id", "l.href", "l.text")
+    found = tx.page_links(F.col("html"), F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("l")).select("page_id", "l.href", "l.text")
 
 
 @query(r"""WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS b, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS head FROM pages)

@@ -19,6 +19,25 @@ def active(events: DataFrame) -> DataFrame:
     return latest(events).where("joined").select("channel", F.col("at").alias("since"))
 
 
+def active_of_teams(events: DataFrame) -> DataFrame:
+    """events(channel, team, at, seq, kind: joined, left or removed) -> channels that are subscribed.
+
+    `removed` takes a whole team out (its channel is null): what joined before goes, what joins later stays. Both
+    sides are reduced to a row a channel and a row a team before they meet, so no team's channels are gathered.
+    """
+    last = events.where(F.col("kind") != "removed").groupBy("channel").agg(F.max(F.struct("at", "seq", "kind", "team")).alias("e")).select("channel", "e.*").where("kind = 'joined'")
+    gone = events.where(F.col("kind") == "removed").groupBy("team").agg(F.max(F.struct("at", "seq")).alias("gone"))
+    met = last.join(gone, "team", "left")
+    return met.where(F.col("gone").isNull() | (F.struct("at", "seq") > F.col("gone"))).select("channel", "team", F.col("at").alias("since"))
+
+
+def after_failures(active_: DataFrame, failures: DataFrame) -> DataFrame:
+    """active without the channels that sending found gone, and without teams whose access has ended."""
+    of_team = failures.where(F.col("error").isin("account_inactive", "token_revoked")).select("team").distinct()
+    of_channel = failures.where(F.col("error").isin("channel_not_found", "is_archived", "not_in_channel")).select("channel").distinct()
+    return active_.join(of_team, "team", "left_anti").join(of_channel, "channel", "left_anti")
+
+
 def stream(spark: SparkSession, events: DataFrame, folder: str) -> DataFrame:
     """Runs the stream over what is there and returns the state; folder is in the cluster's shared storage."""
 

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from kalendry.plans.queries import QUERIES, SQL
+from kalendry.plans import QUERIES, SQL
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
