@@ -115,19 +115,6 @@ def test_windows_equal_brute_force():
         assert set(substring.windows(v, 6)) == want
 
 
-@pytest.mark.parametrize("limit", [1, 3, 20])
-def test_spread_runs_equal_gathered_runs(spark, limit):
-    rng = random.Random(limit)
-    doc_of = [rng.choice([None, 1, 2, *range(3, 30)]) for _ in range(40)]  # a row is of one document
-    rows = [(rng.choice([1, 1, 1, 2, 3, rng.randrange(10, 99)]), rng.randrange(3), doc_of[r := rng.randrange(40)], r, rng.randrange(5) << 36) for _ in range(400)]
-    rows += rows[:20]
-    df = spark.createDataFrame(rows, "value long, follow long, doc_id long, row long, packed long")
-    gathered = df.repartition("value").sortWithinPartitions("value", "follow", F.col("doc_id").asc_nulls_first(), "row", "packed").mapInArrow(substring._stars, substring._PAIR + ", at_a long, at_b long")
-    as_set = lambda d: {tuple(r) for r in d.collect()}
-    assert as_set(substring.stars(df, share=10**9, least=limit)) == as_set(gathered)
-    assert substring.stars(df.limit(0)).count() == 0
-
-
 def test_passages(make_docs):
     rng = random.Random(6)
     word = lambda: f"w{rng.randrange(10**7)}"
