@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kalendry.operators import documents, evidence, merge
+from kalendry.operators import budget, documents, evidence, merge, quality
 from kalendry.plans.queries import _A, _EV, _SPANS, _TS, at, orders, query, table, text_of, with_dates
 from kalendry.sources import portal
 from kalendry.streaming import subscriptions
@@ -187,3 +187,45 @@ def preferences_upsert(spark, sf_dir):
     changes = table(spark, sf_dir, "orders").where(o % 7 > 0).select(o).distinct().select(o.alias("user"), F.when(o % 4 == 0, True).when(o % 4 == 1, False).alias("enabled"), F.when(o % 6 == 0, "CET").alias("timezone"), F.lit(None).cast("array<bigint>").alias("reminder_days"), F.lit(None).cast("array<string>").alias("subjects"))
     out = merge.preferences(current, changes, at())
     return out.select("user", "enabled", "timezone", F.array_join(F.col("reminder_days").cast("array<string>"), ",").alias("days"), text_of("updated_at").alias("updated_at"))
+
+
+@query("""WITH t AS (SELECT conv_id, turn, sum(len(text)) OVER (PARTITION BY conv_id ORDER BY turn RANGE UNBOUNDED PRECEDING) AS spent FROM conversations)
+SELECT conv_id, min(turn) AS stopped_at, CAST(arg_min(spent, turn) AS BIGINT) AS spent FROM t WHERE spent > 1000 GROUP BY conv_id""")
+def budget_stops(spark, sf_dir):
+    steps = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").alias("tokens"))
+    return budget.stops(steps, "conv_id", "turn", "tokens", 1000)
+
+
+_RULES = """('title missing', 'E', k % 17 = 0), ('timezone', 'E', k % 5 = 0), ('deadline malformed', 'E', k % 6 IN (1, 2)), ('start malformed', 'E', k % 8 = 1), ('deadline_status', 'E', k % 9 = 0),
+ ('sync_pin', 'E', k % 10 IN (1, 2)), ('year', 'E', k % 11 = 0), ('hindex', 'E', k % 12 IN (0, 1)), ('subject', 'E', k % 13 = 0), ('type', 'E', k % 14 = 0), ('id ending', 'W', k % 15 = 0), ('id case', 'W', k % 16 = 0),
+ ('start after end', 'E', k % 8 = 2), ('abstract after paper', 'W', k % 6 = 3), ('link unreadable', 'W', k % 18 = 0), ('unknown field', 'W', k % 19 = 0)"""
+
+
+@query(f"WITH o AS (SELECT o_orderkey AS k FROM orders) SELECT CAST(k AS VARCHAR) AS id, rule, severity FROM o, LATERAL (VALUES {_RULES}) AS r(rule, severity, bad) WHERE bad")
+def catalogue_findings(spark, sf_dir):
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    t, none = F.col("o_orderdate").cast("timestamp"), F.lit(None).cast("string")
+    text = lambda at_: F.date_format(at_, "yyyy-MM-dd HH:mm")
+    year = F.date_format(t, "yyyy")
+    columns = {
+        "key": k.cast("string"),
+        "title": F.when(k % 17 > 0, "t").otherwise(""),
+        "year": F.when(k % 11 > 0, year).otherwise(F.concat(F.lit("30"), F.right(year, F.lit(2)))),
+        "id": F.concat(F.when(k % 16 > 0, "x").otherwise("X"), F.when(k % 15 > 0, F.right(year, F.lit(2))).otherwise("z")),
+        "timezone": F.when(k % 5 > 0, F.when(k % 2 > 0, "Europe/Paris").otherwise("UTC-12")).otherwise("Mars/Base"),
+        "deadline": F.when(k % 6 == 1, "2026-02-31 10:00").when(k % 6 == 2, F.concat(text(t), F.lit("Z"))).otherwise(text(t)),
+        "abstract_deadline": F.when(k % 6 == 3, text(t + F.expr("interval 1 minute"))).otherwise(text(t)),
+        "start": F.when(k % 8 == 1, "2026-6-1").when(k % 8 == 2, _iso(F.date_add(t.cast("date"), 1))).otherwise(_iso(t)),
+        "end": _iso(t),
+        "deadline_status": F.when(k % 9 == 0, "soon").otherwise("tba"),
+        "sync_pin": F.when(k % 10 == 1, F.array().cast("array<string>")).when(k % 10 == 2, F.array(F.lit("title"))).otherwise(F.array(F.lit("place"))),
+        "hindex": F.when(k % 12 == 0, "-1").when(k % 12 == 1, "many").otherwise("7"),
+        "sub": F.when(k % 13 == 0, F.array(F.lit("ML"), F.lit("Art"))).otherwise(F.array(F.lit("ML"), F.lit("CV"))),
+        "type": F.when(k % 14 == 0, "party").otherwise("summit"),
+        "link": F.when(k % 18 == 0, "http://").otherwise("site.org/a"),
+        "paperslink": none,
+        "pwclink": none,
+    }
+    raw = F.map_from_arrays(F.array(F.lit("sync_pin"), F.lit("hindex"), F.when(k % 19 == 0, "color").otherwise("id")), F.array(F.lit(""), F.lit(""), F.lit("")))
+    rows = o.select(raw.alias("raw"), *[c.alias(n) for n, c in columns.items()])
+    return quality.findings(rows, F.col("key"), quality.catalogue_rules())

@@ -5,7 +5,7 @@ import glob
 import pytest
 from pyspark.sql import functions as F
 
-from kalendry.operators import documents, merge
+from kalendry.operators import budget, documents, merge, quality
 from kalendry.sources import catalogue
 from kalendry.streaming import subscriptions
 
@@ -115,3 +115,17 @@ def test_failures_end_subscriptions(spark):
     active = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "u"), ("d", "v")], "channel string, team string")
     failed = spark.createDataFrame([("a", "t", "is_archived"), ("c", "u", "token_revoked"), ("d", "v", "ratelimited")], "channel string, team string, error string")
     assert sorted(r.channel for r in subscriptions.after_failures(active, failed).collect()) == ["b", "d"]
+
+
+def test_catalogue_rules_on_files(spark, rows):
+    found = quality.findings(rows, F.col("id"), quality.catalogue_rules())
+    got = {(r.id, r.rule) for r in found.collect()}
+    assert ("four27", "year missing") in got and ("one26", "subject") in got and not any(i == "two27" and r in ("sync_pin", "id ending") for i, r in got)
+    assert not quality.verdict(found).first().passed and quality.verdict(found.limit(0)).first().passed
+
+
+def test_budget_limits_fall_inside_later_blocks(spark):
+    steps = spark.range(2000).selectExpr("id % 2 as run", "id div 2 as seq", "case when id = 1 then null else 1 end as tokens")
+    got = {r.run: (r.stopped_at, r.spent) for r in budget.stops(steps, "run", "seq", "tokens", 600).collect()}
+    assert got == {0: (600, 601), 1: (601, 601)}
+    assert budget.stops(steps, "run", "seq", "tokens", 1000).count() == 0
