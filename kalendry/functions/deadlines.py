@@ -69,6 +69,14 @@ def remaining(days: Column) -> Column:
     )
 
 
+def due_in(days: Column) -> Column:
+    return F.when(days < 0, "Expired").when(days == 0, "Due today!").otherwise(F.concat(remaining(days), F.lit(" left")))
+
+
+def starting_in(days: Column) -> Column:
+    return F.when(days <= 0, "starting today").otherwise(F.concat(F.lit("in "), remaining(days)))
+
+
 def date_range(start: Column, end: Column) -> Column:
     """Dec 6-12, 2026 / Nov 30 - Dec 5, 2025 / Dec 28, 2026 - Jan 2, 2027."""
     f = F.date_format

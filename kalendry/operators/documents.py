@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kalendry.functions import deadlines as dl
+
 
 def calendar_events(rows: DataFrame) -> DataFrame:
     """rows(id, title, year, full_name, place, link, start, end, abstract_at, deadline_at; the last two as UTC
@@ -20,7 +22,7 @@ def calendar_events(rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
 
     def entry(part: int, kind: str, there: Column, summary: Column, about: Column, place: Column, first: Column, last: Column) -> Column:
-        uid = F.concat(F.lit(f"{kind}-"), F.col("id").cast("string"), F.lit("@conference-deadlines"))
+        uid = F.concat(F.lit(f"{kind}-"), F.col("id").cast("string"), F.lit("@kalendry"))
         return F.when(there, F.struct(F.lit(part).alias("part"), uid.alias("uid"), summary.alias("summary"), about.alias("description"), place.alias("location"), first.alias("first"), last.alias("last")))
 
     day = lambda c: F.date_format(c, "yyyyMMdd")
@@ -63,7 +65,7 @@ def calendar(rows: DataFrame, ord_: str, stamp: Column) -> DataFrame:
     spark = rows.sparkSession
     places = rows.select(F.col("id"), F.col(ord_).cast("long").alias("__at"))
     body = calendar_events(rows).join(places, "id").select(F.lit(1).alias("section"), (F.col("__at") * 3 + F.col("part")).alias("seq"), calendar_block(stamp).alias("line"))
-    head = _fixed(spark, 0, "BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//Conference Deadlines//kalendry//EN", "CALSCALE:GREGORIAN")
+    head = _fixed(spark, 0, "BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//kalendry//EN", "CALSCALE:GREGORIAN")
     return head.unionByName(body).unionByName(_fixed(spark, 2, "END:VCALENDAR"))
 
 
@@ -111,3 +113,61 @@ def digest(sections: list[tuple[str, DataFrame]], most: int = 10) -> DataFrame:
         parts.append(best.select(F.posexplode("top").alias("p", "r")).select(*at(F.col("p") + 1, F.col("r.line"))))
         parts.append(n.where(F.col("n") > most).select(*at(F.lit(most + 1), F.concat(F.lit("+ "), (F.col("n") - most).cast("string"), F.lit(" more")))))
     return reduce(DataFrame.union, parts)
+
+
+#: Fixed: assumed prices of a million tokens.
+PRICE_IN, PRICE_OUT = 0.75, 4.5
+
+
+def usage_sections(quotes: DataFrame, usage: DataFrame) -> DataFrame:
+    """A run's evidence and use of tokens: quotes(seq, id, field, quote, url), usage(seq, venue, tier or null,
+    submitted, tokens_in, tokens_out). Quotes lose line breaks, have their bars escaped and end at 200 characters.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    quote = F.left(F.trim(F.regexp_replace(F.regexp_replace(text("quote"), r"(?U)\s+", " "), r"\|", r"\\|")), F.lit(200))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", text("id"), text("field"), quote, text("url")), F.lit(" |"))
+    tier = F.concat(F.lit("tier "), F.col("tier").cast("string"))
+    where = F.when(F.col("tier").isNull(), "failed").when(F.col("submitted"), tier).otherwise(F.concat(tier, F.lit(", found nothing")))
+    each = F.concat(F.lit("- "), text("venue"), F.lit(": "), where, F.lit(", "), (F.col("tokens_in") + F.col("tokens_out")).cast("string"), F.lit(" tokens"))
+    sums = usage.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out")])
+    cost = (F.col("tokens_in") * PRICE_IN + F.col("tokens_out") * PRICE_OUT) / 1_000_000
+    total = F.concat(F.lit("Total: "), F.col("tokens_in").cast("string"), F.lit(" input + "), F.col("tokens_out").cast("string"), F.lit(" output tokens, est. $"), F.format_string("%.3f", cost))
+    last = sums.select(F.posexplode(F.array(F.lit(""), total, F.lit(""))).alias("seq", "line")).select(F.lit(3).alias("section"), F.col("seq").cast("long"), "line")
+    return reduce(
+        DataFrame.union,
+        [
+            _section(0, ["### Evidence", "", "| Entry | Field | Source quote | Page |", "|---|---|---|---|"], quotes, row),
+            _fixed(usage.sparkSession, 1, "### Usage", ""),
+            usage.select(F.lit(2).alias("section"), F.col("seq").cast("long"), each.alias("line")),
+            last,
+        ],
+    )
+
+
+#: Fixed: marks of subjects and of days left.
+SUBJECT_MARKS = {
+    "ML": "🤖", "CV": "👁️", "NLP": "💬", "DM": "📊", "HCI": "🖱️", "SEC": "🔒", "SE": "⚙️", "AI": "🧠", "Global Health": "🏥", "Health AI": "🏥",
+}
+SUBJECT_NAMES = {
+    "ML": "Machine Learning", "CV": "Computer Vision", "NLP": "Natural Language Processing", "DM": "Data Mining", "HCI": "Human-Computer Interaction",
+    "SEC": "Security", "SE": "Software Engineering", "AI": "Artificial Intelligence",
+}
+URGENCY_MARKS = {"urgent": "🔴", "soon": "🟡", "month": "🟢", "later": "📅"}
+
+
+def _mapped(table: dict, key: Column, other: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key), other)
+
+
+def card(kind: str) -> Column:
+    """The lines on one event, joined by line breaks: kind deadline (needs label, at) or event (place, at).
+
+    Columns title, year, sub (array), days_left; unknown subjects are shown by their code.
+    """
+    tag = F.array_join(F.transform("sub", lambda s: F.concat(_mapped(SUBJECT_MARKS, s, F.lit("📌")), F.lit(" "), _mapped(SUBJECT_NAMES, s, s))), ", ")
+    head = F.concat(_mapped(URGENCY_MARKS, dl.urgency(F.col("days_left")), F.lit("")), F.lit(" *"), F.col("title"), F.lit(" "), F.col("year").cast("string"), F.lit("*  "), tag)
+    day = F.date_format("at", "MMM d, yyyy")
+    if kind == "deadline":
+        return F.concat_ws("\n", head, F.concat(F.lit("📝 "), F.col("label"), F.lit(": *"), day, F.lit("*")), F.concat(F.lit("⏰ "), dl.due_in(F.col("days_left"))))
+    place = F.when(F.nullif("place", F.lit("")).isNotNull(), F.concat(F.lit("📍 "), F.col("place")))
+    return F.concat_ws("\n", head, place, F.concat(F.lit("📆 Starts *"), day, F.lit("* · "), dl.starting_in(F.col("days_left"))))

@@ -128,7 +128,7 @@ def first_validated_tier(spark, sf_dir):
 
 
 @query(f"""WITH {_EV}, {_SPANS}, r AS (SELECT id, year, title, s, e, next_at, CASE id % 4 WHEN 0 THEN NULL ELSE 'Order, no; ' || id END AS f FROM ev LEFT JOIN sp USING (id))
-SELECT id, part, CAST(array_to_string(list_filter(['BEGIN:VEVENT', 'UID:' || k || '-' || id || '@conference-deadlines', 'DTSTAMP:20000615T120000Z', 'DTSTART' || a, 'DTEND' || b, 'SUMMARY:' || pre || title || ' ' || year, 'DESCRIPTION:' || about || replace(replace(f, ',', '\\,'), ';', '\\;'), 'LOCATION:' || place, 'URL:http://x/' || id, 'END:VEVENT'], lambda x: x IS NOT NULL), chr(13) || chr(10)) AS VARCHAR) AS block
+SELECT id, part, CAST(array_to_string(list_filter(['BEGIN:VEVENT', 'UID:' || k || '-' || id || '@kalendry', 'DTSTAMP:20000615T120000Z', 'DTSTART' || a, 'DTEND' || b, 'SUMMARY:' || pre || title || ' ' || year, 'DESCRIPTION:' || about || replace(replace(f, ',', '\\,'), ';', '\\;'), 'LOCATION:' || place, 'URL:http://x/' || id, 'END:VEVENT'], lambda x: x IS NOT NULL), chr(13) || chr(10)) AS VARCHAR) AS block
 FROM r, LATERAL (VALUES (0, 'conf', ';VALUE=DATE:' || strftime(s, '%Y%m%d'), ';VALUE=DATE:' || strftime(e + INTERVAL 1 DAY, '%Y%m%d'), '', '', 'here'), (2, 'deadline', ':' || strftime(next_at, '%Y%m%dT%H%M%SZ'), ':' || strftime(next_at + INTERVAL 1 HOUR, '%Y%m%dT%H%M%SZ'), 'Paper Deadline: ', 'Paper submission deadline for ', NULL)) AS v(part, k, a, b, pre, about, place) WHERE a IS NOT NULL""")
 def calendar_blocks(spark, sf_dir):
     named = F.when(F.col("id") % 4 > 0, F.concat(F.lit("Order, no; "), F.col("id").cast("string")))
@@ -229,3 +229,18 @@ def catalogue_findings(spark, sf_dir):
     raw = F.map_from_arrays(F.array(F.lit("sync_pin"), F.lit("hindex"), F.when(k % 19 == 0, "color").otherwise("id")), F.array(F.lit(""), F.lit(""), F.lit("")))
     rows = o.select(raw.alias("raw"), *[c.alias(n) for n, c in columns.items()])
     return quality.findings(rows, F.col("key"), quality.catalogue_rules())
+
+
+_WAIT = "CASE WHEN n < 7 THEN n || CASE WHEN n = 1 THEN ' day' ELSE ' days' END WHEN n < 30 THEN (n // 7) || CASE WHEN n // 7 = 1 THEN ' week' ELSE ' weeks' END ELSE (n // 30) || CASE WHEN n // 30 = 1 THEN ' month' ELSE ' months' END END"
+
+
+@query(f"""WITH {_EV}, d AS (SELECT id, title, year, next_at, {_LEFT} AS n FROM ev WHERE next_at IS NOT NULL),
+h AS (SELECT *, CASE WHEN n <= 3 THEN '🔴' WHEN n <= 7 THEN '🟡' WHEN n <= 30 THEN '🟢' ELSE '📅' END || ' *' || title || ' ' || year || '*  ' || CASE WHEN id % 2 = 0 THEN '🤖 Machine Learning, ' ELSE '' END || '📌 ' || title AS head, strftime(next_at, '%b %-d, %Y') AS day FROM d)
+SELECT id, head || chr(10) || '📝 Paper Submission: *' || day || '*' || chr(10) || '⏰ ' || CASE WHEN n < 0 THEN 'Expired' WHEN n = 0 THEN 'Due today!' ELSE {_WAIT} || ' left' END AS deadline_card,
+ head || chr(10) || CASE WHEN id % 3 = 0 THEN '📍 Here' || chr(10) ELSE '' END || '📆 Starts *' || day || '* · ' || CASE WHEN n <= 0 THEN 'starting today' ELSE 'in ' || {_WAIT} END AS event_card FROM h""")
+def event_cards(spark, sf_dir):
+    left = F.ceil((F.unix_micros("next_at") - F.unix_micros(at())) / 86_400_000_000.0)
+    rows = orders(spark, sf_dir).where("next_at is not null")
+    sub = F.when(F.col("id") % 2 == 0, F.array(F.lit("ML"), "title")).otherwise(F.array("title"))
+    rows = rows.select("id", "title", "year", sub.alias("sub"), left.alias("days_left"), F.col("next_at").alias("at"), F.lit("Paper Submission").alias("label"), F.when(F.col("id") % 3 == 0, "Here").otherwise("").alias("place"))
+    return rows.select("id", documents.card("deadline").alias("deadline_card"), documents.card("event").alias("event_card"))

@@ -129,3 +129,15 @@ def test_budget_limits_fall_inside_later_blocks(spark):
     got = {r.run: (r.stopped_at, r.spent) for r in budget.stops(steps, "run", "seq", "tokens", 600).collect()}
     assert got == {0: (600, 601), 1: (601, 601)}
     assert budget.stops(steps, "run", "seq", "tokens", 1000).count() == 0
+
+
+def test_usage_sections(spark):
+    quotes = spark.createDataFrame([(0, "a26", "deadline", " May 1\n| x ", "http://a")], "seq int, id string, field string, quote string, url string")
+    usage = spark.createDataFrame([(0, "A", 1, True, 1000, 200), (1, "B", 2, False, 10, 0), (2, "C", None, False, 0, 0)], "seq int, venue string, tier int, submitted boolean, tokens_in long, tokens_out long")
+    lines = [r.line for r in documents.usage_sections(quotes, usage).orderBy("section", "seq").collect()]
+    assert lines == [
+        "### Evidence", "", "| Entry | Field | Source quote | Page |", "|---|---|---|---|", "| a26 | deadline | May 1 \\| x | http://a |", "",
+        "### Usage", "", "- A: tier 1, 1200 tokens", "- B: tier 2, found nothing, 10 tokens", "- C: failed, 0 tokens", "", "Total: 1010 input + 200 output tokens, est. $0.002", "",
+    ]
+    none = documents.usage_sections(quotes.limit(0), usage.limit(0)).orderBy("section", "seq").collect()
+    assert [r.line for r in none] == ["### Usage", "", "", "Total: 0 input + 0 output tokens, est. $0.000", ""]
