@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from kalendry.llm.common import hashed, id_and_text, materialize, mix, prepare, row_key, shingles, word_hashes
 
 SHINGLE, LEAST, THRESHOLD = 5, 50, 0.8
-HASHES, AGREE, GAP, GRID = 4, 2, 10, 64
+HASHES, AGREE, GAP, GRID = 5, 1, 10, 64
 _WORD = re.compile(r"\S+")
 _PAIR = "row_a long, doc_a long, row_b long, doc_b long"
 
@@ -72,7 +72,7 @@ def windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
 
 
 def _window_rows(batches, least: int):
-    """(row, doc_id, text) -> (value, doc_id, row, packed): centre 28 bits, reach 7 + 7, hash 2, next shingle 20."""
+    """(row, doc_id, text) -> (value, doc_id, row, packed): centre 28 bits, reach 7 + 7, hash 3, next shingle 19."""
     cache, reach = word_hashes(), 2 * least
     for batch in batches:
         out = []
@@ -88,8 +88,8 @@ def _window_rows(batches, least: int):
                     if c - last.get(value, -least) < least // 2:
                         continue  # a text that repeats itself: near enough to its last window of this value
                     last[value] = c
-                    follow = int(base[c + 1]) & 0xFFFFF if c + 1 < len(base) else 0
-                    packed = c << 36 | min(c - left, reach) << 29 | min(right - c, reach) << 22 | h << 20 | follow
+                    follow = int(base[c + 1]) & 0x7FFFF if c + 1 < len(base) else 0
+                    packed = c << 36 | min(c - left, reach) << 29 | min(right - c, reach) << 22 | h << 19 | follow
                     out.append((value - (1 << 64) if value >> 63 else value, doc, row, packed))
         columns = list(zip(*out, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["value", "doc_id", "row", "packed"])
@@ -122,7 +122,7 @@ def joined_intervals(at: list[tuple[int, int]]) -> list[tuple[int, int, int, int
     found = []
     for a, b in at:
         ca, cb = a >> 36, b >> 36
-        found.append((ca - cb, cb - (b >> 29 & 127), cb + (b >> 22 & 127), ca - (a >> 29 & 127), ca + (a >> 22 & 127), b >> 20 & 3))
+        found.append((ca - cb, cb - (b >> 29 & 127), cb + (b >> 22 & 127), ca - (a >> 29 & 127), ca + (a >> 22 & 127), b >> 19 & 7))
     found.sort()
     out: list[list] = []
     groups: list[list] = []
@@ -218,7 +218,7 @@ def repeats(docs: DataFrame, least_words: int = LEAST, threshold: float = THRESH
     least = least_words - SHINGLE + 1
     source = id_and_text(docs).withColumn("row", row_key())
     found = source.mapInArrow(lambda it: _window_rows(it, least), "value long, doc_id long, row long, packed long")
-    runs = found.repartition("value").withColumn("follow", F.col("packed").bitwiseAND(0xFFFFF)).sortWithinPartitions("value", "follow", F.col("doc_id").asc_nulls_first(), "row", "packed")
+    runs = found.repartition("value").withColumn("follow", F.col("packed").bitwiseAND(0x7FFFF)).sortWithinPartitions("value", "follow", F.col("doc_id").asc_nulls_first(), "row", "packed")
     pairs = runs.select("value", "follow", "doc_id", "row", "packed").mapInArrow(_stars, _PAIR + ", at_a long, at_b long")
     pairs = pairs.groupBy("row_a", "doc_a", "row_b", "doc_b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("at"))
     spans = materialize(pairs.mapInArrow(_stretches, _PAIR + ", from_a long, to_a long, from_b long, to_b long").distinct(), "substring-stretches")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,22 @@ def test_passages(make_docs):
     assert substring.repeats(docs.limit(0)).count() == 0
 
 
+
+def test_passages_of_likeness_near_the_threshold_are_candidates():
+    rng, lost = random.Random(8), 0
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    for _ in range(1000):  # one changed word: 41 of 46 shingles are shared, likeness 0.804
+        passage = words(50)
+        texts = [" ".join(words(26) + p + words(26)) for p in (passage, passage[:24] + words(1) + passage[25:])]
+        rows = pa.table({"row": [0, 1], "doc_id": [0, 1], "text": texts}).to_batches()
+        by = {}
+        for b in substring._window_rows(rows, 46):
+            for value, row, packed in zip(*(b.column(c).to_pylist() for c in ("value", "row", "packed")), strict=True):
+                by.setdefault(value, {})[row] = packed
+        lost += not substring.joined_intervals([(v[0], v[1]) for v in by.values() if len(v) == 2])
+    assert lost == 0
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     toxic = corpus_pipeline.drop_toxic(spark, docs, SF)
