@@ -7,9 +7,10 @@ window (left, centre, right) stands for all of them. Only places that are the mi
 long as the shortest passage count (about two of every `least` shingles); the tree over these alone has
 the same windows. Windows with equal values meet in sorted runs, each joined to the first document of its
 run and of its run of equal next shingles, so a passage in n documents costs n rows, never pairs of all.
-Within a pair of documents the windows' intervals are joined along their diagonal, and stretches that at
-least AGREE hash functions support are fetched from both texts and verified: maximal stretches in which
-matching shingles leave gaps of at most GAP, with a Jaccard likeness of 0.8 or more.
+Within a pair of documents windows that overlap in both texts are joined, and stretches that at least AGREE
+hash functions support are fetched from both texts and verified: stretches of a Jaccard likeness of 0.8 or
+more. A gap may be as long as the likeness leaves room for in its stretch: only places that lie in no
+stretch with that share of matching shingles are cut off, and where the likeness falls short, the longest gap.
 
 Windows reach at most twice the shortest passage to each side: any such passage has a centre, so longer
 ones are covered by the chain of their windows and merged again.
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from kalendry.llm.common import hashed, id_and_text, materialize, mix, prepare, row_key, shingles, word_hashes
 
 SHINGLE, LEAST, THRESHOLD = 5, 50, 0.8
-HASHES, AGREE, GAP, GRID = 5, 1, 10, 64
+HASHES, AGREE, GRID = 5, 1, 64
 _WORD = re.compile(r"\S+")
 _PAIR = "row_a long, doc_a long, row_b long, doc_b long"
 
@@ -122,25 +123,21 @@ def joined_intervals(at: list[tuple[int, int]]) -> list[tuple[int, int, int, int
     found = []
     for a, b in at:
         ca, cb = a >> 36, b >> 36
-        found.append((ca - cb, cb - (b >> 29 & 127), cb + (b >> 22 & 127), ca - (a >> 29 & 127), ca + (a >> 22 & 127), b >> 19 & 7))
-    found.sort()
-    out: list[list] = []
-    groups: list[list] = []
-    for f in found:  # diagonals that insertions may have moved a little
-        if groups and f[0] - groups[-1][-1][0] <= GAP:
-            groups[-1].append(f)
-        else:
-            groups.append([f])
-    for group in groups:
-        run: list | None = None
-        for _, low, high, a_low, a_high, h in sorted(group, key=lambda f: f[1]):
-            if run and low <= run[1]:
-                run[1], run[2], run[3] = max(run[1], high), min(run[2], a_low), max(run[3], a_high)
-                run[4].add(h)
+        found.append((cb - (b >> 29 & 127), cb + (b >> 22 & 127), ca - (a >> 29 & 127), ca + (a >> 22 & 127), b >> 19 & 7))
+    done: list[list] = []
+    live: list[list] = []
+    for low, high, a_low, a_high, h in sorted(found):
+        done += [r for r in live if r[1] < low]
+        run, others = [low, high, a_low, a_high, {h}], []
+        for r in live:
+            if r[1] < low:
+                continue
+            if r[2] <= run[3] and run[2] <= r[3]:
+                run = [min(run[0], r[0]), max(run[1], r[1]), min(run[2], r[2]), max(run[3], r[3]), run[4] | r[4]]
             else:
-                run = [low, high, a_low, a_high, {h}]
-                out.append(run)
-    return [(r[2], r[3], r[0], r[1]) for r in out if len(r[4]) >= AGREE]
+                others.append(r)
+        live = [*others, run]
+    return [(r[2], r[3], r[0], r[1]) for r in done + live if len(r[4]) >= AGREE]
 
 
 def _stretches(batches):
@@ -168,27 +165,46 @@ def _fetched(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(out, pa.binary())], names=["row", "low", "high", "part"])
 
 
-def matching(a: np.ndarray, b: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int]]:
-    """Maximal stretches (a_from, a_to, b_from, b_to), inclusive, of two shingle sequences that are near-duplicates."""
-    todo, out = [], []
+def _dense(x: np.ndarray, among: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Matching places of x, by runs of all stretches that have a share of at least `threshold` of them.
 
-    def split(places: np.ndarray, gap: int) -> list[np.ndarray]:
-        return np.split(places, np.nonzero(np.diff(places) > gap)[0] + 1) if len(places) else []
+    A shingle that does not match counts once, as it does for the likeness, so no stretch that is near enough is cut.
+    """
+    match = np.isin(x, among)
+    if not match.any():
+        return []
+    new = np.zeros(len(x), bool)
+    new[np.unique(x, return_index=True)[1]] = True
+    total = np.concatenate([[0], np.cumsum(np.where(match, 1 - threshold, np.where(new, -threshold, 0)))])
+    inside = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1]) > -1e-9
+    places = np.nonzero(match)[0]
+    apart = np.cumsum(~inside)[places]
+    return np.split(places, np.nonzero(np.diff(apart))[0] + 1)
 
-    todo = split(np.nonzero(np.isin(b, a))[0], GAP)
+
+def matching(a: np.ndarray, b: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    """Maximal stretches (a_from, a_to, b_from, b_to), inclusive, of two shingle sequences that are near-duplicates."""
+    todo, out = _dense(b, a, threshold), []
     while todo:
         g = todo.pop()
         low, high = int(g[0]), int(g[-1])
         if high - low + 1 < least:
             continue
         mine = b[low : high + 1]
-        alike = None
-        for other in split(np.nonzero(np.isin(a, mine))[0], GAP):
+        alike, others = None, _dense(a, mine, threshold)
+        while others:
+            other = others.pop()
             x, y = int(other[0]), int(other[-1])
+            if y - x + 1 < least:
+                continue
             left, right = np.unique(a[x : y + 1]), np.unique(mine)
             both = len(np.intersect1d(left, right, assume_unique=True))
-            if y - x + 1 >= least and both >= threshold * (len(left) + len(right) - both):
+            if both >= threshold * (len(left) + len(right) - both):
                 alike = (x, y, low, high)
+                break
+            if (gaps := np.diff(other)).max() > 1:
+                cut = int(gaps.argmax()) + 1
+                others += [other[:cut], other[cut:]]
         if alike:
             out.append(alike)
         elif (gaps := np.diff(g)).max() > 1:

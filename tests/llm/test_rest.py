@@ -148,6 +148,28 @@ def test_passages_of_likeness_near_the_threshold_are_candidates():
     assert lost == 0
 
 
+def test_gaps_as_long_as_the_likeness_allows():
+    rng = np.random.default_rng(9)
+    some = lambda n: rng.integers(0, 2**32, n, dtype=np.uint32)
+    for n, k, old in ((96, 10, 10), (300, 30, 30), (96, 15, 0), (90, 0, 15)):  # replaced, inserted, left out; all 0.8 or more
+        p = some(n)
+        a, b = np.concatenate([some(40), p, some(40)]), np.concatenate([some(70), p[: n // 2], some(k), p[n // 2 + old :], some(20)])
+        assert substring.matching(a, b, 46, 0.8) == [(40, 39 + n, 70, 69 + n + k - old)]
+    p = some(60)
+    for k in (5, 40):  # too far apart for one passage: either part is one of its own, or none is
+        a, b = np.concatenate([p, some(9)]), np.concatenate([p[:20], some(k), p[20:40], some(k), p[40:], some(9)])
+        assert substring.matching(a, b, 46, 0.8) == ([(0, 59, 0, 69)] if k == 5 else [])
+    p = [some(50) for _ in range(2)]
+    a, b = np.concatenate([p[0], some(40), p[1]]), np.concatenate([p[0], some(60), p[1]])
+    assert [m[2:] for m in substring.matching(a, b, 46, 0.8)] == [(0, 49), (110, 159)]
+
+
+def test_windows_on_both_sides_of_an_insertion_are_joined():
+    at = lambda c, left, right, h: c << 36 | left << 29 | right << 22 | h << 19
+    pairs = [(at(100, 40, 60, 0), at(200, 40, 75, 0)), (at(140, 60, 40, 1), at(255, 75, 40, 1))]
+    assert substring.joined_intervals(pairs) == [(60, 180, 160, 295)]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     toxic = corpus_pipeline.drop_toxic(spark, docs, SF)
