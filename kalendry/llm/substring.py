@@ -7,6 +7,9 @@ window (left, centre, right) stands for all of them. Only places that are the mi
 long as the shortest passage count (about two of every `least` shingles); the tree over these alone has
 the same windows. Windows with equal values meet in sorted runs, each joined to the first document of its
 run and of its run of equal next shingles, so a passage in n documents costs n rows, never pairs of all.
+Windows that this does not explain (no verified passage of an earlier document covers their centre) are then
+compared with all of their run, in blocks of bounded size. What has too few shingles around it that other
+such texts hold too, as a common line in texts of their own has, can be no passage and is left out before.
 Within a pair of documents windows that overlap in both texts are joined, and stretches that at least AGREE
 hash functions support are fetched from both texts and verified: stretches of a Jaccard likeness of 0.8 or
 more. A gap may be as long as the likeness leaves room for in its stretch: only places that lie in no
@@ -22,6 +25,7 @@ alone. A null doc_id sorts first and is kept. Columns other than doc_id and text
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -33,6 +37,8 @@ from kalendry.llm.common import hashed, id_and_text, materialize, mix, prepare,
 
 SHINGLE, LEAST, THRESHOLD = 5, 50, 0.8
 HASHES, AGREE, GRID = 5, 1, 64
+#: Open windows of a block, and windows of the block they are compared with.
+BLOCK_A, BLOCK_B = 400, 2000
 _WORD = re.compile(r"\S+")
 _PAIR = "row_a long, doc_a long, row_b long, doc_b long"
 
@@ -96,26 +102,116 @@ def _window_rows(batches, least: int):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["value", "doc_id", "row", "packed"])
 
 
+_MEMBER = ["value", "doc_id", "row", "packed"]
+_JOINED = ["row_a", "doc_a", "row_b", "doc_b", "at_a", "at_b"]
+
+
+def _earlier(x: tuple):
+    return x[1] is not None, x[1] or 0, x[2], x[3]
+
+
 def _stars(batches):
-    """Rows sorted by (value, follow, doc_id, row) -> each joined to the first of its follow and of its value."""
+    """Rows sorted by (value, follow, doc_id, row) -> members of runs, each joined to the first of its follow or value."""
     first = follow_first = None
     for batch in batches:
         out = []
-        for value, follow, doc, row, packed in zip(*(batch.column(c).to_pylist() for c in ("value", "follow", "doc_id", "row", "packed")), strict=True):
-            me = (value, follow, doc, row, packed)
-            if first is None or first[0] != value:
-                first = follow_first = me
+        for follow, *me in zip(*(batch.column(c).to_pylist() for c in ("follow", *_MEMBER)), strict=True):
+            if first is None or first[0] != me[0]:
+                first, follow_first, lonely = me, (follow, me), True
                 continue
-            if follow_first[1] != follow:
-                follow_first = me
-                other = first
-            else:
-                other = follow_first
-            if other[3] != row:
-                a, b = sorted((other, me), key=lambda x: (x[2] is not None, x[2], x[3]))
-                out.append((a[3], a[2], b[3], b[2], a[4], b[4]))
+            if lonely:
+                out.append((*first, *[None] * 6))
+                lonely = False
+            other = follow_first[1]
+            if follow_first[0] != follow:
+                other, follow_first = first, (follow, me)
+            a, b = sorted((other, me), key=_earlier)
+            out.append((*me, *((a[2], a[1], b[2], b[1], a[3], b[3]) if other[2] != me[2] else [None] * 6)))
+        columns = list(zip(*out, strict=True)) or [()] * 10
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_MEMBER + _JOINED)
+
+
+def _reach(packed: int) -> tuple[int, int]:
+    c = packed >> 36
+    return c - (packed >> 29 & 127), c + (packed >> 22 & 127)
+
+
+def _places(batches):
+    """(row, text, wanted: windows) -> (shingle, row, at) for each place that a window reaches; at: place, held twice by the text.
+
+    A shingle's lowest bit is cleared, as the block's contexts keep there whether the text holds it twice.
+    """
+    cache = word_hashes()
+    for batch in batches:
+        for row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "wanted")), strict=True):
+            base = shingles(hashed((text or "").lower().split(), cache), SHINGLE) & ~np.uint64(1)
+            near = np.zeros(len(base), bool)
+            for w in wanted:
+                low, high = _reach(w)
+                near[low : high + 1] = True
+            _, turn, count = np.unique(base, return_inverse=True, return_counts=True)
+            at = np.nonzero(near)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(base[at].view(np.int64)), pa.array(np.full(len(at), row, np.int64)), pa.array(at << 1 | (count[turn[at]] > 1))], names=["shingle", "row", "at"])
+
+
+def _contexts(batches, need: int):
+    """(row, doc_id, windows, places) -> the windows that reach at least `need` places, with those places' shingles."""
+    for batch in batches:
+        out = []
+        for row, doc, windows_, places in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "windows", "places")), strict=True):
+            at = np.array([p["at"] for p in places])
+            shingle = np.array([p["shingle"] for p in places], np.int64).view(np.uint64) | (at & 1).astype(np.uint64)
+            for w in windows_:
+                low, high = _reach(w["packed"])
+                mine = shingle[np.searchsorted(at, low << 1) : np.searchsorted(at, high + 1 << 1)]
+                if len(mine) >= need:
+                    out.append((w["value"], doc, row, w["packed"], w["open"], mine.tobytes()))
         columns = list(zip(*out, strict=True)) or [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row_a", "doc_a", "row_b", "doc_b", "at_a", "at_b"])
+        types = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*_MEMBER, "open", "context"])
+
+
+def _block_pairs(table: pa.Table, need: int) -> pa.Table:
+    """Open windows of a block (side 0) joined to those of a run's block (side 1) that share `need` places of their context."""
+    rows = table.to_pylist()
+    left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
+    out = []
+    if left and right:
+        sets = [np.unique(np.frombuffer(r["context"], np.uint64) >> np.uint64(1)) for r in right]
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        for x in left:
+            context = np.frombuffer(x["context"], np.uint64)
+            mine, times = np.unique(context >> np.uint64(1), return_counts=True)
+            low, size = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right") - np.searchsorted(flat, mine)
+            hit = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+            shared = np.bincount(owner[hit], np.repeat(times, size), len(right)) + (context & np.uint64(1)).sum()
+            for k in np.nonzero(shared >= need)[0]:
+                me, other = ([r[c] for c in _MEMBER] for r in (x, right[k]))
+                if me[2] != other[2] and (not right[k]["open"] or _earlier(me) < _earlier(other)):
+                    a, b = sorted((me, other), key=_earlier)
+                    out.append((a[2], a[1], b[2], b[1], a[3], b[3]))
+    columns = list(zip(*out, strict=True)) or [()] * 6
+    return pa.table([pa.array(c, pa.int64()) for c in columns], names=_JOINED)
+
+
+def _open_runs(member: DataFrame) -> DataFrame:
+    """Members of runs of three or more in which others than the first document are open; n and n_open of their run."""
+    who = F.struct(F.col("doc_id"), F.col("row"))
+    runs = member.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"), F.min(who).alias("least"), F.max(F.when(F.col("open"), who)).alias("last"))
+    return member.join(runs.where("n > 2 and n_open > 0 and last != least").select("value", "n", "n_open"), "value")
+
+
+def _in_blocks(state: DataFrame):
+    """Groups of at most about BLOCK_A open windows (side 0) and BLOCK_B windows of their run (side 1)."""
+    i_blocks, j_blocks = F.ceil(F.col("n_open") / BLOCK_A).cast("long"), F.ceil(F.col("n") / BLOCK_B).cast("long")
+    spot = F.xxhash64("row", "packed", F.lit(7))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = [*_MEMBER, "open", "context"]
+    left = state.where("open").select(*own, F.lit(0).alias("side"), F.pmod(spot, i_blocks).alias("i"), every(j_blocks).alias("j"))
+    right = state.select(*own, F.lit(1).alias("side"), every(i_blocks).alias("i"), F.pmod(spot, j_blocks).alias("j"))
+    return left.union(right).groupBy("value", "i", "j")
 
 
 def joined_intervals(at: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
@@ -235,21 +331,43 @@ def repeats(docs: DataFrame, least_words: int = LEAST, threshold: float = THRESH
     source = id_and_text(docs).withColumn("row", row_key())
     found = source.mapInArrow(lambda it: _window_rows(it, least), "value long, doc_id long, row long, packed long")
     runs = found.repartition("value").withColumn("follow", F.col("packed").bitwiseAND(0x7FFFF)).sortWithinPartitions("value", "follow", F.col("doc_id").asc_nulls_first(), "row", "packed")
-    pairs = runs.select("value", "follow", "doc_id", "row", "packed").mapInArrow(_stars, _PAIR + ", at_a long, at_b long")
-    pairs = pairs.groupBy("row_a", "doc_a", "row_b", "doc_b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("at"))
-    spans = materialize(pairs.mapInArrow(_stretches, _PAIR + ", from_a long, to_a long, from_b long, to_b long").distinct(), "substring-stretches")
-
-    # what a text is asked for lies on a grid, so a passage's first document is asked for little, however many repeat it
-    wanted = spans.select(F.col("row_a").alias("row"), F.col("from_a").alias("low"), F.col("to_a").alias("high")).union(spans.select("row_b", "from_b", "to_b")).distinct()
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
-    parts = source.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_fetched, "row long, low long, high long, part binary").dropDuplicates(["row", "low", "high"])
-    parts = materialize(parts, "substring-parts")
-    left = parts.select(F.col("row").alias("row_a"), F.col("low").alias("from_a"), F.col("high").alias("to_a"), F.col("part").alias("part_a"))
-    right = parts.select(F.col("row").alias("row_b"), F.col("low").alias("from_b"), F.col("high").alias("to_b"), F.col("part").alias("part_b"))
-    both = spans.join(left, ["row_a", "from_a", "to_a"]).join(right, ["row_b", "from_b", "to_b"])
-    return both.select("row_a", "doc_a", "row_b", "doc_b", "from_a", "from_b", "part_a", "part_b").mapInArrow(
-        lambda it: _verified(it, least, threshold), _PAIR + ", start_a long, end_a long, start_b long, end_b long"
-    ).distinct()
+    member = materialize(runs.select("follow", *_MEMBER).mapInArrow(_stars, f"value long, doc_id long, row long, packed long, {_PAIR}, at_a long, at_b long"), "substring-members")
+
+    def stretches(pairs: DataFrame, label: str) -> DataFrame:
+        pairs = pairs.groupBy("row_a", "doc_a", "row_b", "doc_b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("at"))
+        return materialize(pairs.mapInArrow(_stretches, _PAIR + ", from_a long, to_a long, from_b long, to_b long").distinct(), label)
+
+    def verified(spans: DataFrame, label: str) -> DataFrame:
+        # what a text is asked for lies on a grid, so a passage's first document is asked for little, however many repeat it
+        wanted = spans.select(F.col("row_a").alias("row"), F.col("from_a").alias("low"), F.col("to_a").alias("high")).union(spans.select("row_b", "from_b", "to_b")).distinct()
+        wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
+        parts = source.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_fetched, "row long, low long, high long, part binary").dropDuplicates(["row", "low", "high"])
+        parts = materialize(parts, label + "-parts")
+        left = parts.select(F.col("row").alias("row_a"), F.col("low").alias("from_a"), F.col("high").alias("to_a"), F.col("part").alias("part_a"))
+        right = parts.select(F.col("row").alias("row_b"), F.col("low").alias("from_b"), F.col("high").alias("to_b"), F.col("part").alias("part_b"))
+        both = spans.join(left, ["row_a", "from_a", "to_a"]).join(right, ["row_b", "from_b", "to_b"])
+        return materialize(both.select("row_a", "doc_a", "row_b", "doc_b", "from_a", "from_b", "part_a", "part_b").mapInArrow(
+            lambda it: _verified(it, least, threshold), _PAIR + ", start_a long, end_a long, start_b long, end_b long"
+        ), label)
+
+    spans = stretches(member.where("row_a is not null").select(*_JOINED), "substring-stretches")
+    found = verified(spans, "substring-first")
+
+    held = found.groupBy(F.col("row_b").alias("row")).agg(F.collect_set(F.struct("start_b", "end_b")).alias("held"))
+    state = member.select(*_MEMBER).join(held, "row", "left")
+    state = state.withColumn("open", F.expr("not coalesce(exists(held, s -> s.start_b <= shiftright(packed, 36) and shiftright(packed, 36) < s.end_b), false)"))
+    state = materialize(_open_runs(state.drop("held")).select(*_MEMBER, "open"), "substring-open")
+    # a near passage has at most a share 1 - threshold of shingles that its text holds once and no other text holds
+    need = math.ceil(threshold * least - 1e-9)
+    places = source.join(state.groupBy("row").agg(F.collect_set("packed").alias("wanted")), "row").dropDuplicates(["row"]).select("row", "text", "wanted")
+    places = materialize(places.mapInArrow(_places, "shingle long, row long, at long"), "substring-places")
+    shared = places.groupBy("shingle").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low != high").select("shingle", F.lit(True).alias("shared"))
+    profile = places.join(shared, "shingle", "left").where("shared or at % 2 = 1").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "shingle"))).alias("places")).where(F.size("places") >= need)
+    state = state.groupBy("row", "doc_id").agg(F.collect_list(F.struct("value", "packed", "open")).alias("windows")).join(profile, "row")
+    state = materialize(state.select("row", "doc_id", "windows", "places").mapInArrow(lambda it: _contexts(it, need), "value long, doc_id long, row long, packed long, open boolean, context binary"), "substring-contexts")
+    runs = state.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open")).where("n > 1 and n_open > 0")
+    more = _in_blocks(state.join(runs, "value")).applyInArrow(lambda t: _block_pairs(t, need), f"{_PAIR}, at_a long, at_b long")
+    return found.union(verified(stretches(more, "substring-more").exceptAll(spans), "substring-second")).distinct()
 
 
 def _without(batches, names: list[str]):

@@ -170,6 +170,16 @@ def test_windows_on_both_sides_of_an_insertion_are_joined():
     assert substring.joined_intervals(pairs) == [(60, 180, 160, 295)]
 
 
+def test_passage_of_frequent_lines(make_docs):
+    rng = random.Random(10)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    text = lambda p: " ".join(words(60) + p + words(60))
+    lines = [(words(30), words(30)) for _ in range(40)]
+    texts = [text(p) for _ in range(2) for pair in lines for p in pair] + [text(one + two) for one, two in lines for _ in range(2)]
+    found = {(r.doc_a, r.doc_b) for r in substring.repeats(make_docs(texts)).collect()}
+    assert found == {(i, i + 1) for i in range(160, 240, 2)}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     toxic = corpus_pipeline.drop_toxic(spark, docs, SF)
