@@ -6,16 +6,19 @@ size. Every change is a new manifest: its entries (shard, tier, bytes, rows) are
 version file that names them is then created by an atomic rename that fails if the version exists, so
 readers see the old state or the new one, and of two writers one must start anew. Merging reads each run as
 one task without a shuffle; tasks that are lost are run again and write files of their own attempt. Shards
-that no kept manifest names are removed by vacuum().
+that only manifests no longer kept name are removed by vacuum(); a shard that no manifest names may belong to a
+writer that has not committed yet, and is removed only on request, by age.
 
 All file work goes through Hadoop's file systems and Spark's readers, so the folder may lie in any store.
-Rows are kept as they are: nulls, empty and long texts, repeated rows and all columns. An empty arrival
-commits a version without new shards.
+Rows are kept as they are: nulls, empty and long texts, repeated rows and all columns. Where arrivals differ in
+columns, the table has all of them, null where a row's arrival lacked one. An empty arrival commits a version
+without new shards.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass, replace
 
@@ -135,10 +138,10 @@ class ShardedTable:
         now = self.current()
         while runs := self._runs(now.shards):
             gone, fresh = set(), []
+            schema = self._rows(now.shards).schema
             for first in range(0, len(runs), RUNS_PER_JOB):
                 folder = f"{self.folder}/data/{uuid.uuid4().hex}"
                 merged = None
-                schema = self.spark.read.parquet(runs[0][0].path).schema
                 for run in runs[first : first + RUNS_PER_JOB]:
                     one = self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1)
                     merged = one if merged is None else merged.union(one)
@@ -147,22 +150,34 @@ class ShardedTable:
                 level = 1 + max(s.level for run in runs for s in run)
                 fresh += [replace(s, level=level) for s in self._written(folder, level)]
             now = self.commit(now, tuple(s for s in now.shards if s.path not in gone) + tuple(fresh))
-            self.vacuum(keep=1)
+            for path in gone:  # only these: other unnamed shards may be another writer's, not yet committed
+                self.fs.delete(self._hadoop.Path(path), False)
         return now
 
-    def vacuum(self, keep: int = 2) -> int:
-        """Removes shards that none of the last `keep` manifests names; returns how many."""
-        named = {s.path for v in self.versions()[-keep:] for s in self.manifest(v).shards}
+    def vacuum(self, keep: int = 2, unknown_after: float | None = None) -> int:
+        """Removes shards that older manifests name but none of the last `keep`; returns how many.
+
+        Shards that no manifest names are removed if they are older than `unknown_after` seconds, if that is given.
+        """
+        versions = self.versions()
+        named = {s.path for v in versions[-keep:] for s in self.manifest(v).shards}
+        known = {s.path for v in versions[:-keep] for s in self.manifest(v).shards}
         gone = 0
         for folder in self.fs.listStatus(self._path("data")):
-            for s in self._written(folder.getPath().toString(), 0):
-                if s.path not in named:
-                    gone += bool(self.fs.delete(self._hadoop.Path(s.path), False))
+            for s in self.fs.listStatus(folder.getPath()):
+                path = s.getPath().toString()
+                if not s.getPath().getName().startswith("part-") or path in named:
+                    continue
+                if path in known or (unknown_after is not None and s.getModificationTime() / 1000 < time.time() - unknown_after):
+                    gone += bool(self.fs.delete(s.getPath(), False))
         return gone
 
+    def _rows(self, shards: tuple[Shard, ...]) -> DataFrame:
+        return self.spark.read.option("mergeSchema", "true").parquet(*[s.path for s in shards])
+
     def read(self, version: int | None = None) -> DataFrame:
         m = self.current() if version is None else self.manifest(version)
-        return self.spark.read.parquet(*[s.path for s in m.shards])
+        return self._rows(m.shards)
 
 
 def shard_report(table: ShardedTable) -> DataFrame:

@@ -87,6 +87,23 @@ def test_sharding(spark, small_docs, tmp_path):
     assert t.append(small_docs.limit(0)).shards == done.shards
 
 
+def test_sharding_keeps_all_columns_and_uncommitted_shards(spark, tmp_path):
+    t = sharding.ShardedTable(spark, f"file://{tmp_path}/t", fanout=2)
+    rows = spark.range(40).selectExpr("id doc_id", "repeat('x', 50) text")
+    t.append(rows.where("doc_id < 20"))
+    t.append(rows.where("doc_id >= 20").selectExpr("*", "doc_id * 2 more"))
+    other = sharding.ShardedTable(spark, t.folder, fanout=2)  # has written its shards, but not committed
+    spark.range(40, 50).selectExpr("id doc_id", "'y' text").coalesce(1).write.parquet(f"{t.folder}/data/late")
+    before = t.current()
+    done = t.compact()
+    assert len(done.shards) < len(before.shards) and t.vacuum(keep=1) == 0
+    other.commit(other.current(), done.shards + other._written(f"{t.folder}/data/late", 0))
+    got = sorted((r.doc_id, r.more) for r in t.read().collect())
+    assert got == [(i, i * 2 if 20 <= i < 40 else None) for i in range(50)]
+    spark.range(5).write.parquet(f"{t.folder}/data/lost")
+    assert t.vacuum() == 0 and t.vacuum(unknown_after=-60) > 0 and t.read().count() == 50
+
+
 def test_topk_equals_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 320)]
