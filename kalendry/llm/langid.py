@@ -6,8 +6,8 @@ sum over all its segmentations into pieces, which the forward algorithm adds up
 letters that no piece covers have a small floor. Learning is expectation maximisation over word counts:
 forward and backward sums give every piece's expected count, which Spark adds up over the words.
 
-A text's likelihoods are the products over its words; score is the winner's share of their sum. Words
-longer than LONGEST letters are cut there. Defined cases: a null text or one without letters is "und" with
+A text's likelihoods are the products over its words; score is the winner's share of their sum. In words
+longer than SHORT letters the sums of every place are kept as logarithms, so none underflows. Defined cases: a null text or one without letters is "und" with
 score 0; ties go to the language that sorts first; without any training rows every text is "und". Columns
 other than doc_id, text and (for training) lang are not looked at.
 """
@@ -27,7 +27,9 @@ from kalendry.llm.common import id_and_text, prepare
 
 #: Training rows are sampled by id hash to about this many documents.
 TRAIN_DOCS = 4000
-PASSES, FLOOR, LONGEST, KEEP = 3, 1e-9, 64, 400_000
+PASSES, FLOOR, SHORT, KEEP = 3, 1e-9, 32, 400_000
+#: Words, and letters of long words, of one call of forward().
+WORDS, LETTERS = 20_000, 200_000
 #: Keeps forward sums of long words in range: a letter's part of every piece's probability.
 SCALE = 30.0
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -70,50 +72,77 @@ def _levels(place: np.ndarray):
 
 
 def forward(pieces: Pieces, words: list[str], table: np.ndarray):
-    """Scaled sums over all segmentations of every prefix: (log likelihood of each word, sums, lattice)."""
+    """Scaled sums over all segmentations of every prefix: (log likelihood of each word, sums, their logs' offsets, lattice).
+
+    With words of more than SHORT letters, every place's sum is made 1 and its logarithm goes to the offset.
+    """
     start, end, piece, place, first, lengths = lattice = pieces.lattice(words)
     weights = table * SCALE ** pieces.lengths[:, None]
     total = int(first[-1] + lengths[-1]) + 1
     sums = np.zeros((total, table.shape[1]))
     sums[first] = 1
+    scaled = int(lengths.max()) > SHORT
+    logs = np.zeros(sums.shape if scaled else (0, 0))
     order, cuts = _levels(place)
     for p in range(1, int(lengths.max()) + 1):
         here = first[lengths >= p] + p
         sums[here] = sums[here - 1] * (FLOOR * SCALE)
+        if scaled:
+            logs[here] = logs[here - 1]
         if p < len(cuts):
             m = order[cuts[p - 1] : cuts[p]]
             if len(m):
                 at = end[m]
                 turns = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1])  # matches come in order of their end
-                sums[at[turns]] += np.add.reduceat(sums[start[m]] * weights[piece[m]], turns, axis=0)
-    whole = sums[first + lengths]
-    return np.log(whole) - lengths[:, None] * np.log(SCALE), sums, lattice
+                flow = sums[start[m]] * weights[piece[m]]
+                if scaled:
+                    flow *= np.exp(logs[start[m]] - logs[at])
+                sums[at[turns]] += np.add.reduceat(flow, turns, axis=0)
+        if scaled:
+            logs[here] += np.log(sums[here])
+            sums[here] = 1
+    whole = np.log(sums[first + lengths]) + (logs[first + lengths] if scaled else 0)
+    return whole - lengths[:, None] * np.log(SCALE), sums, logs, lattice
 
 
 def expected(pieces: Pieces, words: list[str], counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Expected number of times each piece is used in these words of one language (a table of one column)."""
-    _, sums, (start, end, piece, place, first, lengths) = forward(pieces, words, table)
+    _, sums, logs, (start, end, piece, place, first, lengths) = forward(pieces, words, table)
     sums, weights = sums[:, 0], (table[:, 0] * SCALE**pieces.lengths)
-    back = np.zeros(len(sums))
-    back[first + lengths] = counts / sums[first + lengths]
+    logs = logs[:, 0] if len(logs) else None
+    used = np.zeros(len(sums))  # expected number of times that a segmentation has a cut here
+    used[first + lengths] = counts
+
+    def part(a, b):  # of the sum at b, what comes from a, but for the piece's own factor
+        return sums[a] / sums[b] * (1 if logs is None else np.exp(logs[a] - logs[b]))
+
     order, cuts = _levels(place)
     out = np.zeros(pieces.size)
     for p in range(int(lengths.max()), 0, -1):
         here = first[lengths >= p] + p
-        back[here - 1] += back[here] * (FLOOR * SCALE)
+        used[here - 1] += used[here] * part(here - 1, here) * (FLOOR * SCALE)
         if p < len(cuts):
             m = order[cuts[p - 1] : cuts[p]]
-            flow = back[end[m]] * weights[piece[m]]
-            np.add.at(out, piece[m], sums[start[m]] * flow)
-            np.add.at(back, start[m], flow)
+            flow = used[end[m]] * part(start[m], end[m]) * weights[piece[m]]
+            np.add.at(out, piece[m], flow)
+            np.add.at(used, start[m], flow)
     return out
 
 
+def _chunks(words: list[str]):
+    """Places in words, of short and of long words apart, as many as one call of forward() takes."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    short, long = np.nonzero(lengths <= SHORT)[0], np.nonzero(lengths > SHORT)[0]
+    for i in range(0, len(short), WORDS):
+        yield short[i : i + WORDS]
+    if len(long):
+        yield from np.split(long, np.nonzero(np.diff(np.cumsum(lengths[long]) // LETTERS))[0] + 1)
+
+
 def words_of(text: str) -> list[str]:
     out = []
     for w in _LETTERS.findall(text.lower()):
-        w = "▁" + w
-        out += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w), LONGEST)]
+        out.append("▁" + w)
     return out
 
 
@@ -137,7 +166,9 @@ def _expect(batches, path: str, tables: dict[str, np.ndarray]):
             own[0].append(word)
             own[1].append(n)
         for lang, (words, counts) in by.items():
-            out[lang] = out.get(lang, 0) + expected(pieces, words, np.array(counts, float), tables[lang])
+            counts = np.array(counts, float)
+            for at in _chunks(words):
+                out[lang] = out.get(lang, 0) + expected(pieces, [words[i] for i in at], counts[at], tables[lang])
     for lang, total in out.items():
         some = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(total[some])], names=["lang", "piece", "n"])
@@ -189,8 +220,9 @@ class Scorer:
         if len(self.at) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros((len(self.at) - len(self.rows), len(self.langs)))])
         self.rows[firsts : len(self.at)] = 0
-        for i in range(0, len(words), 20_000):
-            np.add.at(self.rows, owner[i : i + 20_000], forward(self.pieces, words[i : i + 20_000], self.table)[0])
+        owner = np.array(owner, np.int64)
+        for at in _chunks(words):
+            np.add.at(self.rows, owner[at], forward(self.pieces, [words[i] for i in at], self.table)[0])
 
     def score(self, texts: list[str]) -> list[tuple[str, float]]:
         runs = [t.split() for t in texts]

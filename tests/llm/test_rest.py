@@ -44,6 +44,25 @@ def test_language_held_out_accuracy_and_defined_cases(spark, make_docs):
     assert {r.lang_pred for r in langid.predict(make_docs(ODD), F.lit(True), PIECES, langid.learn(make_docs(["a"]), PIECES)).collect()} == {"und"}
 
 
+def test_long_runs_without_pieces(spark):
+    pieces = langid.pieces_of(PIECES)
+    run = "\u1225" * 64
+    table = np.random.default_rng(3).random((pieces.size, 2)) / 1000
+    one, two = (langid.forward(pieces, ["▁" + run[0] * n], table)[0] for n in (10, 2000))
+    assert np.isfinite(two).all() and np.allclose(two - one, 1990 * np.log(langid.FLOOR))
+    text = "thequickbrownfoxandthelazydog"  # the scaled sums and counts are those of short words
+    assert np.allclose(langid.forward(pieces, ["▁" + text], table)[0][0], langid.forward(pieces, ["▁" + text, "▁" + run], table)[0][0])
+    each = [langid.expected(pieces, w, np.array(n), table[:, :1]) for w, n in ((["▁" + text], [2.0]), (["▁" + run], [3.0]), (["▁" + text, "▁" + run], [2.0, 3.0]))]
+    assert np.allclose(each[0] + each[1], each[2])
+    docs = [(i, f"the cat and the dog {i}" if i % 2 else f"le chat et le chien {i}", "en" if i % 2 else "fr") for i in range(40)]
+    docs = spark.createDataFrame([*docs, (50, f"the {run} cat", "en")], "doc_id long, text string, lang string")
+    tables = langid.learn(docs, PIECES)
+    assert all(np.isfinite(t).all() for t in tables.values())
+    asked = spark.createDataFrame([(1, f"the dog and the cat {run}"), (2, f"le chien {run} et le chat")], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.predict(asked, F.lit(True), PIECES, tables).collect()}
+    assert got[1].lang_pred == "en" and got[2].lang_pred == "fr" and all(0 < r.score <= 1 for r in got.values())
+
+
 def test_quality_and_toxicity(spark, make_docs):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
