@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from kalendry.llm.common import id_and_text, prepare
 
-#: Training rows are sampled by id hash to about this many documents.
+#: Training rows of each language are sampled by hash to about this many documents; of rarer ones, all are taken.
 TRAIN_DOCS = 4000
 PASSES, FLOOR, SHORT, KEEP = 3, 1e-9, 32, 400_000
 #: Words, and letters of long words, of one call of forward().
@@ -175,12 +175,12 @@ def _expect(batches, path: str, tables: dict[str, np.ndarray]):
 
 
 def learn(docs: DataFrame, path: str, most: int = TRAIN_DOCS) -> dict[str, np.ndarray]:
-    """Piece probabilities of each language in docs(doc_id, text, lang), from about `most` of its rows."""
+    """Piece probabilities of each language in docs(doc_id, text, lang), from about `most` rows of each, one at least."""
     prepare(docs.sparkSession)
-    known = id_and_text(docs, F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    n = known.count()
-    share = min(1.0, most / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
+    spot = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(11)), 1) / F.lit(2.0**63)
+    known = id_and_text(docs, F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null").withColumn("spot", spot)
+    shares = known.groupBy("lang").agg(F.greatest(F.lit(float(most)) / F.count(F.lit(1)), F.min("spot")).alias("share"))
+    known = known.join(F.broadcast(shares), "lang").where("spot <= share").select("doc_id", "text", "lang")
     counts = known.mapInArrow(_count, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).cache()
     pieces = pieces_of(path)
     tables = {r.lang: np.full((pieces.size, 1), 1 / pieces.size) for r in counts.select("lang").distinct().collect()}

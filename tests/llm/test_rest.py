@@ -63,6 +63,12 @@ def test_long_runs_without_pieces(spark):
     assert got[1].lang_pred == "en" and got[2].lang_pred == "fr" and all(0 < r.score <= 1 for r in got.values())
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the cat {i}", "en") for i in range(3000)] + [(3000 + i, "le chat", f"rare{i}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.learn(docs, PIECES, 20)) == {"en", *(f"rare{i}" for i in range(5))}
+
+
 def test_quality_and_toxicity(spark, make_docs):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
