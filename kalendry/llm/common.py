@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,28 @@ def id_and_text(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def carried(docs: DataFrame):
+    """All columns of docs but text, as one struct `others`: whatever their names, they clash with nothing.
+
+    restored() turns a frame that has `others` and `text` back into the columns of docs.
+    """
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns if c != "text"]).alias("others")
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*[F.col("text") if c == "text" else F.col(f"others.{quoted(c)}") for c in docs.columns])
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def table_of(rows: list[tuple], names: list[str], types: list | None = None) -> pa.RecordBatch:
+    """Rows as a batch; all columns are longs unless types says otherwise."""
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types or [pa.int64()] * len(names), strict=True)], names=names)
+
+
 def crc_fold(modulus: int):
     """crc32 of the decimal doc_id, modulo; null ids count as an empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus

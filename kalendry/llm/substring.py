@@ -5,22 +5,31 @@ each of HASHES hash functions, a Cartesian tree over the shingles' hashes gives
 which it is the minimum: all subsequences around it within that stretch share that min-hash, so one compact
 window (left, centre, right) stands for all of them. Only places that are the minimum of some stretch as
 long as the shortest passage count (about two of every `least` shingles); the tree over these alone has
-the same windows. Windows with equal values meet in sorted runs, each joined to the first document of its
-run and of its run of equal next shingles, so a passage in n documents costs n rows, never pairs of all.
-Windows that this does not explain (no verified passage of an earlier document covers their centre) are then
-compared with all of their run, in blocks of bounded size. What has too few shingles around it that other
-such texts hold too, as a common line in texts of their own has, can be no passage and is left out before.
-Within a pair of documents windows that overlap in both texts are joined, and stretches that at least AGREE
-hash functions support are fetched from both texts and verified: stretches of a Jaccard likeness of 0.8 or
-more. A gap may be as long as the likeness leaves room for in its stretch: only places that lie in no
-stretch with that share of matching shingles are cut off, and where the likeness falls short, the longest gap.
+the same windows. Two texts that share a passage share a window's value for each hash function with the
+passage's likeness as probability; runs of equal values hold the candidates. Two rounds find the links:
+
+1. Stars. Each window of a run is joined to the first document of its run and next shingle (or of its run).
+   Windows of a pair of documents that overlap in both texts are joined; what two hash functions support is
+   fetched from both texts and verified. A passage in n documents costs n rows, never pairs of all.
+2. Blocks, the exact way for the rest. A window is open while no verified passage of an earlier document
+   covers its centre. Every open window is compared with all windows of its run, for each hash function
+   alone, in blocks of bounded size. Before, windows go that can be part of no passage: those around which
+   too many shingles are in no other text of the run. A block returns one link to each group of documents
+   that are linked already, so a large group costs no pairs either.
+
+A passage is a stretch of a Jaccard likeness of 0.8 or more, measured on 32-bit hashes of the shingles. A gap
+may be as long as the likeness leaves room for in its stretch: only places that lie in no stretch with that
+share of matching shingles are cut off, and where the likeness falls short, the longest gap.
 
 Windows reach at most twice the shortest passage to each side: any such passage has a centre, so longer
-ones are covered by the chain of their windows and merged again.
+ones are covered by the chain of their windows and merged again. In a text that repeats itself, a window that
+follows one of equal value within half the shortest passage is left out without loss: the reach of the one
+kept holds every shortest passage around it.
 
 Defined cases: null, empty and shorter texts have no passages. Rows equal in doc_id and text are one
 document; equal texts under different ids repeat each other wholly. Repeats within one document are left
-alone. A null doc_id sorts first and is kept. Columns other than doc_id and text are not looked at.
+alone. A null doc_id sorts first and is kept. Columns other than doc_id and text are not looked at, whatever
+their names. `least_words` may be up to 200.
 """
 
 from __future__ import annotations
@@ -33,14 +42,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalendry.llm.common import hashed, id_and_text, materialize, mix, prepare, row_key, shingles, word_hashes
+from kalendry.llm.common import carried, hashed, id_and_text, materialize, mix, prepare, restored, row_key
+from kalendry.llm.common import shingles, table_of, word_hashes
 
 SHINGLE, LEAST, THRESHOLD = 5, 50, 0.8
-HASHES, AGREE, GRID = 5, 1, 64
-#: Open windows of a block, and windows of the block they are compared with.
-BLOCK_A, BLOCK_B = 400, 2000
+HASHES, GRID = 5, 64
+#: Hash functions that must support a stretch in the first round; the second needs one.
+AGREE = 2
+#: Open windows of a block, and windows of the block they are compared with; in runs up to FEW, bounds cost more than they spare.
+BLOCK_A, BLOCK_B, FEW = 400, 2000, 8
 _WORD = re.compile(r"\S+")
+#: A window in one long: centre 27 bits, reach to the left and right 9 each, hash function 3, next shingle 15.
+_CENTRE, _LEFT, _RIGHT, _HASH = 36, 27, 18, 15
+_NINE = 511
 _PAIR = "row_a long, doc_a long, row_b long, doc_b long"
+_MEMBER = ["value", "doc_id", "row", "packed"]
+_JOINED = ["row_a", "doc_a", "row_b", "doc_b", "at_a", "at_b"]
 
 
 def _least_over(x: np.ndarray, span: int, take) -> np.ndarray:
@@ -53,173 +70,133 @@ def _least_over(x: np.ndarray, span: int, take) -> np.ndarray:
     return x
 
 
-def windows(values: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Compact windows (left, centre, right), inclusive, of at least `least` places; the leftmost minimum counts."""
+def windows(values: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Compact windows (lefts, centres, rights), inclusive, of at least `least` places; the leftmost minimum counts."""
     n = len(values)
     if n < least:
-        return []
+        return (np.empty(0, np.int64),) * 3
     low = _least_over(values, least, np.minimum)
     edge = np.zeros(least - 1, values.dtype)
-    centre = np.nonzero(_least_over(np.concatenate([edge, low, edge]), least, np.maximum) == values)[0].tolist()
-    height = values[centre].tolist()
-    out, stack, left = [], [], []
-
-    def close(i: int, right: int):
-        if right - left[i] + 1 >= least:
-            out.append((left[i], centre[i], right))
-
-    for i, h in enumerate(height):
+    centre = np.nonzero(_least_over(np.concatenate([edge, low, edge]), least, np.maximum) == values)[0]
+    height, at = values[centre].tolist(), centre.tolist()
+    stack, left, right = [], [0] * len(at), [n - 1] * len(at)
+    for i, h in enumerate(height):  # the tree's path from its root to the last place
         while stack and height[stack[-1]] > h:
-            close(stack.pop(), centre[i] - 1)
-        left.append(centre[stack[-1]] + 1 if stack else 0)
+            right[stack.pop()] = at[i] - 1
+        if stack:
+            left[i] = at[stack[-1]] + 1
         stack.append(i)
-    while stack:
-        close(stack.pop(), n - 1)
-    return sorted(out, key=lambda w: w[1])
+    left, right = np.array(left, np.int64), np.array(right, np.int64)
+    some = right - left + 1 >= least
+    return left[some], centre[some], right[some]
+
+
+def _reach(packed: int) -> tuple[int, int]:
+    c = packed >> _CENTRE
+    return c - (packed >> _LEFT & _NINE), c + (packed >> _RIGHT & _NINE)
+
+
+def _base(text: str | None, cache) -> np.ndarray:
+    return shingles(hashed((text or "").lower().split(), cache), SHINGLE)
 
 
 def _window_rows(batches, least: int):
-    """(row, doc_id, text) -> (value, doc_id, row, packed): centre 28 bits, reach 7 + 7, hash 3, next shingle 19."""
-    cache, reach = word_hashes(), 2 * least
+    """(row, doc_id, text) -> (value, doc_id, row, packed) for every window."""
+    cache, most = word_hashes(), 2 * least
     for batch in batches:
-        out = []
-        for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-            base = shingles(hashed((text or "").lower().split(), cache), SHINGLE)
+        values, packed, owner = [], [], []
+        for i, text in enumerate(batch.column("text").to_pylist()):
+            base = _base(text, cache)
             if len(base) < least:
                 continue
+            follow = np.append(base[1:], np.uint64(0)).astype(np.int64) & 0x7FFF
             for h in range(HASHES):
-                values = mix(base + np.uint64((h + 1) * 0x9E3779B97F4A7C15 % 2**64))
-                last: dict[int, int] = {}
-                for left, c, right in windows(values, least):
-                    value = int(values[c])
-                    if c - last.get(value, -least) < least // 2:
-                        continue  # a text that repeats itself: near enough to its last window of this value
-                    last[value] = c
-                    follow = int(base[c + 1]) & 0x7FFFF if c + 1 < len(base) else 0
-                    packed = c << 36 | min(c - left, reach) << 29 | min(right - c, reach) << 22 | h << 19 | follow
-                    out.append((value - (1 << 64) if value >> 63 else value, doc, row, packed))
-        columns = list(zip(*out, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["value", "doc_id", "row", "packed"])
-
-
-_MEMBER = ["value", "doc_id", "row", "packed"]
-_JOINED = ["row_a", "doc_a", "row_b", "doc_b", "at_a", "at_b"]
+                mixed = mix(base + np.uint64((h + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                left, centre, right = windows(mixed, least)
+                own = mixed[centre].view(np.int64)
+                if len(np.unique(own)) < len(own):  # the reach of the windows kept holds the others' passages
+                    last: dict[int, int] = {}
+                    kept = []
+                    for k, (c, v) in enumerate(zip(centre.tolist(), own.tolist(), strict=True)):
+                        if c - last.get(v, -least) >= least // 2:
+                            last[v] = c
+                            kept.append(k)
+                    left, centre, right, own = left[kept], centre[kept], right[kept], own[kept]
+                reach = np.minimum(centre - left, most) << _LEFT | np.minimum(right - centre, most) << _RIGHT
+                values.append(own)
+                packed.append(centre << _CENTRE | reach | h << _HASH | follow[centre])
+                owner.append(np.full(len(own), i))
+        at = pa.array(np.concatenate([*owner, np.empty(0, np.int64)]).astype(np.int64))
+        columns = [pa.array(np.concatenate([*c, np.empty(0, np.int64)])) for c in (values, packed)]
+        yield pa.RecordBatch.from_arrays([columns[0], batch.column("doc_id").take(at), batch.column("row").take(at), columns[1]], names=_MEMBER)
 
 
 def _earlier(x: tuple):
+    """Order of (value, doc_id, row, packed) by document: null ids first, then id, then row."""
     return x[1] is not None, x[1] or 0, x[2], x[3]
 
 
-def _stars(batches):
-    """Rows sorted by (value, follow, doc_id, row) -> members of runs, each joined to the first of its follow or value."""
-    first = follow_first = None
-    for batch in batches:
-        out = []
-        for follow, *me in zip(*(batch.column(c).to_pylist() for c in ("follow", *_MEMBER)), strict=True):
-            if first is None or first[0] != me[0]:
-                first, follow_first, lonely = me, (follow, me), True
-                continue
-            if lonely:
-                out.append((*first, *[None] * 6))
-                lonely = False
-            other = follow_first[1]
-            if follow_first[0] != follow:
-                other, follow_first = first, (follow, me)
-            a, b = sorted((other, me), key=_earlier)
-            out.append((*me, *((a[2], a[1], b[2], b[1], a[3], b[3]) if other[2] != me[2] else [None] * 6)))
-        columns = list(zip(*out, strict=True)) or [()] * 10
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_MEMBER + _JOINED)
+def _joined(x: tuple, y: tuple) -> tuple:
+    a, b = sorted((x, y), key=_earlier)
+    return a[2], a[1], b[2], b[1], a[3], b[3]
 
 
-def _reach(packed: int) -> tuple[int, int]:
-    c = packed >> 36
-    return c - (packed >> 29 & 127), c + (packed >> 22 & 127)
+def _before(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Whether each window of x sorts before that of y by (doc_id known, doc_id, row, packed)."""
+    out = x[-1] < y[-1]
+    for a, b in zip(x[-2::-1], y[-2::-1], strict=True):
+        out = (a < b) | ((a == b) & out)
+    return out
 
 
-def _places(batches):
-    """(row, text, wanted: windows) -> (shingle, row, at) for each place that a window reaches; at: place, held twice by the text.
+def _stars(batches):
+    """Rows sorted by (value, follow, doc_id, row) -> members of runs, each joined to the first of its follow or value.
 
-    A shingle's lowest bit is cleared, as the block's contexts keep there whether the text holds it twice.
+    What a run needs from earlier batches are its first window and that of its last next shingle.
     """
-    cache = word_hashes()
+    held, lonely = None, False  # these two rows, and whether the run has no second one yet
     for batch in batches:
-        for row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "wanted")), strict=True):
-            base = shingles(hashed((text or "").lower().split(), cache), SHINGLE) & ~np.uint64(1)
-            near = np.zeros(len(base), bool)
-            for w in wanted:
-                low, high = _reach(w)
-                near[low : high + 1] = True
-            _, turn, count = np.unique(base, return_inverse=True, return_counts=True)
-            at = np.nonzero(near)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(base[at].view(np.int64)), pa.array(np.full(len(at), row, np.int64)), pa.array(at << 1 | (count[turn[at]] > 1))], names=["shingle", "row", "at"])
-
-
-def _contexts(batches, need: int):
-    """(row, doc_id, windows, places) -> the windows that reach at least `need` places, with those places' shingles."""
-    for batch in batches:
-        out = []
-        for row, doc, windows_, places in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "windows", "places")), strict=True):
-            at = np.array([p["at"] for p in places])
-            shingle = np.array([p["shingle"] for p in places], np.int64).view(np.uint64) | (at & 1).astype(np.uint64)
-            for w in windows_:
-                low, high = _reach(w["packed"])
-                mine = shingle[np.searchsorted(at, low << 1) : np.searchsorted(at, high + 1 << 1)]
-                if len(mine) >= need:
-                    out.append((w["value"], doc, row, w["packed"], w["open"], mine.tobytes()))
-        columns = list(zip(*out, strict=True)) or [()] * 6
-        types = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[*_MEMBER, "open", "context"])
-
-
-def _block_pairs(table: pa.Table, need: int) -> pa.Table:
-    """Open windows of a block (side 0) joined to those of a run's block (side 1) that share `need` places of their context."""
-    rows = table.to_pylist()
-    left, right = [r for r in rows if r["side"] == 0], [r for r in rows if r["side"] == 1]
-    out = []
-    if left and right:
-        sets = [np.unique(np.frombuffer(r["context"], np.uint64) >> np.uint64(1)) for r in right]
-        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        for x in left:
-            context = np.frombuffer(x["context"], np.uint64)
-            mine, times = np.unique(context >> np.uint64(1), return_counts=True)
-            low, size = np.searchsorted(flat, mine), np.searchsorted(flat, mine, "right") - np.searchsorted(flat, mine)
-            hit = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
-            shared = np.bincount(owner[hit], np.repeat(times, size), len(right)) + (context & np.uint64(1)).sum()
-            for k in np.nonzero(shared >= need)[0]:
-                me, other = ([r[c] for c in _MEMBER] for r in (x, right[k]))
-                if me[2] != other[2] and (not right[k]["open"] or _earlier(me) < _earlier(other)):
-                    a, b = sorted((me, other), key=_earlier)
-                    out.append((a[2], a[1], b[2], b[1], a[3], b[3]))
-    columns = list(zip(*out, strict=True)) or [()] * 6
-    return pa.table([pa.array(c, pa.int64()) for c in columns], names=_JOINED)
-
-
-def _open_runs(member: DataFrame) -> DataFrame:
-    """Members of runs of three or more in which others than the first document are open; n and n_open of their run."""
-    who = F.struct(F.col("doc_id"), F.col("row"))
-    runs = member.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"), F.min(who).alias("least"), F.max(F.when(F.col("open"), who)).alias("last"))
-    return member.join(runs.where("n > 2 and n_open > 0 and last != least").select("value", "n", "n_open"), "value")
-
-
-def _in_blocks(state: DataFrame):
-    """Groups of at most about BLOCK_A open windows (side 0) and BLOCK_B windows of their run (side 1)."""
-    i_blocks, j_blocks = F.ceil(F.col("n_open") / BLOCK_A).cast("long"), F.ceil(F.col("n") / BLOCK_B).cast("long")
-    spot = F.xxhash64("row", "packed", F.lit(7))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    own = [*_MEMBER, "open", "context"]
-    left = state.where("open").select(*own, F.lit(0).alias("side"), F.pmod(spot, i_blocks).alias("i"), every(j_blocks).alias("j"))
-    right = state.select(*own, F.lit(1).alias("side"), every(i_blocks).alias("i"), F.pmod(spot, j_blocks).alias("j"))
-    return left.union(right).groupBy("value", "i", "j")
-
-
-def joined_intervals(at: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """Windows of one pair of documents -> stretches (a_from, a_to, b_from, b_to) that AGREE hash functions support."""
-    found = []
-    for a, b in at:
-        ca, cb = a >> 36, b >> 36
-        found.append((cb - (b >> 29 & 127), cb + (b >> 22 & 127), ca - (a >> 29 & 127), ca + (a >> 22 & 127), b >> 19 & 7))
+        known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        doc = batch.column("doc_id").fill_null(0).to_numpy()
+        rows = np.stack([batch.column("value").to_numpy(), batch.column("follow").to_numpy(), known, doc, *(batch.column(c).to_numpy() for c in ("row", "packed"))])
+        if not rows.shape[1]:
+            continue
+        skip = 0 if held is None else 2
+        rows = rows if held is None else np.concatenate([held, rows], axis=1)
+        n = rows.shape[1]
+        value, follow = rows[0], rows[1]
+        new = np.append(True, value[1:] != value[:-1])
+        new_follow = new | np.append(True, follow[1:] != follow[:-1])
+        place = np.arange(n)
+        first = np.maximum.accumulate(np.where(new, place, 0))
+        first_follow = np.maximum.accumulate(np.where(new_follow, place, 0))
+        more = np.append(value[1:] == value[:-1], False)
+        out = ~new | more  # of a run with a second row
+        out[:skip] = False
+        if skip and lonely and value[2] == value[0]:
+            out[0] = True
+        other = np.where(first_follow != place, first_follow, first)
+        at = np.nonzero(out)[0]
+        me, them = rows[2:, at], rows[2:, other[at]]
+        apart = ~new[at] & ((me[0] != them[0]) | (me[1] != them[1]) | (me[2] != them[2]))
+        swap = _before(list(me), list(them))
+        a, b = np.where(swap, me, them), np.where(swap, them, me)
+        number = lambda x, there: pa.array(x, pa.int64(), mask=~there.astype(bool))
+        every = np.ones(len(at), bool)
+        columns = [number(rows[0, at], every), number(me[1], me[0]), number(me[2], every), number(me[3], every)]
+        for side in (a, b):
+            columns += [number(side[2], apart), number(side[1], apart & side[0].astype(bool))]
+        columns += [number(a[3], apart), number(b[3], apart)]
+        yield pa.RecordBatch.from_arrays(columns, names=_MEMBER + _JOINED)
+        last = first[-1]
+        whole_run_is_one = last == n - 1 or (skip and last == 0 and n == 2)
+        lonely = bool(whole_run_is_one) if last >= skip or not skip else lonely and value[2] != value[0]
+        held = rows[:, [last, first_follow[-1]]]
+
+
+def joined_intervals(at: list[tuple[int, int]], agree: int = 1) -> list[tuple[int, int, int, int]]:
+    """Windows of one pair of documents -> stretches (a_from, a_to, b_from, b_to) that `agree` hash functions support."""
+    found = [(*_reach(b), *_reach(a), b >> _HASH & 7) for a, b in at]
     done: list[list] = []
     live: list[list] = []
     for low, high, a_low, a_high, h in sorted(found):
@@ -233,147 +210,420 @@ def joined_intervals(at: list[tuple[int, int]]) -> list[tuple[int, int, int, int
             else:
                 others.append(r)
         live = [*others, run]
-    return [(r[2], r[3], r[0], r[1]) for r in done + live if len(r[4]) >= AGREE]
+    return [(r[2], r[3], r[0], r[1]) for r in done + live if len(r[4]) >= agree]
 
 
-def _stretches(batches):
+def _stretches(batches, agree: int):
     for batch in batches:
         out = []
         for *pair, at in zip(*(batch.column(c).to_pylist() for c in ("row_a", "doc_a", "row_b", "doc_b", "at")), strict=True):
-            for s in joined_intervals([(x["at_a"], x["at_b"]) for x in at]):
-                grid = [v // GRID * GRID if i % 2 == 0 else (v // GRID + 1) * GRID for i, v in enumerate(s)]
-                out.append((*pair, *grid))
-        columns = list(zip(*out, strict=True)) or [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row_a", "doc_a", "row_b", "doc_b", "from_a", "to_a", "from_b", "to_b"])
+            for s in joined_intervals([(x["at_a"], x["at_b"]) for x in at], agree):
+                out.append((*pair, *(v // GRID * GRID if i % 2 == 0 else (v // GRID + 1) * GRID for i, v in enumerate(s))))
+        yield table_of(out, ["row_a", "doc_a", "row_b", "doc_b", "from_a", "to_a", "from_b", "to_b"])
 
 
 def _fetched(batches):
     cache = word_hashes()
     for batch in batches:
-        rows, lows, highs, out = [], [], [], []
-        for row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "wanted")), strict=True):
-            base = shingles(hashed((text or "").lower().split(), cache), SHINGLE).astype(np.uint32)
-            for w in wanted:
-                rows.append(row)
-                lows.append(w["low"])
-                highs.append(w["high"])
-                out.append(base[w["low"] : w["high"]].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), pa.array(out, pa.binary())], names=["row", "low", "high", "part"])
+        out = []
+        for doc, row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "wanted")), strict=True):
+            base = _base(text, cache).astype(np.uint32)
+            out += [(doc, row, w["low"], w["high"], base[w["low"] : w["high"]].tobytes()) for w in wanted]
+        yield table_of(out, ["doc_id", "row", "low", "high", "part"], [*[pa.int64()] * 4, pa.binary()])
 
 
-def _dense(x: np.ndarray, among: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """Matching places of x, by runs of all stretches that have a share of at least `threshold` of them.
+def _dense(match: np.ndarray, new: np.ndarray, least: int, threshold: float) -> list[np.ndarray]:
+    """Matching places, by runs of all stretches that have a share of at least `threshold` of them; runs of `least` places.
 
-    A shingle that does not match counts once, as it does for the likeness, so no stretch that is near enough is cut.
+    A shingle that does not match counts once (where it is new), as it does for the likeness, so no stretch
+    that is near enough is cut.
     """
-    match = np.isin(x, among)
-    if not match.any():
+    places = match.nonzero()[0]
+    if not len(places) or places[-1] - places[0] < least - 1:
         return []
-    new = np.zeros(len(x), bool)
-    new[np.unique(x, return_index=True)[1]] = True
-    total = np.concatenate([[0], np.cumsum(np.where(match, 1 - threshold, np.where(new, -threshold, 0)))])
+    total = np.zeros(len(match) + 1)
+    np.cumsum(np.where(match, 1 - threshold, np.where(new, -threshold, 0)), out=total[1:])
     inside = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1]) > -1e-9
-    places = np.nonzero(match)[0]
     apart = np.cumsum(~inside)[places]
-    return np.split(places, np.nonzero(np.diff(apart))[0] + 1)
+    edges = [0, *((apart[1:] != apart[:-1]).nonzero()[0] + 1).tolist(), len(places)]
+    return [places[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True) if places[j - 1] - places[i] >= least - 1]
 
 
-def matching(a: np.ndarray, b: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int]]:
-    """Maximal stretches (a_from, a_to, b_from, b_to), inclusive, of two shingle sequences that are near-duplicates."""
-    todo, out = _dense(b, a, threshold), []
-    while todo:
-        g = todo.pop()
-        low, high = int(g[0]), int(g[-1])
-        if high - low + 1 < least:
-            continue
-        mine = b[low : high + 1]
-        alike, others = None, _dense(a, mine, threshold)
-        while others:
-            other = others.pop()
-            x, y = int(other[0]), int(other[-1])
-            if y - x + 1 < least:
+def _cut(places: np.ndarray) -> list[np.ndarray]:
+    """Places on both sides of their longest gap."""
+    gaps = np.diff(places)
+    if not len(gaps) or gaps.max() <= 1:
+        return []
+    at = int(gaps.argmax()) + 1
+    return [places[:at], places[at:]]
+
+
+class Alike:
+    """Near-duplicate stretches of pairs among some shingle sequences; shingles are numbered once for all of them."""
+
+    def __init__(self, sequences: list[np.ndarray], least: int, threshold: float):
+        self.least, self.threshold = least, threshold
+        number = np.unique(np.concatenate(sequences), return_inverse=True)[1]
+        self.ids = np.split(number, np.cumsum([len(x) for x in sequences])[:-1])
+        self.mark = np.zeros(len(number) + 1, bool)
+        self.new: dict[int, np.ndarray] = {}
+
+    def among(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        self.mark[y] = True
+        out = self.mark[x]
+        self.mark[y] = False
+        return out
+
+    def distinct(self, *parts: np.ndarray) -> int:
+        for x in parts:
+            self.mark[x] = True
+        n = int(np.count_nonzero(self.mark))
+        for x in parts:
+            self.mark[x] = False
+        return n
+
+    def firsts(self, i: int) -> np.ndarray:
+        """Where a sequence's shingles are new in it."""
+        if i not in self.new:
+            out = self.new[i] = np.zeros(len(self.ids[i]), bool)
+            out[np.unique(self.ids[i], return_index=True)[1]] = True
+        return self.new[i]
+
+    def near(self, i: int, k: int, centre: int, need: int) -> bool:
+        """Whether `need` of some `least` places around the centre of sequence i are in sequence k, or were there before."""
+        free = len(self.ids[i]) - np.count_nonzero(self.firsts(i))  # places of shingles that were there before
+        total = np.cumsum(np.append(False, self.among(self.ids[i], self.ids[k])))
+        first, last = max(0, centre - self.least + 1), min(centre, len(total) - 1 - self.least)
+        if total[-1] + free < need or first > last:
+            return False
+        return bool((total[first + self.least : last + self.least + 1] - total[first : last + 1]).max() + free >= need)
+
+    def stretches(self, i: int, k: int, one: bool = False) -> list[tuple[int, int, int, int]]:
+        """Maximal (a_from, a_to, b_from, b_to), inclusive, of sequences i and k that are near-duplicates; one: any of them."""
+        a, b, least, threshold = self.ids[i], self.ids[k], self.least, self.threshold
+        out = []
+        todo = _dense(self.among(b, a), self.firsts(k), least, threshold)
+        while todo:
+            g = todo.pop()
+            low, high = int(g[0]), int(g[-1])
+            if high - low + 1 < least:
                 continue
-            left, right = np.unique(a[x : y + 1]), np.unique(mine)
-            both = len(np.intersect1d(left, right, assume_unique=True))
-            if both >= threshold * (len(left) + len(right) - both):
-                alike = (x, y, low, high)
-                break
-            if (gaps := np.diff(other)).max() > 1:
-                cut = int(gaps.argmax()) + 1
-                others += [other[:cut], other[cut:]]
-        if alike:
-            out.append(alike)
-        elif (gaps := np.diff(g)).max() > 1:
-            cut = int(gaps.argmax()) + 1
-            todo += [g[:cut], g[cut:]]
-    return sorted(out)
+            mine = b[low : high + 1]
+            alike, others = None, _dense(self.among(a, mine), self.firsts(i), least, threshold)
+            while others:
+                other = others.pop()
+                x, y = int(other[0]), int(other[-1])
+                if y - x + 1 < least:
+                    continue
+                left, right, union = self.distinct(a[x : y + 1]), self.distinct(mine), self.distinct(a[x : y + 1], mine)
+                if left + right - union >= threshold * union:
+                    alike = (x, y, low, high)
+                    break
+                others += _cut(other)
+            if alike:
+                out.append(alike)
+                if one:
+                    break
+            else:
+                todo += _cut(g)
+        return sorted(out)
+
+
+def matching(a: np.ndarray, b: np.ndarray, least: int, threshold: float) -> list[tuple[int, int, int, int]]:
+    return Alike([a, b], least, threshold).stretches(0, 1)
 
 
 def _verified(batches, least: int, threshold: float):
+    names = ("row_a", "doc_a", "row_b", "doc_b", "from_a", "from_b", "part_a", "part_b")
     for batch in batches:
         out = []
-        names = ("row_a", "doc_a", "row_b", "doc_b", "from_a", "from_b", "part_a", "part_b")
-        for ra, da, rb, db, fa, fb, pa_, pb in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            for a0, a1, b0, b1 in matching(np.frombuffer(pa_, np.uint32), np.frombuffer(pb, np.uint32), least, threshold):
+        for ra, da, rb, db, fa, fb, left, right in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            for a0, a1, b0, b1 in matching(np.frombuffer(left, np.uint32), np.frombuffer(right, np.uint32), least, threshold):
                 out.append((ra, da, rb, db, fa + a0, fa + a1 + SHINGLE, fb + b0, fb + b1 + SHINGLE))
-        columns = list(zip(*out, strict=True)) or [()] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["row_a", "doc_a", "row_b", "doc_b", "start_a", "end_a", "start_b", "end_b"])
+        yield table_of(out, ["row_a", "doc_a", "row_b", "doc_b", "start_a", "end_a", "start_b", "end_b"])
 
 
-def repeats(docs: DataFrame, least_words: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
-    """One row for each passage of document b that repeats one of document a, which sorts before it.
+_CONTEXT = [*_MEMBER, "open", "core", "context"]
+
+
+def _contexts(batches):
+    """(doc_id, row, text, windows) -> each window with the shingles that it reaches."""
+    cache = word_hashes()
+    for batch in batches:
+        out = []
+        for doc, row, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "windows")), strict=True):
+            base = _base(text, cache).astype(np.uint32)
+            for w in own:
+                low, high = _reach(w["packed"])
+                out.append((w["value"], doc, row, w["packed"], w["open"], w["core"], base[low : high + 1].tobytes()))
+        yield table_of(out, _CONTEXT, [*[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.binary()])
+
+
+def _most_around(flags: np.ndarray, size: np.ndarray, centre: np.ndarray, least: int) -> np.ndarray:
+    """Of contexts laid end to end: the most flags in any `least` places around each centre."""
+    start = np.cumsum(size) - size
+    total = np.concatenate([[0], np.cumsum(flags)])
+    sums = np.append(total[least:] - total[:-least], [0] * least)
+    first, last = start + np.maximum(0, centre - least + 1), start + np.minimum(centre, size - least)
+    edges = np.stack([first, np.maximum(last, first) + 1], axis=1).ravel()
+    return np.where(first <= last, np.maximum.reduceat(sums, edges)[::2], 0)
+
+
+def _possible(contexts: list[np.ndarray], centre: np.ndarray, owner: np.ndarray, least: int, need: int) -> np.ndarray:
+    """Which windows have `need` of some `least` places around their centre in a text of another owner.
+
+    A place whose shingle its own context holds twice counts too, as shingles count once for the likeness.
+    """
+    alive = np.arange(len(contexts))
+    while len(alive) > 1:
+        size = np.array([len(contexts[i]) for i in alive])
+        flat, member = np.concatenate([contexts[i] for i in alive]), np.repeat(np.arange(len(alive)), size)
+        who = owner[alive][member]
+        order = np.lexsort((member, who, flat))
+        f, w, m = flat[order], who[order], member[order]
+        new = np.append(True, f[1:] != f[:-1])
+        run = np.cumsum(new) - 1
+        begin = np.nonzero(new)[0]
+        shared = w[begin] != w[np.append(begin[1:], len(f)) - 1]
+        twice = np.append(False, (f[1:] == f[:-1]) & (m[1:] == m[:-1]))
+        twice[:-1] |= twice[1:]
+        flags = np.zeros(len(flat), np.int64)
+        flags[order] = shared[run] | twice
+        good = _most_around(flags, size, centre[alive], least) >= need
+        if good.all():
+            break
+        alive = alive[good]
+    return alive if len(alive) > 1 else alive[:0]
+
+
+def _near_contexts(sets: list[np.ndarray], least: int, need: int):
+    """(context, centre) -> which of these contexts hold `need` of some `least` of its places around the centre."""
+    sets = [np.unique(x) for x in sets]
+    flat, group = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, group = flat[order], group[order]
+
+    def near(x: np.ndarray, centre: int) -> list[int]:
+        low = np.searchsorted(flat, x)
+        size = np.searchsorted(flat, x, "right") - low
+        hit = group[np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        some = np.nonzero(np.bincount(hit, minlength=len(sets)) >= need)[0]
+        if not len(some):
+            return []
+        turn = np.full(len(sets), -1)
+        turn[some] = np.arange(len(some))
+        own, spot = turn[hit], np.repeat(np.arange(len(x)), size)
+        match = np.zeros((len(some), len(x)), np.int64)
+        match[own[own >= 0], spot[own >= 0]] = 1
+        _, back, times = np.unique(x, return_inverse=True, return_counts=True)
+        match[:, times[back] > 1] = 1
+        most = _most_around(match.ravel(), np.full(len(some), len(x)), np.full(len(some), centre), least)
+        return some[most >= need].tolist()
+
+    return near
+
+
+def _block_pairs(table: pa.Table, need: int, least: int, threshold: float) -> pa.Table:
+    """Open windows of one block joined to a window of each group of linked documents of another block of their run."""
+    rows = table.to_pylist()
+    contexts = [np.frombuffer(r["context"], np.uint32) for r in rows]
+    members = [[r[c] for c in _MEMBER] for r in rows]
+    names: dict = {}
+    owner = np.array([names.setdefault((m[1], m[2]), len(names)) for m in members])
+    centre = np.array([(m[3] >> _CENTRE) - _reach(m[3])[0] for m in members])
+    alive = _possible(contexts, centre, owner, least, need).tolist() if len(rows) > FEW else range(len(rows))
+    alive = sorted(alive, key=lambda i: _earlier(members[i]))
+    above, out, known = {}, [], {}
+
+    def root(i):
+        core = rows[i]["core"]
+        while above.get(core, core) != core:
+            core = above[core]
+        return core
+
+    held: dict[bytes, list[int]] = {}  # windows of the second block by their context, in order of documents
+    for i in alive:
+        if rows[i]["side"] != 0:
+            held.setdefault(rows[i]["context"], []).append(i)
+    groups = list(held.values())
+    near = _near_contexts([contexts[g[0]] for g in groups], least, need) if len(groups) > FEW else None
+    pairs = Alike(contexts, least, threshold)
+    for i in alive:
+        if not rows[i]["open"] or rows[i]["side"] == 1:
+            continue
+        for k in range(len(groups)) if near is None else near(contexts[i], centre[i]):
+            apart = [j for j in groups[k] if owner[j] != owner[i] and root(j) != root(i)]
+            if not apart:
+                continue
+            pair = (rows[i]["context"], k)
+            if pair not in known:
+                first = groups[k][0]
+                known[pair] = pairs.near(first, i, centre[first], need) and bool(pairs.stretches(i, first, True))
+            for j in apart if known[pair] else []:
+                if root(j) != root(i):
+                    out.append(_joined(members[i], members[j]))
+                    above[root(i)] = root(j)
+    return pa.Table.from_batches([table_of(out, _JOINED)])
+
+
+def _spread(batches):
+    """Windows of large runs -> (value, shingle, doc_id, row, packed, at) for each place of their contexts."""
+    for batch in batches:
+        size = np.array([len(x) // 4 for x in batch.column("context").to_pylist()], np.int64)
+        flat = np.frombuffer(b"".join(batch.column("context").to_pylist()), np.uint32).astype(np.int64)
+        take = pa.array(np.repeat(np.arange(len(size)), size))
+        at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        own = [batch.column(c).take(take) for c in ("doc_id", "row", "packed")]
+        yield pa.RecordBatch.from_arrays([batch.column("value").take(take), pa.array(flat), *own, pa.array(at)], names=["value", "shingle", "doc_id", "row", "packed", "at"])
+
+
+def _enough(batches, need: int, least: int):
+    """(value, doc_id, row, packed, at: places shared in the run) -> the windows that have enough around their centre."""
+    for batch in batches:
+        good = []
+        for packed, at in zip(*(batch.column(c).to_pylist() for c in ("packed", "at")), strict=True):
+            low, high = _reach(packed)
+            flags = np.zeros(high - low + 1, np.int64)
+            flags[at] = 1
+            good.append(len(flags) >= least and _most_around(flags, np.array([len(flags)]), np.array([(packed >> _CENTRE) - low]), least)[0] >= need)
+        yield batch.select(_MEMBER).filter(pa.array(good, pa.bool_()))
+
 
-    row_a, doc_a, row_b, doc_b, then word places [start_a, end_a) and [start_b, end_b).
+def _open_runs(member: DataFrame) -> DataFrame:
+    """Members of runs in which others than the first document's are open, and which hold more than one document."""
+    who = F.struct(F.col("doc_id"), F.col("row"))
+    runs = member.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("least"), F.max(who).alias("most"), F.max(F.when(F.col("open"), who)).alias("last"))
+    return member.join(runs.where("n > 2 and most != least and last is not null and last != least").select("value"), "value", "left_semi")
+
+
+def _still_open(member: DataFrame, found: DataFrame) -> DataFrame:
+    """member with `open` (no passage of found that repeats an earlier document covers the centre) and `core`.
+
+    core: of a window that is not open the row of the first document that it repeats, else one of its own.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    least = least_words - SHINGLE + 1
-    source = id_and_text(docs).withColumn("row", row_key())
-    found = source.mapInArrow(lambda it: _window_rows(it, least), "value long, doc_id long, row long, packed long")
-    runs = found.repartition("value").withColumn("follow", F.col("packed").bitwiseAND(0x7FFFF)).sortWithinPartitions("value", "follow", F.col("doc_id").asc_nulls_first(), "row", "packed")
-    member = materialize(runs.select("follow", *_MEMBER).mapInArrow(_stars, f"value long, doc_id long, row long, packed long, {_PAIR}, at_a long, at_b long"), "substring-members")
-
-    def stretches(pairs: DataFrame, label: str) -> DataFrame:
+    held = found.groupBy(F.col("doc_b").alias("doc_id"), F.col("row_b").alias("row"))
+    held = held.agg(F.collect_set(F.struct("doc_a", "row_a", "start_b", "end_b")).alias("held"))
+    centre = F.shiftright("packed", _CENTRE)
+    over = F.filter("held", lambda s: (s["start_b"] <= centre) & (centre < s["end_b"]))
+    first = F.array_min(F.transform(over, lambda s: F.struct(s["doc_a"], s["row_a"])))["row_a"]
+    met = member.join(held.withColumnsRenamed({"doc_id": "held_id", "row": "held_row"}), (F.col("row") == F.col("held_row")) & F.col("doc_id").eqNullSafe(F.col("held_id")), "left")
+    met = met.select(*_MEMBER, first.alias("first"))
+    return met.select(*_MEMBER, F.col("first").isNull().alias("open"), F.coalesce("first", F.xxhash64("row", "packed")).alias("core"))
+
+
+def _in_blocks(state: DataFrame) -> DataFrame:
+    """Groups of at most about BLOCK_A open windows and BLOCK_B windows of their run; side 2: both, in runs of one block."""
+    i_blocks, j_blocks = F.ceil(F.col("n_open") / BLOCK_A).cast("long"), F.ceil(F.col("n") / BLOCK_B).cast("long")
+    spot = F.xxhash64("row", "packed", F.lit(7))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    own = [*_MEMBER, "open", "core", "context"]
+    none = F.lit(0).cast("long")
+    small = state.where((i_blocks == 1) & (j_blocks == 1)).select(*own, F.lit(2).alias("side"), none.alias("i"), none.alias("j"))
+    large = state.where((i_blocks > 1) | (j_blocks > 1))
+    left = large.where("open").select(*own, F.lit(0).alias("side"), F.pmod(spot, i_blocks).alias("i"), every(j_blocks).alias("j"))
+    right = large.select(*own, F.lit(1).alias("side"), every(i_blocks).alias("i"), F.pmod(spot, j_blocks).alias("j"))
+    return small.union(left).union(right)
+
+
+class _Search:
+    """The two rounds over one frame of documents."""
+
+    def __init__(self, docs: DataFrame, least_words: int, threshold: float):
+        if not SHINGLE <= least_words <= 200:
+            raise ValueError("least_words must lie between 5 and 200")
+        self.least, self.threshold = least_words - SHINGLE + 1, threshold
+        self.need = math.ceil(threshold * self.least - 1e-9)
+        self.source = id_and_text(docs).withColumn("row", row_key())
+
+    def texts(self, wanted: DataFrame) -> DataFrame:
+        """The text of each document of wanted(doc_id, row, ...), once however often it is listed."""
+        other = wanted.withColumnsRenamed({"doc_id": "w_id", "row": "w_row"})
+        met = self.source.join(other, (F.col("row") == F.col("w_row")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+        return met.drop("w_id", "w_row")
+
+    def stretches(self, pairs: DataFrame, agree: int, label: str) -> DataFrame:
         pairs = pairs.groupBy("row_a", "doc_a", "row_b", "doc_b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("at"))
-        return materialize(pairs.mapInArrow(_stretches, _PAIR + ", from_a long, to_a long, from_b long, to_b long").distinct(), label)
+        return materialize(pairs.mapInArrow(lambda it: _stretches(it, agree), _PAIR + ", from_a long, to_a long, from_b long, to_b long").distinct(), label)
 
-    def verified(spans: DataFrame, label: str) -> DataFrame:
+    def verified(self, spans: DataFrame, label: str) -> DataFrame:
         # what a text is asked for lies on a grid, so a passage's first document is asked for little, however many repeat it
-        wanted = spans.select(F.col("row_a").alias("row"), F.col("from_a").alias("low"), F.col("to_a").alias("high")).union(spans.select("row_b", "from_b", "to_b")).distinct()
-        wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
-        parts = source.join(wanted, "row").select("row", "text", "wanted").mapInArrow(_fetched, "row long, low long, high long, part binary").dropDuplicates(["row", "low", "high"])
-        parts = materialize(parts, label + "-parts")
-        left = parts.select(F.col("row").alias("row_a"), F.col("low").alias("from_a"), F.col("high").alias("to_a"), F.col("part").alias("part_a"))
-        right = parts.select(F.col("row").alias("row_b"), F.col("low").alias("from_b"), F.col("high").alias("to_b"), F.col("part").alias("part_b"))
-        both = spans.join(left, ["row_a", "from_a", "to_a"]).join(right, ["row_b", "from_b", "to_b"])
-        return materialize(both.select("row_a", "doc_a", "row_b", "doc_b", "from_a", "from_b", "part_a", "part_b").mapInArrow(
-            lambda it: _verified(it, least, threshold), _PAIR + ", start_a long, end_a long, start_b long, end_b long"
-        ), label)
-
-    spans = stretches(member.where("row_a is not null").select(*_JOINED), "substring-stretches")
-    found = verified(spans, "substring-first")
-
-    held = found.groupBy(F.col("row_b").alias("row")).agg(F.collect_set(F.struct("start_b", "end_b")).alias("held"))
-    state = member.select(*_MEMBER).join(held, "row", "left")
-    state = state.withColumn("open", F.expr("not coalesce(exists(held, s -> s.start_b <= shiftright(packed, 36) and shiftright(packed, 36) < s.end_b), false)"))
-    state = materialize(_open_runs(state.drop("held")).select(*_MEMBER, "open"), "substring-open")
-    # a near passage has at most a share 1 - threshold of shingles that its text holds once and no other text holds
-    need = math.ceil(threshold * least - 1e-9)
-    places = source.join(state.groupBy("row").agg(F.collect_set("packed").alias("wanted")), "row").dropDuplicates(["row"]).select("row", "text", "wanted")
-    places = materialize(places.mapInArrow(_places, "shingle long, row long, at long"), "substring-places")
-    shared = places.groupBy("shingle").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low != high").select("shingle", F.lit(True).alias("shared"))
-    profile = places.join(shared, "shingle", "left").where("shared or at % 2 = 1").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "shingle"))).alias("places")).where(F.size("places") >= need)
-    state = state.groupBy("row", "doc_id").agg(F.collect_list(F.struct("value", "packed", "open")).alias("windows")).join(profile, "row")
-    state = materialize(state.select("row", "doc_id", "windows", "places").mapInArrow(lambda it: _contexts(it, need), "value long, doc_id long, row long, packed long, open boolean, context binary"), "substring-contexts")
-    runs = state.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open")).where("n > 1 and n_open > 0")
-    more = _in_blocks(state.join(runs, "value")).applyInArrow(lambda t: _block_pairs(t, need), f"{_PAIR}, at_a long, at_b long")
-    return found.union(verified(stretches(more, "substring-more").exceptAll(spans), "substring-second")).distinct()
-
-
-def _without(batches, names: list[str]):
+        sides = [spans.select(F.col(f"doc_{s}").alias("doc_id"), F.col(f"row_{s}").alias("row"), F.col(f"from_{s}").alias("low"), F.col(f"to_{s}").alias("high")) for s in "ab"]
+        wanted = sides[0].union(sides[1]).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
+        parts = self.texts(wanted).select("doc_id", "row", "text", "wanted").mapInArrow(_fetched, "doc_id long, row long, low long, high long, part binary")
+        parts = materialize(parts.dropDuplicates(["doc_id", "row", "low", "high"]), label + "-parts")
+        both = spans
+        for s in "ab":
+            side = parts.select(F.col("doc_id").alias("p_id"), F.col("row").alias("p_row"), F.col("low").alias("p_low"), F.col("high").alias("p_high"), F.col("part").alias(f"part_{s}"))
+            same = (F.col(f"row_{s}") == F.col("p_row")) & (F.col(f"from_{s}") == F.col("p_low")) & (F.col(f"to_{s}") == F.col("p_high"))
+            both = both.join(side, same & F.col(f"doc_{s}").eqNullSafe(F.col("p_id"))).drop("p_id", "p_row", "p_low", "p_high")
+        both = both.select("row_a", "doc_a", "row_b", "doc_b", "from_a", "from_b", "part_a", "part_b")
+        least, threshold = self.least, self.threshold
+        return materialize(both.mapInArrow(lambda it: _verified(it, least, threshold), _PAIR + ", start_a long, end_a long, start_b long, end_b long"), label)
+
+    def stars(self) -> tuple[DataFrame, DataFrame]:
+        """(members of runs, stretches of their stars)."""
+        least = self.least
+        found = self.source.mapInArrow(lambda it: _window_rows(it, least), "value long, doc_id long, row long, packed long")
+        runs = found.repartition("value").withColumn("follow", F.col("packed").bitwiseAND((1 << _HASH) - 1))
+        runs = runs.sortWithinPartitions("value", "follow", F.col("doc_id").asc_nulls_first(), "row", "packed")
+        schema = f"value long, doc_id long, row long, packed long, {_PAIR}, at_a long, at_b long"
+        member = materialize(runs.select("follow", *_MEMBER).mapInArrow(_stars, schema), "substring-members")
+        return member.select(*_MEMBER), self.stretches(member.where("row_a is not null").select(*_JOINED), AGREE, "substring-stretches")
+
+    def thinned(self, large: DataFrame) -> DataFrame:
+        """Windows of runs of many blocks that have enough around them in other texts of their run."""
+        least, need = self.least, self.need
+        spread = large.select(*_MEMBER, "context").mapInArrow(_spread, "value long, shingle long, doc_id long, row long, packed long, at long")
+        key, who = ["value", "shingle"], F.struct("doc_id", "row", "packed")
+        # held by another window of the run: another text's, or the same text's, whose shingle is there twice
+        shared = spread.groupBy(*key).agg(F.min(who).alias("low"), F.max(who).alias("high"), F.count(F.lit(1)).alias("n"))
+        shared = shared.where("low != high or n > 1").select(*key)
+        places = spread.join(shared, key, "left_semi").groupBy(*_MEMBER).agg(F.collect_list("at").alias("at"))
+        kept = places.mapInArrow(lambda it: _enough(it, need, least), "value long, doc_id long, row long, packed long")
+        kept = kept.withColumnsRenamed({"value": "k_value", "doc_id": "k_id", "row": "k_row", "packed": "k_packed"})
+        same = (F.col("value") == F.col("k_value")) & (F.col("row") == F.col("k_row")) & (F.col("packed") == F.col("k_packed"))
+        return large.join(kept, same & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+
+    def blocks(self, state: DataFrame) -> DataFrame:
+        least, need, threshold = self.least, self.need, self.threshold
+        own = state.groupBy("doc_id", "row").agg(F.collect_set(F.struct("value", "packed", "open", "core")).alias("windows"))
+        texts = self.texts(own).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "windows")
+        schema = "value long, doc_id long, row long, packed long, open boolean, core long, context binary"
+        state = materialize(texts.mapInArrow(_contexts, schema), "substring-contexts")
+
+        def counted(df: DataFrame) -> DataFrame:
+            runs = df.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"))
+            return df.join(runs.where("n > 1 and n_open > 0"), "value")
+
+        state = counted(state)
+        wide = (F.col("n_open") > BLOCK_A) & (F.col("n") > BLOCK_B)
+        large = counted(self.thinned(state.where(wide).drop("n", "n_open")))
+        blocks = _in_blocks(state.where(~wide).unionByName(large)).groupBy("value", "i", "j")
+        return self.stretches(blocks.applyInArrow(lambda t: _block_pairs(t, need, least, threshold), f"{_PAIR}, at_a long, at_b long"), 1, "substring-blocks")
+
+    def run(self) -> DataFrame:
+        member, spans = self.stars()
+        found = self.verified(spans, "substring-first")
+        state = materialize(_open_runs(_still_open(member, found)), "substring-open")
+        rest = self.blocks(state).subtract(spans)
+        return found.union(self.verified(rest, "substring-second")).distinct()
+
+
+def repeats(docs: DataFrame, least_words: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:
+    """One row for each passage of document b that repeats one of document a, which sorts before it.
+
+    row_a, doc_a, row_b, doc_b, then word places [start_a, end_a) and [start_b, end_b). Every passage of a document
+    that an earlier one holds is covered, and documents that share a passage are linked, if not directly then by
+    others that hold it; copies are not expanded into all their pairs.
+    """
+    prepare(docs.sparkSession)
+    return _Search(docs, least_words, threshold).run()
+
+
+def _without(batches):
     for batch in batches:
         texts = []
-        for text, spans in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
             if spans:
                 places = [m.span() for m in _WORD.finditer(text)]
                 parts, at, done = [], 0, 0
@@ -384,14 +634,15 @@ def _without(batches, names: list[str]):
                         at, done = (places[end][0] if end < len(places) else len(text)), end
                 text = "".join(parts) + text[at:]
             texts.append(text)
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
+        yield pa.RecordBatch.from_arrays([batch.column("others"), pa.array(texts, pa.string())], names=["others", "text"])
 
 
 def remove_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs with every passage removed from a text that repeats an earlier document's; all rows stay."""
+    """docs with every passage removed from a text that repeats an earlier document's; all rows and columns stay."""
     found = repeats(docs, **options)
-    spans = found.groupBy(F.col("row_b").alias("__row")).agg(F.collect_set(F.struct("start_b", "end_b")).alias("__spans"))
-    marked = docs.withColumn("text", F.col("text").cast("string")).withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
-    return marked.join(spans, "__row", "left").select(*[F.col(f"`{n}`") for n in names], "__spans").mapInArrow(lambda it: _without(it, names), schema)
+    spans = found.groupBy(F.col("doc_b").alias("s_id"), F.col("row_b").alias("s_row")).agg(F.collect_set(F.struct("start_b", "end_b")).alias("spans"))
+    marked = id_and_text(docs, carried(docs)).withColumn("row", row_key())
+    met = marked.join(spans, (F.col("row") == F.col("s_row")) & F.col("doc_id").eqNullSafe(F.col("s_id")), "left")
+    met = met.select("others", "text", "spans")
+    cut = met.mapInArrow(_without, met.select("others", "text").schema)
+    return restored(cut, docs)

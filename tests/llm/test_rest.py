@@ -155,7 +155,7 @@ def test_windows_equal_brute_force():
                 left = max([k + 1 for k in range(c) if v[k] <= v[c]], default=0)
                 right = min([k - 1 for k in range(c + 1, len(v)) if v[k] < v[c]], default=len(v) - 1)
                 want.add((left, c, right))
-        assert set(substring.windows(v, 6)) == want
+        assert set(zip(*(x.tolist() for x in substring.windows(v, 6)), strict=True)) == want
 
 
 def test_passages(make_docs):
@@ -207,7 +207,7 @@ def test_gaps_as_long_as_the_likeness_allows():
 
 
 def test_windows_on_both_sides_of_an_insertion_are_joined():
-    at = lambda c, left, right, h: c << 36 | left << 29 | right << 22 | h << 19
+    at = lambda c, left, right, h: c << 36 | left << 27 | right << 18 | h << 15
     pairs = [(at(100, 40, 60, 0), at(200, 40, 75, 0)), (at(140, 60, 40, 1), at(255, 75, 40, 1))]
     assert substring.joined_intervals(pairs) == [(60, 180, 160, 295)]
 
@@ -222,6 +222,58 @@ def test_passage_of_frequent_lines(make_docs):
     assert found == {(i, i + 1) for i in range(160, 240, 2)}
 
 
+def test_fragments_of_a_passage_do_not_hide_it(make_docs):
+    """Two documents with a passage whose halves earlier documents hold singly."""
+    for seed in range(2):
+        rng = random.Random(seed)
+        words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        text = lambda p: " ".join(words(60) + p + words(60))
+        whole = words(90)
+        texts = [text(whole[45:]) for _ in range(8)] + [text(whole[:45]) for _ in range(8)] + [text(whole), text(whole)]
+        assert {(r.doc_a, r.doc_b) for r in substring.repeats(make_docs(texts)).collect()} == {(16, 17)}
+
+
+def test_every_exact_repeat_and_most_near_ones_are_found(spark, small_docs, make_docs):
+    """All 50-word windows of all documents are compared; then made passages of likeness 0.8 and more."""
+    texts = {r.doc_id: (r.text or "").lower().split() for r in small_docs.collect()}
+    first, held = {}, {}
+    for i in sorted(texts):
+        for at in range(len(texts[i]) - 49):
+            gram = tuple(texts[i][at : at + 50])
+            if first.setdefault(gram, i) != i:
+                held.setdefault(i, set()).update(range(at, at + 50))
+    covered = {}
+    for r in substring.repeats(small_docs).collect():
+        covered.setdefault(r.doc_b, set()).update(range(r.start_b, r.end_b))
+    assert held and all(places <= covered.get(i, set()) for i, places in held.items())
+
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    made = []
+    for _ in range(300):
+        passage = words(rng.randrange(50, 120))
+        other = list(passage)
+        for _ in range(len(passage) // 50):
+            other[rng.randrange(5, len(other) - 5)] = words(1)[0]
+        made += [" ".join(words(40) + p + words(40)) for p in (passage, other)]
+    found = {(r.doc_a, r.doc_b) for r in substring.repeats(make_docs(made)).collect()}
+    assert sum((i, i + 1) in found for i in range(0, 600, 2)) >= 0.97 * 300 and len(found) <= 300
+
+
+def test_large_runs_are_thinned_without_loss(make_docs, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK_A", 20)
+    monkeypatch.setattr(substring, "BLOCK_B", 30)
+    rng = random.Random(13)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    line = words(35)
+    texts = [" ".join(words(60) + line + words(60)) for _ in range(120)]
+    for _ in range(40):
+        more = words(30)
+        texts += [" ".join(words(60) + line + more + words(60)) for _ in range(2)]
+    found = {(r.doc_a, r.doc_b) for r in substring.repeats(make_docs(texts)).collect()}
+    assert found == {(i, i + 1) for i in range(120, 200, 2)}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     toxic = corpus_pipeline.drop_toxic(spark, docs, SF)
