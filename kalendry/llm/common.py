@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -43,10 +45,25 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes the frame once as Parquet in the shared folder and reads it back."""
-    path = new_folder(df.sparkSession, label)
+    """Cuts lineage: writes the frame once as Parquet in the shared folder and reads it back.
+
+    What the frame was made from is not needed any more, so the driver is asked to let go of it: shuffle files of
+    finished steps are then deleted, and disk holds those of one step at a time.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def row_key():
@@ -103,14 +120,6 @@ class Cache(dict):
         return out
 
 
-def word_hashes() -> Cache:
-    return Cache(lambda w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")))
-
-
-def hashed(words: list[str], cache: Cache) -> np.ndarray:
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finalizer on uint64, vectorised."""
     x = x ^ (x >> np.uint64(30))
@@ -120,6 +129,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A random odd number, its powers and those of its inverse, and a random number for each byte.
+_STEP = 0x9E3779B97F4A7C15
+_SPAN = 1 << 20
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_BLANK = np.isin(np.arange(256), [*b"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f "])
+_OTHER_BLANK = re.compile(r"[^\S ]")
+
+
+@functools.lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _STEP and of its inverse (64 bits), for a stretch of _SPAN bytes."""
+    out = []
+    for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+        x = np.full(_SPAN + 1, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word of a text (lower case, split at white space), all words at once.
+
+    A word's hash is a polynomial in its bytes, taken from prefix sums over the text and mixed.
+    """
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _OTHER_BLANK.sub(" ", text)
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    power, inverse = _powers()
+    out, at = [], 0
+    while at < len(raw):
+        part = raw[at : at + _SPAN]
+        blank = _BLANK[part]
+        if at + _SPAN <= len(raw):  # up to the last blank
+            cut = np.nonzero(blank)[0]
+            if not len(cut):  # a word of that length is hashed whole
+                rest = np.nonzero(_BLANK[raw[at:]])[0]
+                word = raw[at : at + rest[0]] if len(rest) else raw[at:]
+                out.append(mix(np.array([xxhash.xxh3_64_intdigest(word.tobytes())], np.uint64)))
+                at += len(word)
+                continue
+            part, blank = part[: cut[-1] + 1], blank[: cut[-1] + 1]
+        edge = np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8))
+        start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
+        out.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)))
+        at += len(part)
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
 def shingles(words: np.ndarray, n: int) -> np.ndarray:
     """A 64-bit hash of every n consecutive words; of all words where there are fewer (none for none)."""
     n = min(n, len(words))

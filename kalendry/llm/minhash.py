@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalendry.llm.common import hashed, id_and_text, materialize, mix, prepare, row_key, shingles, word_hashes
+from kalendry.llm.common import id_and_text, materialize, mix, prepare, row_key, shingles, word_hashes
 from kalendry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -40,8 +40,14 @@ SLACK = 0.2
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def multiset(words: list[str], cache, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingles(hashed(words, cache), size), return_counts=True)
+def multiset(text: str | None, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(shingles(word_hashes(text), size), return_counts=True)
+
+
+def _key(text: str | None) -> bytes | None:
+    """128 bits of the words of a text; null where there are none."""
+    words = (text or "").lower().split()
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None
 
 
 def units(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -110,14 +116,9 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], registers: int) -> np.
 
 def _sketch(batches, bands: int, rows: int, size: int):
     """(row, doc_id, text) -> (row, doc_id, key, bands, sig)."""
-    cache = word_hashes()
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        keys, bags = [], []
-        for text in texts:
-            words = (text or "").lower().split()
-            keys.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if words else None)
-            bags.append(multiset(words, cache, size))
+        keys, bags = [_key(t) for t in texts], [multiset(t, size) for t in texts]
         sig = np.concatenate([signatures(bags[i : i + 250], bands * rows) for i in range(0, len(bags), 250)]) if bags else np.zeros((0, bands * rows), np.uint32)
         band = np.zeros((len(bags), bands), np.uint64)
         for r in range(rows):
@@ -131,14 +132,10 @@ def _sketch(batches, bands: int, rows: int, size: int):
 
 
 def _unit_rows(batches, size: int):
-    cache = word_hashes()
     for batch in batches:
-        keys, out = [], []
-        for text in batch.column("text").to_pylist():
-            words = (text or "").lower().split()
-            keys.append(xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")))
-            out.append(units(*multiset(words, cache, size)).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.binary())], names=["key", "units"])
+        texts = batch.column("text").to_pylist()
+        out = [units(*multiset(t, size)).tobytes() for t in texts]
+        yield pa.RecordBatch.from_arrays([pa.array([_key(t) for t in texts], pa.binary()), pa.array(out, pa.binary())], names=["key", "units"])
 
 
 def _verified(batches, threshold: float):

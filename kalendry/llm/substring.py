@@ -12,8 +12,8 @@ passage's likeness as probability; runs of equal values hold the candidates. Two
    Windows of a pair of documents that overlap in both texts are joined; what two hash functions support is
    fetched from both texts and verified. A passage in n documents costs n rows, never pairs of all.
 2. Blocks, the exact way for the rest. A window is open while no verified passage of an earlier document
-   covers its centre. Every open window is compared with all windows of its run, for each hash function
-   alone, in blocks of bounded size. Before, windows go that can be part of no passage: those around which
+   covers its centre. Every open window of BLOCK_HASHES hash functions is compared with all windows of its
+   run, for each of them alone, in blocks of bounded size. Before, windows go that can be part of no passage: those around which
    too many shingles are in no other text of the run. A block returns one link to each group of documents
    that are linked already, so a large group costs no pairs either.
 
@@ -23,8 +23,8 @@ share of matching shingles are cut off, and where the likeness falls short, the
 
 Windows reach at most twice the shortest passage to each side: any such passage has a centre, so longer
 ones are covered by the chain of their windows and merged again. In a text that repeats itself, a window that
-follows one of equal value within half the shortest passage is left out without loss: the reach of the one
-kept holds every shortest passage around it.
+follows one of equal value within half the shortest passage may be left out without loss: the reach of the
+one kept holds every shortest passage around it.
 
 Defined cases: null, empty and shorter texts have no passages. Rows equal in doc_id and text are one
 document; equal texts under different ids repeat each other wholly. Repeats within one document are left
@@ -42,13 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalendry.llm.common import carried, hashed, id_and_text, materialize, mix, prepare, restored, row_key
+from kalendry.llm.common import carried, discard, id_and_text, materialize, mix, prepare, restored, row_key
 from kalendry.llm.common import shingles, table_of, word_hashes
 
 SHINGLE, LEAST, THRESHOLD = 5, 50, 0.8
 HASHES, GRID = 5, 64
-#: Hash functions that must support a stretch in the first round; the second needs one.
-AGREE = 2
+#: Hash functions that must support a stretch in the first round; the second needs one of its own number of them.
+AGREE, BLOCK_HASHES = 2, 3
 #: Open windows of a block, and windows of the block they are compared with; in runs up to FEW, bounds cost more than they spare.
 BLOCK_A, BLOCK_B, FEW = 400, 2000, 8
 _WORD = re.compile(r"\S+")
@@ -96,17 +96,17 @@ def _reach(packed: int) -> tuple[int, int]:
     return c - (packed >> _LEFT & _NINE), c + (packed >> _RIGHT & _NINE)
 
 
-def _base(text: str | None, cache) -> np.ndarray:
-    return shingles(hashed((text or "").lower().split(), cache), SHINGLE)
+def _base(text: str | None) -> np.ndarray:
+    return shingles(word_hashes(text), SHINGLE)
 
 
 def _window_rows(batches, least: int):
     """(row, doc_id, text) -> (value, doc_id, row, packed) for every window."""
-    cache, most = word_hashes(), 2 * least
+    most = 2 * least
     for batch in batches:
         values, packed, owner = [], [], []
         for i, text in enumerate(batch.column("text").to_pylist()):
-            base = _base(text, cache)
+            base = _base(text)
             if len(base) < least:
                 continue
             follow = np.append(base[1:], np.uint64(0)).astype(np.int64) & 0x7FFF
@@ -114,14 +114,10 @@ def _window_rows(batches, least: int):
                 mixed = mix(base + np.uint64((h + 1) * 0x9E3779B97F4A7C15 % 2**64))
                 left, centre, right = windows(mixed, least)
                 own = mixed[centre].view(np.int64)
-                if len(np.unique(own)) < len(own):  # the reach of the windows kept holds the others' passages
-                    last: dict[int, int] = {}
-                    kept = []
-                    for k, (c, v) in enumerate(zip(centre.tolist(), own.tolist(), strict=True)):
-                        if c - last.get(v, -least) >= least // 2:
-                            last[v] = c
-                            kept.append(k)
-                    left, centre, right, own = left[kept], centre[kept], right[kept], own[kept]
+                order = np.lexsort((centre, own))  # of equal values one in half a shortest passage: it reaches the others
+                v, slot = own[order], centre[order] // max(least // 2, 1)
+                kept = np.sort(order[np.append(True, (v[1:] != v[:-1]) | (slot[1:] != slot[:-1]))])
+                left, centre, right, own = left[kept], centre[kept], right[kept], own[kept]
                 reach = np.minimum(centre - left, most) << _LEFT | np.minimum(right - centre, most) << _RIGHT
                 values.append(own)
                 packed.append(centre << _CENTRE | reach | h << _HASH | follow[centre])
@@ -223,11 +219,10 @@ def _stretches(batches, agree: int):
 
 
 def _fetched(batches):
-    cache = word_hashes()
     for batch in batches:
         out = []
         for doc, row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "wanted")), strict=True):
-            base = _base(text, cache).astype(np.uint32)
+            base = _base(text).astype(np.uint32)
             out += [(doc, row, w["low"], w["high"], base[w["low"] : w["high"]].tobytes()) for w in wanted]
         yield table_of(out, ["doc_id", "row", "low", "high", "part"], [*[pa.int64()] * 4, pa.binary()])
 
@@ -348,15 +343,16 @@ _CONTEXT = [*_MEMBER, "open", "core", "context"]
 
 def _contexts(batches):
     """(doc_id, row, text, windows) -> each window with the shingles that it reaches."""
-    cache = word_hashes()
+    names = [*_MEMBER, "open", "core", "n", "n_open", "context"]
+    types = [*[pa.int64()] * 4, pa.bool_(), *[pa.int64()] * 3, pa.binary()]
     for batch in batches:
         out = []
         for doc, row, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "windows")), strict=True):
-            base = _base(text, cache).astype(np.uint32)
+            raw = _base(text).astype("<u4").tobytes()
             for w in own:
                 low, high = _reach(w["packed"])
-                out.append((w["value"], doc, row, w["packed"], w["open"], w["core"], base[low : high + 1].tobytes()))
-        yield table_of(out, _CONTEXT, [*[pa.int64()] * 4, pa.bool_(), pa.int64(), pa.binary()])
+                out.append((w["value"], doc, row, w["packed"], w["open"], w["core"], w["n"], w["n_open"], raw[4 * low : 4 * high + 4]))
+        yield table_of(out, names, types)
 
 
 def _most_around(flags: np.ndarray, size: np.ndarray, centre: np.ndarray, least: int) -> np.ndarray:
@@ -490,10 +486,17 @@ def _enough(batches, need: int, least: int):
 
 
 def _open_runs(member: DataFrame) -> DataFrame:
-    """Members of runs in which others than the first document's are open, and which hold more than one document."""
+    """Members of runs of more than one document in which others than the first are open; n and n_open of their run."""
     who = F.struct(F.col("doc_id"), F.col("row"))
-    runs = member.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.min(who).alias("least"), F.max(who).alias("most"), F.max(F.when(F.col("open"), who)).alias("last"))
-    return member.join(runs.where("n > 2 and most != least and last is not null and last != least").select("value"), "value", "left_semi")
+    runs = member.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"), F.min(who).alias("least"), F.max(who).alias("most"), F.max(F.when(F.col("open"), who)).alias("last"))
+    runs = runs.where("n > 2 and most != least and last is not null and last != least")
+    return member.join(runs.select("value", "n", "n_open"), "value")
+
+
+def _counted(member: DataFrame) -> DataFrame:
+    """member with n and n_open of their run, if it still has two members and an open one."""
+    runs = member.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"))
+    return member.join(runs.where("n > 1 and n_open > 0"), "value")
 
 
 def _still_open(member: DataFrame, found: DataFrame) -> DataFrame:
@@ -512,17 +515,19 @@ def _still_open(member: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _in_blocks(state: DataFrame) -> DataFrame:
-    """Groups of at most about BLOCK_A open windows and BLOCK_B windows of their run; side 2: both, in runs of one block."""
+    """Windows with n and n_open of their run -> with side, i, j: groups of about BLOCK_A open windows and BLOCK_B others.
+
+    side 0: open ones, 1: all that they are compared with, 2: both, in runs of one block.
+    """
     i_blocks, j_blocks = F.ceil(F.col("n_open") / BLOCK_A).cast("long"), F.ceil(F.col("n") / BLOCK_B).cast("long")
-    spot = F.xxhash64("row", "packed", F.lit(7))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    own = [*_MEMBER, "open", "core", "context"]
-    none = F.lit(0).cast("long")
-    small = state.where((i_blocks == 1) & (j_blocks == 1)).select(*own, F.lit(2).alias("side"), none.alias("i"), none.alias("j"))
-    large = state.where((i_blocks > 1) | (j_blocks > 1))
-    left = large.where("open").select(*own, F.lit(0).alias("side"), F.pmod(spot, i_blocks).alias("i"), every(j_blocks).alias("j"))
-    right = large.select(*own, F.lit(1).alias("side"), every(i_blocks).alias("i"), F.pmod(spot, j_blocks).alias("j"))
-    return small.union(left).union(right)
+    spot, none = F.xxhash64("row", "packed", F.lit(7)), F.lit(0).cast("long")
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    entry = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+    left = F.when(F.col("open"), F.transform(every(j_blocks), lambda j: entry(0, F.pmod(spot, i_blocks), j)))
+    right = F.transform(every(i_blocks), lambda i: entry(1, i, F.pmod(spot, j_blocks)))
+    both = F.concat(F.coalesce(left, F.array().cast("array<struct<side:int,i:bigint,j:bigint>>")), right)
+    places = F.when((i_blocks == 1) & (j_blocks == 1), F.array(entry(2, none, none))).otherwise(both)
+    return state.select(*_CONTEXT, F.explode(places).alias("at")).select(*_CONTEXT, "at.*")
 
 
 class _Search:
@@ -558,7 +563,10 @@ class _Search:
             both = both.join(side, same & F.col(f"doc_{s}").eqNullSafe(F.col("p_id"))).drop("p_id", "p_row", "p_low", "p_high")
         both = both.select("row_a", "doc_a", "row_b", "doc_b", "from_a", "from_b", "part_a", "part_b")
         least, threshold = self.least, self.threshold
-        return materialize(both.mapInArrow(lambda it: _verified(it, least, threshold), _PAIR + ", start_a long, end_a long, start_b long, end_b long"), label)
+        out = both.mapInArrow(lambda it: _verified(it, least, threshold), _PAIR + ", start_a long, end_a long, start_b long, end_b long")
+        out = materialize(out, label)
+        discard(parts)
+        return out
 
     def stars(self) -> tuple[DataFrame, DataFrame]:
         """(members of runs, stretches of their stars)."""
@@ -568,7 +576,7 @@ class _Search:
         runs = runs.sortWithinPartitions("value", "follow", F.col("doc_id").asc_nulls_first(), "row", "packed")
         schema = f"value long, doc_id long, row long, packed long, {_PAIR}, at_a long, at_b long"
         member = materialize(runs.select("follow", *_MEMBER).mapInArrow(_stars, schema), "substring-members")
-        return member.select(*_MEMBER), self.stretches(member.where("row_a is not null").select(*_JOINED), AGREE, "substring-stretches")
+        return member, self.stretches(member.where("row_a is not null").select(*_JOINED), AGREE, "substring-stretches")
 
     def thinned(self, large: DataFrame) -> DataFrame:
         """Windows of runs of many blocks that have enough around them in other texts of their run."""
@@ -584,29 +592,42 @@ class _Search:
         same = (F.col("value") == F.col("k_value")) & (F.col("row") == F.col("k_row")) & (F.col("packed") == F.col("k_packed"))
         return large.join(kept, same & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
 
+    def contexts(self, state: DataFrame) -> DataFrame:
+        """state with the shingles that each window reaches: a text moves once, to all of its windows."""
+        counts = "open boolean, core long, n long, n_open long"
+        own = state.groupBy("doc_id", "row").agg(F.collect_set(F.struct("value", "packed", "open", "core", "n", "n_open")).alias("windows"))
+        texts = self.texts(own).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "windows")
+        return texts.mapInArrow(_contexts, f"value long, doc_id long, row long, packed long, {counts}, context binary")
+
     def blocks(self, state: DataFrame) -> DataFrame:
+        """Links that blocks find: state holds the windows of open runs, with n and n_open of their run."""
         least, need, threshold = self.least, self.need, self.threshold
-        own = state.groupBy("doc_id", "row").agg(F.collect_set(F.struct("value", "packed", "open", "core")).alias("windows"))
-        texts = self.texts(own).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "windows")
-        schema = "value long, doc_id long, row long, packed long, open boolean, core long, context binary"
-        state = materialize(texts.mapInArrow(_contexts, schema), "substring-contexts")
 
-        def counted(df: DataFrame) -> DataFrame:
-            runs = df.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"))
-            return df.join(runs.where("n > 1 and n_open > 0"), "value")
+        def compared(windows: DataFrame, label: str) -> DataFrame:
+            blocks = _in_blocks(windows).groupBy("value", "i", "j")
+            pairs = blocks.applyInArrow(lambda t: _block_pairs(t, need, least, threshold), f"{_PAIR}, at_a long, at_b long")
+            return self.stretches(pairs, 1, label)
 
-        state = counted(state)
         wide = (F.col("n_open") > BLOCK_A) & (F.col("n") > BLOCK_B)
-        large = counted(self.thinned(state.where(wide).drop("n", "n_open")))
-        blocks = _in_blocks(state.where(~wide).unionByName(large)).groupBy("value", "i", "j")
-        return self.stretches(blocks.applyInArrow(lambda t: _block_pairs(t, need, least, threshold), f"{_PAIR}, at_a long, at_b long"), 1, "substring-blocks")
+        small = compared(self.contexts(state.where(~wide)), "substring-blocks")
+        if state.where(wide).isEmpty():
+            return small
+        large = materialize(self.contexts(state.where(wide)), "substring-contexts")
+        thin = _counted(self.thinned(large).drop("n", "n_open"))
+        large_pairs = compared(thin, "substring-large")
+        discard(large)
+        return small.union(large_pairs).distinct()
 
     def run(self) -> DataFrame:
         member, spans = self.stars()
         found = self.verified(spans, "substring-first")
-        state = materialize(_open_runs(_still_open(member, found)), "substring-open")
-        rest = self.blocks(state).subtract(spans)
-        return found.union(self.verified(rest, "substring-second")).distinct()
+        rest = _still_open(member.where(F.shiftright("packed", _HASH).bitwiseAND(7) < BLOCK_HASHES), found)
+        state = materialize(_open_runs(rest), "substring-open")
+        discard(member)
+        more = self.blocks(state).subtract(spans)
+        second = self.verified(more, "substring-second")
+        discard(state, spans)
+        return found.union(second).distinct()
 
 
 def repeats(docs: DataFrame, least_words: int = LEAST, threshold: float = THRESHOLD) -> DataFrame:

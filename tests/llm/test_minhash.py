@@ -4,7 +4,6 @@ from collections import Counter
 import numpy as np
 
 from kalendry.llm import minhash
-from kalendry.llm.common import word_hashes
 
 
 def bag(text):
@@ -31,14 +30,14 @@ def brute(texts):
 
 
 def test_registers_estimate_weighted_jaccard():
-    rng, cache = random.Random(1), word_hashes()
+    rng = random.Random(1)
     words = [f"w{i}" for i in range(40)]
     a, b = [rng.choice(words[:30]) for _ in range(400)], [rng.choice(words[10:]) for _ in range(300)]
     x, y = Counter(a), Counter(b)
     truth = sum((x & y).values()) / sum((x | y).values())
-    sig = minhash.signatures([minhash.multiset(a, cache, 1), minhash.multiset(b, cache, 1)], 4000)
+    sig = minhash.signatures([minhash.multiset(" ".join(a), 1), minhash.multiset(" ".join(b), 1)], 4000)
     assert abs((sig[0] == sig[1]).mean() - truth) < 0.04
-    assert minhash.likeness(*(minhash.units(*minhash.multiset(w, cache, 1)) for w in (a, b))) == truth
+    assert minhash.likeness(*(minhash.units(*minhash.multiset(" ".join(w), 1)) for w in (a, b))) == truth
 
 
 def test_classes_equal_brute_force(small_docs):
@@ -76,12 +75,12 @@ def test_defined_cases(make_docs, spark):
 def test_blocks_link_what_the_pivot_misses():
     import pyarrow as pa
 
-    rng, cache = np.random.default_rng(3), word_hashes()
+    rng = np.random.default_rng(3)
     words = [str(x) for x in rng.integers(0, 10**9, 200)]
     near = words[:195] + ["z"] * 5
     rows = []
     for key, w in ((b"a", words), (b"b", near)):
-        m = minhash.multiset(w, cache, 5)
+        m = minhash.multiset(" ".join(w), 5)
         rows.append({"side": 0, "key": key, "core": key, "sig": minhash.signatures([m], 100).astype(np.uint8).tobytes(), "units": minhash.units(*m).tobytes()})
     table = pa.Table.from_pylist(rows + [r | {"side": 1} for r in rows])
     assert {tuple(sorted(x.values())) for x in minhash._block_links(table, 0.8, 100).to_pylist()} == {(b"a", b"b")}
