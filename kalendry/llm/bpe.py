@@ -20,8 +20,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import sys
-import unicodedata
 
 import ahocorasick
 import pyarrow as pa
@@ -125,36 +123,32 @@ class Vocabulary:
 
 
 class Codec:
-    """Whole texts to ids and back, as the tokenizers library does with a lower-case word vocabulary."""
+    """Whole texts to ids and back, as the tokenizers library does with a lower-case word vocabulary.
+
+    Composing, lower case and splitting of anything but ASCII are the library's own, from the file's settings, as its
+    character tables are of another edition than Python's; the ids come from Vocabulary.
+    """
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.vocabulary = v = Vocabulary(path)
-        # letters and digits that Python's character table does not know yet are not letters to the library either
-        newer = "".join(c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(sys.maxunicode + 1)))) if unicodedata.category(c) == "Cn")
-        self.newer = frozenset(newer)
-        strict = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{newer}]]+|[\p{{N}}--[{newer}]]|[[^\s\p{{L}}\p{{N}}]||[{newer}]]+"
-        self.strict = regex.compile(strict) if newer else None
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
         self.special = regex.compile("|".join(regex.escape(s) for s in v.special)) if v.special else None
         self.odd = regex.compile(r"[\x1c-\x1f]")
         self.space = regex.compile(f"[{_SPACE}]+")
-        self.words = Cache(self._word)
+        self.words = Cache(v.word)
         self.chunks = Cache(self._chunk)
 
-    def _word(self, word: str) -> list[int]:
-        if word.isascii() and word.isprintable():
-            return self.vocabulary.word(word)
-        return self.vocabulary.word("".join(map(SPELL.__getitem__, word.encode("utf-8", "surrogatepass"))))
-
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, the ids and their tokens as text, of a run of text without white space."""
-        # lower case letter by letter: no word-final form depends on what stands around
-        if chunk.isascii():
-            plain, pieces = chunk.lower(), self.pieces
+        if chunk.isascii() and chunk.isprintable():
+            pieces = self.pieces.findall(chunk.lower())
         else:
-            plain = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()
-            pieces = self.pieces if self.newer.isdisjoint(plain) else self.strict
-        ids = [i for w in pieces.findall(plain) for i in self.words[w]]
+            pieces = [p for p, _ in self.split(self.normal(chunk))]
+        ids = [i for w in pieces for i in self.words[w]]
         return len(ids), " ".join(map(str, ids)), " ".join(map(self.vocabulary.tokens.__getitem__, ids))
 
     def _plain(self, text: str) -> list[tuple[int, str, str]]:

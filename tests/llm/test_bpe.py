@@ -33,6 +33,16 @@ def test_exact_ids_and_round_trip_through_the_decoder(library):
         assert decoded == codec.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point_and_random_texts_of_all_planes(library):
+    codec = bpe.codec(PATH)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{chr(c)}b" for c in points[i : i + 200]) for i in range(0, len(points), 200)]
+    r = random.Random(3)
+    texts += ["".join(chr(r.choice(points)) if r.random() < 0.3 else r.choice("ab 'sT1\u0301é") for _ in range(400)) for _ in range(500)]
+    for text, want in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert codec.encode(text)[1] == " ".join(map(str, want.ids))
+
+
 def test_query_columns(small_docs, library):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     for r in bpe.digests(small_docs, PATH).join(small_docs, "doc_id").collect():
