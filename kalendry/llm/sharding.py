@@ -1,18 +1,22 @@
 """Operator 4: a sharded table with size-tiered compaction and versioned manifests.
 
 Arrivals are appended as small immutable Parquet shards. Shards of similar size (within a factor of FANOUT)
-form tiers; where a tier has FANOUT shards or more, runs of them are merged into shards of up to the target
-size. Every change is a new manifest: its entries (shard, tier, bytes, rows) are written as a table, and a
-version file that names them is then created by an atomic rename that fails if the version exists, so
-readers see the old state or the new one, and of two writers one must start anew. Merging reads each run as
-one task without a shuffle; tasks that are lost are run again and write files of their own attempt. Shards
-that only manifests no longer kept name are removed by vacuum(); a shard that no manifest names may belong to a
-writer that has not committed yet, and is removed only on request, by age.
-
-All file work goes through Hadoop's file systems and Spark's readers, so the folder may lie in any store.
-Rows are kept as they are: nulls, empty and long texts, repeated rows and all columns. Where arrivals differ in
-columns, the table has all of them, null where a row's arrival lacked one. An empty arrival commits a version
-without new shards.
+form tiers; where a tier has FANOUT shards or more, they are merged into shards of up to the target size: one
+job a tier, whose tasks each read some whole shards and write one, without a shuffle. Every change is a new
+manifest, one JSON file that lists the live shards (path, bytes, level). It is created by an atomic rename that
+fails if the version exists, so readers see the old state or the new one, and of two writers one must start
+anew: append() and compact() then try again on the new version, as what they wrote is still good. Tasks that are
+lost are run again and write files of their own attempt.
+
+No commit deletes anything: versions before a compaction stay readable until vacuum() removes what only versions
+before the last `keep` name. A shard that no manifest names may belong to a writer that has not committed
+yet, and is removed only on request, by age.
+
+All file work goes through Hadoop's file systems and Spark's readers, so the folder may lie in any store. The
+driver holds the list of shards (an entry for each TARGET_BYTES of the table), as table formats do. Rows are
+kept as they are: nulls, empty and long texts, repeated rows and all columns, whatever their names. Where
+arrivals differ in columns, the table has all of them, null where a row's arrival lacked one. An empty arrival
+commits a version without new shards, and keeps its columns for reading; a table without any arrival has none.
 """
 
 from __future__ import annotations
@@ -20,14 +24,17 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-TARGET_BYTES, FANOUT, ROWS_PER_ARRIVAL = 32 << 20, 4, 2000
-#: Merged shards that one Spark job writes.
-RUNS_PER_JOB = 32
+from kalendry.llm.common import quoted
+
+TARGET_BYTES, FANOUT, ROWS_PER_ARRIVAL = 128 << 20, 4, 2000
+#: How often a writer that lost a race tries again.
+ATTEMPTS = 20
 
 
 class Conflict(RuntimeError):
@@ -45,6 +52,14 @@ class Shard:
 class Manifest:
     version: int
     shards: tuple[Shard, ...]
+    schema: str = '{"type":"struct","fields":[]}'  # of all arrivals, also those without rows
+
+
+def _wider(schema: str, other: T.StructType) -> str:
+    """The columns of schema and those that other has besides, all nullable."""
+    old = T.StructType.fromJson(json.loads(schema))
+    names = {f.name for f in old}
+    return T.StructType([*old, *(T.StructField(f.name, f.dataType) for f in other if f.name not in names)]).json()
 
 
 class ShardedTable:
@@ -67,15 +82,15 @@ class ShardedTable:
     def manifest(self, version: int) -> Manifest:
         text = "\n".join(r.value for r in self.spark.read.text(f"{self.folder}/versions/{version:012d}.json").collect())
         spec = json.loads(text)
-        return Manifest(spec["version"], tuple(Shard(**s) for s in spec["shards"]))
+        return Manifest(spec["version"], tuple(Shard(**s) for s in spec["shards"]), spec["schema"])
 
-    def commit(self, base: Manifest, shards: tuple[Shard, ...]) -> Manifest:
+    def commit(self, base: Manifest, shards: tuple[Shard, ...], schema: str | None = None) -> Manifest:
         """Makes the next version of base, or raises Conflict if there is one already."""
-        new = Manifest(base.version + 1, tuple(sorted(shards, key=lambda s: s.path)))
+        new = Manifest(base.version + 1, tuple(sorted(shards, key=lambda s: s.path)), schema or base.schema)
         temporary, final = self._path(f"tmp-{uuid.uuid4().hex}"), self._path(f"versions/{new.version:012d}.json")
         out = self.fs.create(temporary, False)
         try:
-            out.write(bytearray(json.dumps({"version": new.version, "shards": [vars(s) for s in new.shards]}).encode()))
+            out.write(bytearray(json.dumps({"version": new.version, "schema": new.schema, "shards": [vars(s) for s in new.shards]}).encode()))
         finally:
             out.close()
         # a rename never replaces a file; where a store would, the check before it is the last guard
@@ -88,24 +103,41 @@ class ShardedTable:
         found = self.fs.listStatus(self._hadoop.Path(folder))
         return tuple(Shard(s.getPath().toString(), s.getLen(), level) for s in found if s.getPath().getName().startswith("part-"))
 
+    def _changed(self, change) -> Manifest:
+        """Commits change(current manifest) -> (shards, schema), on the newest version if another writer was first."""
+        for _ in range(ATTEMPTS):
+            base = self.current()
+            if (new := change(base)) is None:
+                return base
+            try:
+                return self.commit(base, *new)
+            except Conflict:
+                continue
+        raise Conflict(f"{ATTEMPTS} other versions came first")
+
     def append(self, rows: DataFrame, rows_per_shard: int = ROWS_PER_ARRIVAL) -> Manifest:
         """Adds rows as small shards and commits them."""
         folder = f"{self.folder}/data/{uuid.uuid4().hex}"
         rows.write.option("maxRecordsPerFile", rows_per_shard).parquet(folder)
-        base = self.current()
         fresh = self._written(folder, 0)
-        empty = not rows.sparkSession.read.parquet(folder).take(1) if len(fresh) <= 1 else False
-        return self.commit(base, base.shards + (() if empty else fresh))
-
-    def _write_apart(self, merged: DataFrame, folder: str) -> None:
-        """Writes a union of one-task frames as so many tasks: Spark would else see equal partitionings and zip them into one."""
-        name = "spark.sql.unionOutputPartitioning"
-        before = self.spark.conf.get(name)
-        self.spark.conf.set(name, "false")
+        if len(fresh) <= 1 and self.spark.read.schema(rows.schema).parquet(folder).isEmpty():
+            fresh = ()
+        return self._changed(lambda base: (base.shards + fresh, _wider(base.schema, rows.schema)))
+
+    def _merge(self, shards: list[Shard], schema: T.StructType) -> list[Shard]:
+        """Rewrites shards as larger ones: Spark packs whole files into partitions of up to the target size."""
+        settings = {"maxPartitionBytes": self.target, "openCostInBytes": 0, "minPartitionNum": 1}
+        before = {f"spark.sql.files.{k}": self.spark.conf.get(f"spark.sql.files.{k}", None) for k in settings}
+        folder = f"{self.folder}/data/{uuid.uuid4().hex}"
+        level = 1 + max(s.level for s in shards)
         try:
-            merged.write.parquet(folder)
+            for k, v in settings.items():
+                self.spark.conf.set(f"spark.sql.files.{k}", str(v))
+            self.spark.read.schema(schema).parquet(*[s.path for s in shards]).write.parquet(folder)
         finally:
-            self.spark.conf.set(name, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+        return list(self._written(folder, level))
 
     def tier(self, size: int) -> int:
         """How often the size can grow by the fanout before it reaches the target."""
@@ -114,44 +146,36 @@ class ShardedTable:
             size, steps = size * self.fanout, steps + 1
         return -steps
 
-    def _runs(self, shards: tuple[Shard, ...]) -> list[list[Shard]]:
-        """Shards of one tier in order of size, cut into runs of up to the target size."""
+    def _due(self, shards: tuple[Shard, ...]) -> list[list[Shard]]:
+        """Tiers with enough shards, if merging makes them fewer."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
             if s.bytes < 0.75 * self.target:
                 tiers.setdefault(self.tier(s.bytes), []).append(s)
         out = []
         for own in tiers.values():
-            if len(own) < self.fanout:
-                continue
-            run: list[Shard] = []
-            for s in sorted(own, key=lambda s: (s.bytes, s.path)):
-                if run and sum(x.bytes for x in run) + s.bytes > self.target:
-                    out.append(run)
-                    run = []
-                run.append(s)
-            out.append(run)
-        return [r for r in out if len(r) > 1]
+            packed, room = 0, -1
+            for s in sorted(own, key=lambda s: -s.bytes):  # as Spark packs files: the largest first, in turn
+                if s.bytes > room:
+                    packed, room = packed + 1, self.target
+                room -= s.bytes
+            if len(own) >= self.fanout and packed < len(own):
+                out.append(sorted(own, key=lambda s: s.path))
+        return out
 
     def compact(self) -> Manifest:
-        """Merges runs of similar shards until no tier has enough of them; each round is one commit."""
-        now = self.current()
-        while runs := self._runs(now.shards):
-            gone, fresh = set(), []
-            schema = self._rows(now.shards).schema
-            for first in range(0, len(runs), RUNS_PER_JOB):
-                folder = f"{self.folder}/data/{uuid.uuid4().hex}"
-                merged = None
-                for run in runs[first : first + RUNS_PER_JOB]:
-                    one = self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1)
-                    merged = one if merged is None else merged.union(one)
-                    gone |= {s.path for s in run}
-                self._write_apart(merged, folder)
-                level = 1 + max(s.level for run in runs for s in run)
-                fresh += [replace(s, level=level) for s in self._written(folder, level)]
-            now = self.commit(now, tuple(s for s in now.shards if s.path not in gone) + tuple(fresh))
-            for path in gone:  # only these: other unnamed shards may be another writer's, not yet committed
-                self.fs.delete(self._hadoop.Path(path), False)
+        """Merges tiers until none has enough shards; each tier is one commit. The shards merged are left for vacuum()."""
+        while tiers := self._due((now := self.current()).shards):
+            for own in tiers:
+                fresh = tuple(self._merge(own, T.StructType.fromJson(json.loads(now.schema))))
+                gone = {s.path for s in own}
+
+                def change(base: Manifest, gone=gone, fresh=fresh):
+                    if not gone <= {s.path for s in base.shards}:
+                        return None  # another compaction merged some of them: this one's work is dropped
+                    return tuple(s for s in base.shards if s.path not in gone) + fresh, None
+
+                self._changed(change)
         return now
 
     def vacuum(self, keep: int = 2, unknown_after: float | None = None) -> int:
@@ -163,7 +187,7 @@ class ShardedTable:
         named = {s.path for v in versions[-keep:] for s in self.manifest(v).shards}
         known = {s.path for v in versions[:-keep] for s in self.manifest(v).shards}
         gone = 0
-        for folder in self.fs.listStatus(self._path("data")):
+        for folder in self.fs.listStatus(self._path("data")) if self.fs.exists(self._path("data")) else []:
             for s in self.fs.listStatus(folder.getPath()):
                 path = s.getPath().toString()
                 if not s.getPath().getName().startswith("part-") or path in named:
@@ -172,21 +196,27 @@ class ShardedTable:
                     gone += bool(self.fs.delete(s.getPath(), False))
         return gone
 
-    def _rows(self, shards: tuple[Shard, ...]) -> DataFrame:
-        return self.spark.read.option("mergeSchema", "true").parquet(*[s.path for s in shards])
-
     def read(self, version: int | None = None) -> DataFrame:
         m = self.current() if version is None else self.manifest(version)
-        return self._rows(m.shards)
+        schema = T.StructType.fromJson(json.loads(m.schema))
+        if not m.shards:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[s.path for s in m.shards])
 
 
 def shard_report(table: ShardedTable) -> DataFrame:
-    """One row for each live shard, counted from its rows: shard, version, level, bytes, n_rows, n_ids, checksum."""
+    """One row for each live shard, counted from its rows: shard, version, level, bytes, n_rows, n_ids, checksum.
+
+    n_ids counts rows with a doc_id, if the table has that column.
+    """
     m = table.current()
-    spark = table.spark
-    entries = spark.createDataFrame([(s.path.rsplit("/", 1)[1], m.version, s.level, s.bytes) for s in m.shards], "shard string, version long, level int, bytes long")
+    rows = [(s.path.rsplit("/", 1)[1], m.version, s.level, s.bytes) for s in m.shards]
+    entries = table.spark.createDataFrame(rows, "shard string, version long, level int, bytes long")
     if not m.shards:
-        return entries.selectExpr("*", "0L n_rows", "0L n_ids", "0L checksum").limit(0)
+        return entries.selectExpr("*", "0L n_rows", "0L n_ids", "0L checksum")
     rows = table.read()
-    counted = rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard"), "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).alias("h")).groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.count("doc_id").alias("n_ids"), F.bit_xor("h").alias("checksum"))
+    names = [F.col(quoted(c)) for c in rows.columns]
+    ids = F.col("doc_id") if "doc_id" in rows.columns else F.lit(None)
+    own = rows.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("shard"), ids.alias("id"), F.xxhash64(*names).alias("h"))
+    counted = own.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.count("id").alias("n_ids"), F.bit_xor("h").alias("checksum"))
     return entries.join(counted, "shard")
