@@ -2,10 +2,10 @@
 
 Vectors are integers floor(256 * x). The approximation file holds each vector as one byte for each
 dimension: its cell in a uniform grid between the dimension's least and greatest value. For a query the
-cells bound the product from both sides. Queries and vectors meet in blocks. The first pass scans cells
-alone: in each block a query's k best lower bounds, of which Spark keeps the k best over all blocks; the
-kth is the query's limit. The second pass scans cells again and reads exact vectors only where the upper
-bound reaches the limit, in order of upper bound, until the kth exact result is above all bounds left.
+cells bound the product from both sides. Only cells meet queries, in blocks. Each block scans its cells once
+and keeps, for each query, the vectors whose upper bound reaches its kth best lower bound there. Spark then
+takes each query's kth best lower bound over all blocks, drops the vectors whose upper bound falls short of it,
+and reads the exact vectors of those left alone, a handful for each query, by a join on their place in the file.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part; only
 vectors of equal dimension meet; rows with a null id take no part; rows that repeat an id are candidates
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from kalendry.llm.common import materialize, prepare
 
 K = 5
-BLOCK_QUERIES, BLOCK_VECTORS, CELLS = 2048, 16_384, 256
+BLOCK_QUERIES, BLOCK_VECTORS, CELLS = 16_384, 16_384, 256
 
 
 def _matrix(column: pa.ChunkedArray, dtype) -> np.ndarray:
@@ -39,11 +39,12 @@ def _file(batches, grids: dict[int, tuple[np.ndarray, np.ndarray]]):
     """Adds the approximation (cells) to exact integer vectors."""
     for batch in batches:
         ints, cells = [], []
-        for v in batch.column("vector").to_pylist():
-            x = np.array(v, np.float64)
+        for v in batch.column("raw").to_pylist():
+            x = np.floor(256 * np.array(v, np.float64))
             ints.append(x.astype("<f8").tobytes())
             cells.append(_cells(x, *grids[len(x)]).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("dim"), pa.array(ints, pa.binary()), pa.array(cells, pa.binary())], names=["vec_id", "dim", "exact", "cells"])
+        columns = [batch.column("vec_id"), batch.column("dim"), pa.array(ints, pa.binary()), pa.array(cells, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "dim", "exact", "cells"])
 
 
 def _bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,24 +55,26 @@ def _bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.n
     return queries @ centre.T, error + size * 1e-12 + 1e-9
 
 
-def _limits(table: pa.Table, k: int, grids) -> pa.Table:
-    """One block of cells: the k best lower bounds of each query."""
+def _scanned(table: pa.Table, k: int, grids) -> pa.Table:
+    """One block: of each query the vectors whose upper bound reaches its kth best lower bound among the block's cells."""
     side = np.array(table.column("side").to_pylist())
     q, v = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-    ids, lower = [], []
+    found = [[], [], [], []]
     if q.num_rows and v.num_rows:
         names, others = q.column("vec_id").to_numpy(), v.column("vec_id").to_numpy()
+        spots = v.column("spot").to_numpy()
         grid = grids[table.column("dim")[0].as_py()]
-        queries, cells = _matrix(q.column("exact"), "<f8"), _matrix(v.column("cells"), np.uint8)
+        queries, cells = _matrix(q.column("vector"), "<f8"), _matrix(v.column("vector"), np.uint8)
         for i in range(0, len(names), 256):
             estimate, error = _bounds(queries[i : i + 256], cells, *grid)
-            estimate -= error[:, None]
             estimate[names[i : i + 256, None] == others[None, :]] = -np.inf
-            best = -np.sort(-estimate if estimate.shape[1] <= k else np.partition(-estimate, k - 1, axis=1)[:, :k], axis=1)
-            at, j = np.nonzero(np.isfinite(best))
-            ids += names[i + at].tolist()
-            lower += best[at, j].tolist()
-    return pa.table({"query_id": pa.array(ids, pa.int64()), "lower": pa.array(lower, pa.float64())})
+            limit = np.full(len(estimate), -np.inf) if estimate.shape[1] <= k else np.partition(estimate, -k, axis=1)[:, -k] - error
+            at, j = np.nonzero((estimate + error[:, None] >= limit[:, None]) & np.isfinite(estimate))
+            for column, part in zip(found, (names[i + at], spots[j], (estimate[at, j] - error[at]), (estimate[at, j] + error[at])), strict=True):
+                column.append(part)
+    kinds = (np.int64, np.int64, np.float64, np.float64)
+    columns = [pa.array(np.concatenate([*c, np.empty(0, t)]).astype(t)) for c, t in zip(found, kinds, strict=True)]
+    return pa.table(dict(zip(("query_id", "spot", "lower", "upper"), columns, strict=True)))
 
 
 def exact_products(query: np.ndarray, vectors: np.ndarray) -> list[int]:
@@ -81,32 +84,12 @@ def exact_products(query: np.ndarray, vectors: np.ndarray) -> list[int]:
     return [sum(a * int(b) for a, b in zip(whole, row, strict=True)) for row in vectors]
 
 
-def _refined(table: pa.Table, k: int, grids) -> pa.Table:
-    """One block: exact vectors in order of upper bound, until the kth result is certain."""
-    side = np.array(table.column("side").to_pylist())
-    q, v = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
-    out = []
-    if q.num_rows and v.num_rows:
-        names, others, limits = q.column("vec_id").to_numpy(), v.column("vec_id").to_numpy(), q.column("limit").to_pylist()
-        grid = grids[table.column("dim")[0].as_py()]
-        queries, cells, exact = _matrix(q.column("exact"), "<f8"), _matrix(v.column("cells"), np.uint8), _matrix(v.column("exact"), "<f8")
-        for i in range(0, len(names), 256):
-            upper, error = _bounds(queries[i : i + 256], cells, *grid)
-            upper += error[:, None]
-            for r in range(len(upper)):
-                limit = limits[i + r] if limits[i + r] is not None else -np.inf
-                near = np.nonzero((upper[r] >= limit) & (others != names[i + r]))[0]
-                near = near[np.argsort(-upper[r, near], kind="stable")]
-                best: list[tuple[int, int]] = []
-                for first in range(0, len(near), 64):
-                    part = near[first : first + 64]
-                    if len(best) == k and upper[r, part[0]] < -best[-1][0]:
-                        break
-                    scores = exact_products(queries[i + r], exact[part])
-                    best = sorted([*best, *((-s, int(others[j])) for s, j in zip(scores, part, strict=True))])[:k]
-                out += [(int(names[i + r]), j, -s) for s, j in best]
-    columns = list(zip(*out, strict=True)) or [()] * 3
-    return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), columns, strict=True)})
+def _scored(batches):
+    for batch in batches:
+        scores = []
+        for x, y in zip(batch.column("asked").to_pylist(), batch.column("exact").to_pylist(), strict=True):
+            scores += exact_products(np.frombuffer(x, "<f8"), np.frombuffer(y, "<f8")[None, :])
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
 
 
 def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
@@ -122,36 +105,42 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
         low = np.floor(256 * np.array([r.low for r in edges if r.dim == dim]))
         high = np.floor(256 * np.array([r.high for r in edges if r.dim == dim]))
         grids[dim] = (low, np.maximum(high - low + 1, 1) / CELLS)
-    stored = materialize(sound.mapInArrow(lambda it: _file(_floored(it), grids), "vec_id long, dim int, exact binary, cells binary"), "topk-file")
-    asked = stored.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "exact")).alias("own")).select("vec_id", "own.dim", "own.exact")
-    sizes = {r["dim"]: r.n for r in stored.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
+    spot = F.monotonically_increasing_id()  # made as the file is written, and read from it alone
+    stored = sound.mapInArrow(lambda it: _file(it, grids), "vec_id long, dim int, exact binary, cells binary")
+    # of equal vectors only the k + 1 smallest ids can be among a query's k best, k rows of each at most
+    equal, own = Window.partitionBy("dim", "exact").orderBy("vec_id"), Window.partitionBy("dim", "exact", "vec_id").orderBy("dim")
+    stored = stored.withColumn("turn", F.row_number().over(own)).where(F.col("turn") <= k)
+    first = stored.withColumn("place", F.dense_rank().over(equal)).where(is_query | (F.col("place") <= k + 1))
+    stored = materialize(first.withColumn("spot", spot), "topk-file")
+    found = stored.where(F.col("place") <= k + 1)
+    asked = stored.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "exact")).alias("own"))
+    asked = asked.select("vec_id", "own.dim", F.col("own.exact").alias("vector"))
+    sizes = {r["dim"]: r.n for r in found.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     asks = {r["dim"]: r.n for r in asked.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not asks:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    count = lambda n, most: F.create_map(*[F.lit(x) for d, rows in n.items() for x in (d, -(-rows // most))])
-    ways, cuts = count(asks, BLOCK_QUERIES), count(sizes, BLOCK_VECTORS)
-    blocks = lambda m: F.coalesce(m[F.col("dim")], F.lit(0))
-    every = lambda m: F.explode(F.when(blocks(m) > 0, F.sequence(F.lit(0), blocks(m) - 1)).otherwise(F.array().cast("array<int>")))
-    spot = F.xxhash64("vec_id")
-    place = lambda m: F.pmod(spot, F.greatest(blocks(m), F.lit(1)).cast("long")).cast("int")
-
-    def blocked(own: DataFrame, *columns) -> DataFrame:
-        return own.select("dim", F.lit(0).alias("side"), "vec_id", *columns, place(ways).alias("i"), every(cuts).alias("j"))
-
-    none = F.lit(None)
-    left = blocked(asked, "exact", none.cast("binary").alias("cells"))
-    right = stored.select("dim", F.lit(1).alias("side"), "vec_id", none.cast("binary").alias("exact"), "cells", every(ways).alias("i"), place(cuts).alias("j"))
-    lower = left.union(right.select(*left.columns)).groupBy("dim", "i", "j").applyInArrow(lambda t: _limits(t, k, grids), "query_id long, lower double")
+
+    def blocks(rows: dict, most: int):
+        """Blocks of a dimension's rows, none where it has none."""
+        known = F.create_map(*[F.lit(x) for d, n in rows.items() for x in (d, -(-n // most))])
+        return F.coalesce(known[F.col("dim")], F.lit(0))
+
+    def every(n):
+        return F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")))
+
+    def place(key, n):
+        return F.pmod(F.xxhash64(key), F.greatest(n, F.lit(1)).cast("long")).cast("int")
+
+    ways, cuts = blocks(asks, BLOCK_QUERIES), blocks(sizes, BLOCK_VECTORS)
+    none = F.lit(None).cast("long")
+    left = asked.select("dim", F.lit(0).alias("side"), "vec_id", none.alias("spot"), "vector", place("vec_id", ways).alias("i"), every(cuts).alias("j"))
+    right = found.select("dim", F.lit(1).alias("side"), "vec_id", "spot", F.col("cells").alias("vector"), every(ways).alias("i"), place("spot", cuts).alias("j"))
+    schema = "query_id long, spot long, lower double, upper double"
+    near = materialize(left.union(right).groupBy("dim", "i", "j").applyInArrow(lambda t: _scanned(t, k, grids), schema), "topk-near")
     turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("lower")))
-    limits = lower.withColumn("turn", turn).where(F.col("turn") == k).select(F.col("query_id").alias("vec_id"), F.col("lower").alias("limit"))
-    left = blocked(asked.join(limits, "vec_id", "left"), "exact", none.cast("binary").alias("cells"), "limit")
-    right = stored.select("dim", F.lit(1).alias("side"), "vec_id", "exact", "cells", none.cast("double").alias("limit"), every(ways).alias("i"), place(cuts).alias("j"))
-    best = left.union(right.select(*left.columns)).groupBy("dim", "i", "j").applyInArrow(lambda t: _refined(t, k, grids), "query_id long, vec_id long, score long")
+    limits = near.withColumn("turn", turn).where(F.col("turn") == k).select("query_id", F.col("lower").alias("limit"))
+    near = near.join(limits, "query_id", "left").where(F.col("limit").isNull() | (F.col("upper") >= F.col("limit"))).select("query_id", "spot")
+    met = near.join(found.select("spot", "vec_id", "exact"), "spot").join(asked.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("asked")), "query_id")
+    best = met.select("query_id", "vec_id", "asked", "exact").mapInArrow(_scored, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _floored(batches):
-    for batch in batches:
-        rows = [[float(np.floor(256 * x)) for x in v] for v in batch.column("raw").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("dim"), pa.array(rows, pa.list_(pa.float64()))], names=["vec_id", "dim", "vector"])
