@@ -23,12 +23,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kalendry.llm.common import Cache, id_and_text, mix, prepare
+from kalendry.llm.common import Cache, carried, id_and_text, mix, prepare, restored
 
 BUCKETS, DIMENSIONS, NONZERO = 8192, 64, 2
 TRAIN_DOCS, HIDDEN, EPOCHS = 12_000, 32, 60
-BLOCKS, SALTS = 64, 64
+BLOCKS, FAN_IN = 64, 64
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -38,7 +39,7 @@ def _bucket(word: str) -> int:
 
 def _shape(run: str) -> str:
     kinds = []
-    for c in run[:64]:
+    for c in run:
         k = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if not kinds or kinds[-1] != k:
             kinds.append(k)
@@ -87,7 +88,7 @@ def _contexts(batches):
                     held, size = [], 0
     if held:
         add()
-    salt = TaskContext.get().partitionId() % SALTS
+    salt = TaskContext.get().partitionId() // FAN_IN
     parts = sums.reshape(BLOCKS, -1)
     yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([salt] * BLOCKS, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "salt", "sums"])
 
@@ -102,7 +103,13 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors (BUCKETS x DIMENSIONS) from the neighbours of all words of all documents."""
     prepare(docs.sparkSession)
     parts = id_and_text(docs).select("text").mapInArrow(_contexts, "block int, salt int, sums binary")
-    salted = parts.groupBy("block", "salt").applyInArrow(lambda t: _add_up(t, True), "block int, salt int, sums binary")
+    # sums of FAN_IN tasks at a time, as often as their number asks for: no task gathers more than FAN_IN blocks
+    salted, width = parts, -(-docs.rdd.getNumPartitions() // FAN_IN)
+    while True:
+        salted = salted.groupBy("block", "salt").applyInArrow(lambda t: _add_up(t, True), "block int, salt int, sums binary")
+        if width <= FAN_IN:
+            break
+        salted, width = salted.withColumn("salt", F.floor(F.col("salt") / FAN_IN).cast("int")), -(-width // FAN_IN)
     rows = salted.groupBy("block").applyInArrow(lambda t: _add_up(t, False), "block int, sums binary").collect()  # BLOCKS rows of fixed size
     out = np.zeros((BLOCKS, BUCKETS * DIMENSIONS // BLOCKS))
     for r in rows:
@@ -203,6 +210,11 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network, *more) -> Data
     """doc_id, the columns in more, score for every row of docs."""
     prepare(docs.sparkSession)
     source = id_and_text(docs, *more)
-    kept = [f for f in source.schema if f.name != "text"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", score double"
-    return source.mapInArrow(lambda it: _scores(it, vectors, network), schema)
+    kept = T.StructType([f for f in source.schema if f.name != "text"] + [T.StructField("score", T.DoubleType())])
+    return source.mapInArrow(lambda it: _scores(it, vectors, network), kept)
+
+
+def keep_good(docs: DataFrame, vectors: np.ndarray, network: Network, least: float = 0.5) -> DataFrame:
+    """The rows of docs with a score of `least` or more, with all their columns; scores travel with the row."""
+    good = score(docs, vectors, network, carried(docs), F.col("text").cast("string").alias("kept")).where(F.col("score") >= least)
+    return restored(good.select("others", F.col("kept").alias("text")), docs)

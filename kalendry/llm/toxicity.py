@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kalendry.llm.common import Cache, id_and_text, prepare
+from kalendry.llm.common import Cache, carried, id_and_text, prepare, restored
 
 TRAIN_DOCS, WORDS, FOLDS, RIDGE = 12_000, 300, 5, 1.0
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -126,5 +127,11 @@ def score(docs: DataFrame, vocabulary: list[str], chain: Chain, *more) -> DataFr
     """doc_id, the columns in more, probabilities (one for each category, in order) for every row of docs."""
     prepare(docs.sparkSession)
     source = id_and_text(docs, *more)
-    kept = [f for f in source.schema if f.name != "text"]
-    return source.mapInArrow(lambda it: _scored(it, vocabulary, chain), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", probabilities array<double>")
+    kept = T.StructType([f for f in source.schema if f.name != "text"] + [T.StructField("probabilities", T.ArrayType(T.DoubleType()))])
+    return source.mapInArrow(lambda it: _scored(it, vocabulary, chain), kept)
+
+
+def keep_clean(docs: DataFrame, vocabulary: list[str], chain: Chain, category: int, most: float = 0.5) -> DataFrame:
+    """The rows of docs whose probability of a category is below `most`, with all their columns."""
+    p = score(docs, vocabulary, chain, carried(docs), F.col("text").cast("string").alias("kept"))
+    return restored(p.where(F.col("probabilities")[category] < most).select("others", F.col("kept").alias("text")), docs)
