@@ -19,42 +19,33 @@ from kalendry.llm.common import materialize, table
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, p: DataFrame, keep) -> DataFrame:
-    """The columns of docs, of rows whose score passes; scores travel with the row, so nothing is joined."""
-    return p.where(keep).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _carried(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] + [F.col("text").cast("string").alias("kept_text")]
-
-
-def _restored(docs: DataFrame, scored: DataFrame) -> DataFrame:
-    return scored.withColumnRenamed("kept_text", "text")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that operator 9 does not call toxic. Null and empty texts get the intercepts' probability, which is clean."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
     vocabulary, chain = toxicity.learn(table(spark, sf_dir, "documents"), labels, ["junk", "toxic"])
-    scored = toxicity.score(docs, vocabulary, chain, *_carried(docs))
-    return _kept(docs, _restored(docs, scored), F.col("probabilities")[1] < 0.5)
+    return toxicity.keep_clean(docs, vocabulary, chain, 1)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that operator 6 scores 0.5 or more. Null and empty texts get the network's score for no words."""
     vectors = quality.word_vectors(docs)
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     network = quality.train(table(spark, sf_dir, "documents"), labels, vectors)
-    return _kept(docs, _restored(docs, quality.score(docs, vectors, network, *_carried(docs))), F.col("score") >= 0.5)
+    return quality.keep_good(docs, vectors, network)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of operator 1, that with the least doc_id; a null or wordless text is a class of its own row."""
     return minhash.keep_one(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the passages by operator 10 that repeat an earlier document; null texts stay null."""
     return substring.remove_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of operator 5; a null or empty text is the closing id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalendry.llm.common import id_and_text, materialize, mix, prepare, row_key, shingles, word_hashes
+from kalendry.llm.common import carried, id_and_text, materialize, mix, prepare, restored, row_key, shingles, word_hashes
 from kalendry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -268,6 +268,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document of each class: the one with the least doc_id (then row identity)."""
     classes = near_duplicates(docs, **options)
-    kept = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("__row"))
-    marked = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return marked.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least"))
+    kept = kept.select(F.col("least.doc_id").alias("k_id"), F.col("least.row").alias("k_row"))
+    marked = id_and_text(docs, carried(docs)).withColumn("row", row_key())
+    met = marked.join(kept, (F.col("row") == F.col("k_row")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+    return restored(met.dropDuplicates(["doc_id", "row"]), docs)

@@ -12,10 +12,12 @@ passage's likeness as probability; runs of equal values hold the candidates. Two
    Windows of a pair of documents that overlap in both texts are joined; what two hash functions support is
    fetched from both texts and verified. A passage in n documents costs n rows, never pairs of all.
 2. Blocks, the exact way for the rest. A window is open while no verified passage of an earlier document
-   covers its centre. Every open window of BLOCK_HASHES hash functions is compared with all windows of its
-   run, for each of them alone, in blocks of bounded size. Before, windows go that can be part of no passage: those around which
-   too many shingles are in no other text of the run. A block returns one link to each group of documents
-   that are linked already, so a large group costs no pairs either.
+   covers its centre. Every open window of the first BLOCK_HASHES hash functions is compared with all windows
+   of its run, in blocks of bounded size: equal passages have equal windows for every hash function, so none
+   is lost; of likeness s a passage that no star found meets here with probability 1 - (1 - s)^BLOCK_HASHES.
+   Before, windows go that can be part of no passage: those around which too many shingles are in no other
+   text of the run. A block returns one link to each group of documents that are linked already, so a large
+   group costs no pairs either.
 
 A passage is a stretch of a Jaccard likeness of 0.8 or more, measured on 32-bit hashes of the shingles. A gap
 may be as long as the likeness leaves room for in its stretch: only places that lie in no stretch with that
@@ -47,8 +49,8 @@ from kalendry.llm.common import shingles, table_of, word_hashes
 
 SHINGLE, LEAST, THRESHOLD = 5, 50, 0.8
 HASHES, GRID = 5, 64
-#: Hash functions that must support a stretch in the first round; the second needs one of its own number of them.
-AGREE, BLOCK_HASHES = 2, 3
+#: Hash functions that must support a stretch in the first round, and those of the second, which needs one of them.
+AGREE, BLOCK_HASHES = 2, 1
 #: Open windows of a block, and windows of the block they are compared with; in runs up to FEW, bounds cost more than they spare.
 BLOCK_A, BLOCK_B, FEW = 400, 2000, 8
 _WORD = re.compile(r"\S+")
@@ -227,17 +229,19 @@ def _fetched(batches):
         yield table_of(out, ["doc_id", "row", "low", "high", "part"], [*[pa.int64()] * 4, pa.binary()])
 
 
-def _dense(match: np.ndarray, new: np.ndarray, least: int, threshold: float) -> list[np.ndarray]:
+def _dense(x: np.ndarray, match: np.ndarray, new: np.ndarray, least: int, threshold: float) -> list[np.ndarray]:
     """Matching places, by runs of all stretches that have a share of at least `threshold` of them; runs of `least` places.
 
-    A shingle that does not match counts once (where it is new), as it does for the likeness, so no stretch
-    that is near enough is cut.
+    A shingle that does not match counts once (where it is new), and one that matches once where it follows itself,
+    as both do for the likeness, so no stretch that is near enough is cut.
     """
     places = match.nonzero()[0]
     if not len(places) or places[-1] - places[0] < least - 1:
         return []
+    gain = np.where(match, 1 - threshold, np.where(new, -threshold, 0))
+    gain[1:][x[1:] == x[:-1]] = 0
     total = np.zeros(len(match) + 1)
-    np.cumsum(np.where(match, 1 - threshold, np.where(new, -threshold, 0)), out=total[1:])
+    np.cumsum(gain, out=total[1:])
     inside = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1]) > -1e-9
     apart = np.cumsum(~inside)[places]
     edges = [0, *((apart[1:] != apart[:-1]).nonzero()[0] + 1).tolist(), len(places)]
@@ -297,14 +301,14 @@ class Alike:
         """Maximal (a_from, a_to, b_from, b_to), inclusive, of sequences i and k that are near-duplicates; one: any of them."""
         a, b, least, threshold = self.ids[i], self.ids[k], self.least, self.threshold
         out = []
-        todo = _dense(self.among(b, a), self.firsts(k), least, threshold)
+        todo = _dense(b, self.among(b, a), self.firsts(k), least, threshold)
         while todo:
             g = todo.pop()
             low, high = int(g[0]), int(g[-1])
             if high - low + 1 < least:
                 continue
             mine = b[low : high + 1]
-            alike, others = None, _dense(self.among(a, mine), self.firsts(i), least, threshold)
+            alike, others = None, _dense(a, self.among(a, mine), self.firsts(i), least, threshold)
             while others:
                 other = others.pop()
                 x, y = int(other[0]), int(other[-1])
@@ -441,12 +445,21 @@ def _block_pairs(table: pa.Table, need: int, least: int, threshold: float) -> pa
     for i in alive:
         if rows[i]["side"] != 0:
             held.setdefault(rows[i]["context"], []).append(i)
-    groups = list(held.values())
+    groups, place, asked = list(held.values()), {x: k for k, x in enumerate(held)}, {}
     near = _near_contexts([contexts[g[0]] for g in groups], least, need) if len(groups) > FEW else None
     pairs = Alike(contexts, least, threshold)
     for i in alive:
         if not rows[i]["open"] or rows[i]["side"] == 1:
             continue
+        same = place.get(rows[i]["context"])
+        if same in asked and same is not None:  # an equal context was compared already: one link to it says the same
+            first = asked[same]
+            if owner[first] != owner[i] and root(first) != root(i):
+                out.append(_joined(members[i], members[first]))
+                above[root(i)] = root(first)
+            if owner[first] != owner[i]:
+                continue
+        asked[same] = i
         for k in range(len(groups)) if near is None else near(contexts[i], centre[i]):
             apart = [j for j in groups[k] if owner[j] != owner[i] and root(j) != root(i)]
             if not apart:

@@ -121,7 +121,9 @@ def test_sharding_keeps_all_columns_and_uncommitted_shards(spark, tmp_path):
     spark.range(40, 50).selectExpr("id doc_id", "'y' text").coalesce(1).write.parquet(f"{t.folder}/data/late")
     before = t.current()
     done = t.compact()
-    assert len(done.shards) < len(before.shards) and t.vacuum(keep=1) == 0
+    assert len(done.shards) < len(before.shards)
+    assert t.read(before.version).count() == 40  # until vacuum() the versions before can be read
+    assert t.vacuum(keep=1) == len({s.path for s in before.shards} - {s.path for s in done.shards})
     other.commit(other.current(), done.shards + other._written(f"{t.folder}/data/late", 0))
     got = sorted((r.doc_id, r.more) for r in t.read().collect())
     assert got == [(i, i * 2 if 20 <= i < 40 else None) for i in range(50)]
@@ -129,6 +131,38 @@ def test_sharding_keeps_all_columns_and_uncommitted_shards(spark, tmp_path):
     assert t.vacuum() == 0 and t.vacuum(unknown_after=-60) > 0 and t.read().count() == 50
 
 
+def test_sharding_without_rows_and_with_two_writers(spark, tmp_path):
+    t = sharding.ShardedTable(spark, f"file://{tmp_path}/t", fanout=2)
+    assert t.read().count() == 0 and t.vacuum() == 0 and sharding.shard_report(t).count() == 0
+    t.append(spark.range(0).selectExpr("id doc_id", "'x' `a-b`"))
+    assert t.read().columns == ["doc_id", "a-b"] and t.read().count() == 0
+    other = sharding.ShardedTable(spark, t.folder, fanout=2)
+    commit, lost = t.commit, []
+
+    def late(base, *new):  # another writer commits between reading the version and the first attempt
+        if not lost:
+            lost.append(other.append(spark.range(3).selectExpr("id doc_id", "'y' `a-b`")))
+        return commit(base, *new)
+
+    t.commit = late
+    t.append(spark.range(3, 5).selectExpr("id doc_id", "'z' `a-b`"))
+    assert sorted(r.doc_id for r in t.read().collect()) == [0, 1, 2, 3, 4]
+    t.compact()
+    assert sorted(tuple(r) for r in t.read().collect()) == [(0, "y"), (1, "y"), (2, "y"), (3, "z"), (4, "z")]
+
+
+def test_topk_with_many_equal_vectors(spark):
+    rows = [(i, [1.0, 0.5]) for i in range(400)] + [(i, [0.25, 2.0]) for i in range(400, 420)] + [(50, [1.0, 0.5])] * 9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect())
+    ints = [(i, [int(256 * x) for x in v]) for i, v in rows]
+    want = []
+    for i, q in {i: q for i, q in ints if i % 50 == 0}.items():
+        best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in ints if j != i)[:5]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_topk_equals_brute_force(spark):
     rng = random.Random(4)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(300)] + [(i, [0.5] * 8) for i in range(300, 320)]
