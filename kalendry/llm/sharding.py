@@ -124,20 +124,16 @@ class ShardedTable:
             fresh = ()
         return self._changed(lambda base: (base.shards + fresh, _wider(base.schema, rows.schema)))
 
+    def _count(self, shards: list[Shard]) -> int:
+        """Into how many shards these are to be merged."""
+        return -(-sum(s.bytes for s in shards) // self.target)
+
     def _merge(self, shards: list[Shard], schema: T.StructType) -> list[Shard]:
-        """Rewrites shards as larger ones: Spark packs whole files into partitions of up to the target size."""
-        settings = {"maxPartitionBytes": self.target, "openCostInBytes": 0, "minPartitionNum": 1}
-        before = {f"spark.sql.files.{k}": self.spark.conf.get(f"spark.sql.files.{k}", None) for k in settings}
+        """Rewrites shards as fewer and larger ones; coalesce() deals whole partitions to tasks, without a shuffle."""
         folder = f"{self.folder}/data/{uuid.uuid4().hex}"
-        level = 1 + max(s.level for s in shards)
-        try:
-            for k, v in settings.items():
-                self.spark.conf.set(f"spark.sql.files.{k}", str(v))
-            self.spark.read.schema(schema).parquet(*[s.path for s in shards]).write.parquet(folder)
-        finally:
-            for k, v in before.items():
-                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
-        return list(self._written(folder, level))
+        rows = self.spark.read.schema(schema).parquet(*[s.path for s in shards])
+        rows.coalesce(self._count(shards)).write.parquet(folder)
+        return list(self._written(folder, 1 + max(s.level for s in shards)))
 
     def tier(self, size: int) -> int:
         """How often the size can grow by the fanout before it reaches the target."""
@@ -152,16 +148,8 @@ class ShardedTable:
         for s in shards:
             if s.bytes < 0.75 * self.target:
                 tiers.setdefault(self.tier(s.bytes), []).append(s)
-        out = []
-        for own in tiers.values():
-            packed, room = 0, -1
-            for s in sorted(own, key=lambda s: -s.bytes):  # as Spark packs files: the largest first, in turn
-                if s.bytes > room:
-                    packed, room = packed + 1, self.target
-                room -= s.bytes
-            if len(own) >= self.fanout and packed < len(own):
-                out.append(sorted(own, key=lambda s: s.path))
-        return out
+        due = [own for own in tiers.values() if len(own) >= self.fanout and self._count(own) < len(own)]
+        return [sorted(own, key=lambda s: s.path) for own in due]
 
     def compact(self) -> Manifest:
         """Merges tiers until none has enough shards; each tier is one commit. The shards merged are left for vacuum()."""
