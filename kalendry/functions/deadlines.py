@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
+import zoneinfo
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAY = 86_400_000_000
-#: Fixed: zone texts that pages use, and what they mean there.
-ZONES = {
-    "edt": "UTC-4", "cdt": "UTC-5", "mdt": "UTC-6", "pdt": "UTC-7", "cest": "UTC+2", "bst": "UTC+1", "aest": "UTC+10", "aedt": "UTC+11",
-    "et": "America/New_York", "est": "America/New_York", "eastern": "America/New_York",
-    "ct": "America/Chicago", "cst": "America/Chicago", "central": "America/Chicago",
-    "mt": "America/Denver", "mst": "America/Denver", "mountain": "America/Denver",
-    "pt": "America/Los_Angeles", "pst": "America/Los_Angeles", "pacific": "America/Los_Angeles",
+#: Fixed: zone texts that pages use, and what they mean there; names of places may be followed by "time".
+OFFSETS = {"edt": "UTC-4", "cdt": "UTC-5", "mdt": "UTC-6", "pdt": "UTC-7", "cest": "UTC+2", "bst": "UTC+1", "aest": "UTC+10", "aedt": "UTC+11"}
+PLACES = {
+    "et": "America/New_York", "eastern": "America/New_York", "ct": "America/Chicago", "central": "America/Chicago",
+    "mt": "America/Denver", "mountain": "America/Denver", "pt": "America/Los_Angeles", "pacific": "America/Los_Angeles",
 }
+#: Short names of the zone table that Spark has no fixed meaning for.
+_SHORT = {"EST": "UTC-5", "MST": "UTC-7", "HST": "UTC-10"}
+
+
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
 def zone_of(text: Column) -> Column:
-    """A zone that Spark reads as pages mean it, or null."""
-    name = F.regexp_replace(F.lower(F.trim(text)), r"\s+time$", "")
-    table = F.create_map(*[F.lit(x) for pair in ZONES.items() for x in pair])
-    passed = F.when(text.rlike(r"^(UTC|GMT|CET|EET|UTC[+-]\d{1,2}(:\d{2})?|[A-Z][A-Za-z]+/[A-Za-z_/+-]+)$"), text)
-    anywhere = F.when(text.rlike(r"(?i)aoe|anywhere\s+on\s+earth"), F.lit("UTC-12"))
-    return F.coalesce(anywhere, F.try_element_at(table, name), passed)
+    """A zone that Spark can read, as pages mean it, or null: unknown names and offsets beyond 14 hours are no zones."""
+    name = F.trim(text)
+    key = F.lower(name)
+    known = {z: z for z in sorted(zoneinfo.available_timezones()) if "/" in z} | {z: z for z in ("UTC", "GMT", "CET", "EET", "WET", "MET")} | _SHORT
+    hours, minutes = F.regexp_extract(name, r"^UTC[+-](\d{1,2})(?::(\d{2}))?$", 1).try_cast("int"), F.regexp_extract(name, r"^UTC[+-]\d{1,2}:(\d{2})$", 1).try_cast("int")
+    within = (hours * 60 + F.coalesce(minutes, F.lit(0)) <= 14 * 60) & (F.coalesce(minutes, F.lit(0)) < 60)
+    anywhere = F.when(name.rlike(r"(?i)aoe|anywhere\s+on\s+earth"), F.lit("UTC-12"))
+    return F.coalesce(anywhere, _looked_up(OFFSETS, key), _looked_up(PLACES, F.regexp_replace(key, r"\s+time$", "")), _looked_up(known, name), F.when(within, name))
 
 
 def instant(local: Column, zone: Column) -> Column:
     """yyyy-MM-dd HH:mm[:ss] in a zone -> timestamp (session zone UTC), or null."""
     shape = local.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}(:\d{2})?$")
-    return F.when(shape, F.to_utc_timestamp(F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm[:ss]")), zone))
+    return F.when(shape, F.to_utc_timestamp(F.try_to_timestamp(local, F.lit("yyyy-MM-dd HH:mm[:ss]")), zone_of(zone)))
 
 
 def deadlines(abstract: Column, paper: Column) -> Column:
@@ -52,6 +59,26 @@ def _cases(pairs, other: Column) -> Column:
     return reduce(lambda c, p: c.when(*p), pairs[1:], F.when(*pairs[0])).otherwise(other)
 
 
+def start_days(start: Column, zone: Column, asof: Column) -> Column:
+    """Days from today's midnight (UTC) to the start's midnight in the event's zone (UTC if it has none), rounded."""
+    begins = F.to_utc_timestamp(start.cast("timestamp"), F.coalesce(zone_of(zone), F.lit("UTC")))
+    return F.round((F.unix_micros(begins) - F.unix_micros(F.date_trunc("day", asof))) / F.lit(float(DAY))).cast("long")
+
+
+def countdown(at: Column, asof: Column) -> Column:
+    """Days, hours, minutes, seconds to a moment, zero-padded; zeros once it is past."""
+    left = F.greatest(F.floor((F.unix_micros(at) - F.unix_micros(asof)) / 1_000_000), F.lit(0).cast("long"))
+    return F.format_string("%02d:%02d:%02d:%02d", F.floor(left / 86400), F.floor(left / 3600) % 24, F.floor(left / 60) % 60, left % 60)
+
+
+#: Fixed: what is said of an event without deadlines, by its deadline_status.
+NO_DEADLINE = {"attendance": "Registration only, no submission", "tba": "Deadline to be announced"}
+
+
+def no_deadline_label(status: Column) -> Column:
+    return F.coalesce(_looked_up(NO_DEADLINE, status), F.lit("No deadlines on record"))
+
+
 def urgency(days: Column) -> Column:
     return _cases([(days <= 3, "urgent"), (days <= 7, "soon"), (days <= 30, "month")], F.lit("later"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,8 +98,42 @@ def normal_url(url: Column) -> Column:
     return F.when(head == "", None).otherwise(F.concat(F.lower(head), F.when(rest.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(rest, "/$", ""))))
 
 
+def ipv4_of(host: Column) -> Column:
+    """The 32 bits of a host that is an address in one to four decimal, octal or hexadecimal parts; null for names."""
+    parts = F.split(host, r"\.")
+    octal = lambda p: F.conv(p, 8, 10)
+    number = lambda p: F.when(p.rlike("^0x[0-9a-f]*$"), F.conv(F.concat(F.lit("0"), F.substr(p, F.lit(3))), 16, 10)).when(p.rlike("^0[0-7]+$"), octal(p)).when(p.rlike("^[0-9]+$"), p).try_cast("long")
+    values = F.transform(parts, number)
+    n = F.size(values)
+    high = F.aggregate(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.lit(0).cast("long"), lambda acc, v: acc * 256 + v)
+    room = F.pow(F.lit(256.0), (5 - n).cast("double")).cast("long")
+    fits = n.between(1, 4) & ~F.exists(values, lambda v: v.isNull()) & (F.try_element_at(values, F.lit(-1)) < room)
+    return F.when(fits, high * room + F.try_element_at(values, F.lit(-1)))
+
+
+#: Fixed: networks that must not be fetched from (address, bits).
+PRIVATE = (((0, 0), 8), ((10, 0), 8), ((100, 64), 10), ((127, 0), 8), ((169, 254), 16), ((172, 16), 12), ((192, 168), 16))
+
+
+def private_ipv4(ip: Column) -> Column:
+    inside = [F.shiftrightunsigned(ip, 32 - bits) == (((a << 24) | (b << 16)) >> (32 - bits)) for (a, b), bits in PRIVATE]
+    return reduce(lambda x, y: x | y, inside)
+
+
 def url_refusal(url: Column) -> Column:
     """Why an address must not be fetched (null: it may be): no web address, or a private host."""
-    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
-    private = r"^(localhost|.*\.local|.*\.internal|0\..*|10\..*|127\..*|169\.254\..*|192\.168\..*|172\.(1[6-9]|2[0-9]|3[01])\..*|\[.*\])$"
-    return F.when(~F.coalesce(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit("")).isin("http", "https"), "scheme").when(host == "", "host").when(host.rlike(private), "private")
+    given = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
+    host = F.regexp_replace(given, r"\.$", "")
+    named = host.rlike(r"^(localhost|.*\.localhost|.*\.local|.*\.internal)$")
+    six = host.rlike(r"^\[(::1?|::ffff:.*|fe[89ab][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*)\]$")
+    private = named | six | F.coalesce(private_ipv4(ipv4_of(host)), F.lit(False))
+    scheme = F.coalesce(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
+    return F.when(~scheme.isin("http", "https"), "scheme").when(host == "", "host").when(private, "private")
+
+
+#: Pages with less text than this are fetched again by other means.
+LEAST_TEXT = 200
+
+
+def too_short(text: Column) -> Column:
+    return F.length(F.trim(F.coalesce(text, F.lit("")))) < LEAST_TEXT

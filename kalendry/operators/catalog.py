@@ -80,3 +80,35 @@ def earlier_editions(rows: DataFrame, key: str, year: str, ord_: str, value: str
 
 def repeated(rows: DataFrame, *key: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def within(rows: DataFrame, days_left: Column, days: int) -> DataFrame:
+    """Rows that are ahead by at most so many days, soonest first."""
+    return rows.withColumn("days_left", days_left.cast("long")).where((F.col("days_left") <= days)).orderBy("days_left", "ord")
+
+
+def extra_occurrences(rows: DataFrame, *key: str) -> DataFrame:
+    """Each key once for every occurrence after its first: turn runs from 2 on."""
+    return repeated(rows, *key).select(*key, F.explode(F.sequence(F.lit(2).cast("long"), "n")).alias("turn"))
+
+
+def page_label(rows: DataFrame, number: int, size: int = 12) -> DataFrame:
+    """One row: total, pages, and "a-b of n" of page `number` (empty if the page is)."""
+    first = (number - 1) * size
+    out = rows.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
+    text = F.concat_ws("", F.lit(f"{first + 1}-"), F.least(F.col("total"), F.lit(first + size)).cast("string"), F.lit(" of "), F.col("total").cast("string"))
+    return out.withColumn("shown", F.when(F.col("total") > first, text).otherwise(""))
+
+
+#: The orders that a list may be asked for, as sort keys after operators.catalog.tiered.
+ORDERS = {
+    "deadline": ["tier", "key1", "key2", "ord"],
+    "start": ["-start", "ord"],
+    "hindex": ["-hindex", "ord"],
+}
+
+
+def ordered(rows: DataFrame, by: str) -> DataFrame:
+    """rows in one of ORDERS; an unknown name is the order by deadline."""
+    keys = [F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc(k) for k in ORDERS.get(by, ORDERS["deadline"])]
+    return rows.orderBy(*keys)

@@ -22,8 +22,12 @@ def change_log(current: DataFrame, facts: DataFrame, key: str, fields: list[str]
 
 
 def upsert(current: DataFrame, facts: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """current with the facts written, except null facts and pinned fields; applying it twice changes nothing."""
-    met = current.join(facts.select(key, *[F.col(f).alias(f"__{f}") for f in fields]), key, "left")
+    """current with the facts written, except null facts and pinned fields; applying it twice changes nothing.
+
+    Of several facts for one key the greatest value of each field counts, so no entry is doubled.
+    """
+    known = facts.groupBy(key).agg(*[F.max(f).alias(f"__{f}") for f in fields])
+    met = current.join(known, key, "left")
     new = {f: F.when(F.coalesce(F.array_contains("sync_pin", f), F.lit(False)), F.col(f)).otherwise(F.coalesce(f"__{f}", f)) for f in fields}
     return met.withColumns(new).select(*current.columns)
 
@@ -114,3 +118,29 @@ def preferences(current: DataFrame, changes: DataFrame, asof) -> DataFrame:
     now["reminder_days"] = F.when(turned_on, F.coalesce("new_reminder_days", usual)).otherwise(now["reminder_days"])
     moved = F.when(F.col("there") & F.col("asked"), asof).otherwise(F.col("updated_at"))
     return met.select("user", *[c.alias(n) for n, c in now.items()], moved.alias("updated_at"))
+
+
+def applied(current: DataFrame, facts: DataFrame) -> DataFrame:
+    """What a run does with facts(title, year, deadline) on current(ord, title, year, deadline).
+
+    action: updated (every row of that title and year, if the fact differs), kept, drafted (a new edition, inserted
+    after its title's last earlier one; several new editions of one title follow each other by year) or no earlier
+    edition. Rows: action, title, year, ord (of the row, or of the one that it is inserted after), old, new.
+    """
+    said = facts.groupBy("title", "year").agg(F.max("deadline").alias("new"))
+    mine = current.select("ord", "title", "year", F.col("deadline").alias("old"))
+    met = mine.join(said, ["title", "year"])
+    action = F.when(F.col("new").isNull() | F.col("new").eqNullSafe(F.col("old")), "kept").otherwise("updated")
+    matched = met.select(action.alias("action"), "title", "year", "ord", "old", "new")
+    fresh = said.join(mine.select("title", "year").distinct(), ["title", "year"], "left_anti")
+    before = mine.select("title", F.col("year").alias("y"), "ord")
+    last = fresh.join(before, (fresh.title == before.title) & (F.col("y") < F.col("year")), "left").groupBy(fresh.title, "year")
+    last = last.agg(F.max("new").alias("new"), F.max(F.struct("y", "ord")).alias("p"))
+    kind = F.when(F.col("p.ord").isNull(), "no earlier edition").otherwise("drafted")
+    return matched.union(last.select(kind.alias("action"), "title", "year", F.col("p.ord"), F.lit(None).cast(mine.schema["old"].dataType), "new"))
+
+
+def only_deadlines(facts: DataFrame, fields: tuple = ("deadline", "abstract_deadline")) -> DataFrame:
+    """Facts that may write deadlines alone: all others are unset (the key, the title and the year stay)."""
+    kept = {"key", "title", "year", *fields}
+    return facts.select(*[F.col(c) if c in kept else F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in facts.columns])

@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SEGMENT = r"^(.+?):\s+([A-Za-z]{3} \d{1,2} \d{4} \d{1,2}:\d{2}[AP]M) UTC([+-]\d{1,2})$"
-
-
 def value_of(content: Column, key: str) -> Column:
-    """The field's text; null if it is absent or empty."""
-    return F.nullif(F.get_json_object(content, f"$.{key}.value"), F.lit(""))
+    """The field's text; null if it is absent, empty or no text (a number, a list, an object)."""
+    raw = F.get_json_object(content, "$." + key)
+    text = F.from_json(raw, "value string").value
+    plain = F.from_json(raw, "value variant").value
+    return F.when(F.schema_of_variant(plain) == "STRING", F.nullif(text, F.lit("")))
 
 
 def deadline_in(dates: Column, label: str) -> Column:
-    """UTC instant of "label: May 07 2026 11:59AM UTC-0" in a list of such segments; the last valid one."""
+    """UTC instant of "label: May 07 2026 11:59AM UTC-0" in a list of such segments; the last valid one.
+
+    A segment's last five words are the local time (month, day, year, clock) and the offset; before them stands the label.
+    """
 
     def parsed(segment):
-        local = F.try_to_timestamp(F.regexp_extract(segment, _SEGMENT, 2), F.lit("MMM d yyyy h:mma"))
-        offset = F.regexp_extract(segment, _SEGMENT, 3).try_cast("int")
-        at = local - F.make_dt_interval(F.lit(0), offset)
-        return F.when(F.trim(F.regexp_extract(segment, _SEGMENT, 1)) == label, at)
+        words = F.split(segment, r"\s+")
+        name = F.array_join(F.slice(words, 1, F.greatest(F.size(words) - 5, F.lit(0))), " ")
+        last = lambda n: F.try_element_at(words, F.lit(-n))
+        local = F.try_to_timestamp(F.concat_ws(" ", last(5), last(4), last(3), last(2)), F.lit("MMM d yyyy h:mma"))
+        offset = F.regexp_extract(last(1), r"^UTC([+-]\d{1,2})$", 1).try_cast("int")
+        return F.when(name == f"{label}:", local - F.make_dt_interval(F.lit(0), offset))
 
     found = F.array_compact(F.transform(F.split(dates, ", "), lambda s: parsed(F.trim(s))))
     return F.try_element_at(found, F.lit(-1))

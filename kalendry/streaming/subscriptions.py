@@ -51,5 +51,10 @@ def stream(spark: SparkSession, events: DataFrame, folder: str) -> DataFrame:
 
     query = events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress.batchId if query.lastProgress else 0
-    return spark.read.parquet(f"{folder}/state-{last}").where("joined").select("channel", F.col("at").alias("since"))
+    # the newest state there is: a run without new events writes none
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [s.getPath().getName() for s in fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs_path)]
+    epochs = [int(n[6:]) for n in names if n.startswith("state-")]
+    if not epochs:
+        return latest(spark.createDataFrame([], "channel string, at timestamp, seq int, joined boolean")).where("joined").select("channel", F.col("at").alias("since"))
+    return spark.read.parquet(f"{folder}/state-{max(epochs)}").where("joined").select("channel", F.col("at").alias("since"))

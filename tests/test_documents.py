@@ -111,6 +111,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, subscriptions.active(rows).collect()))
 
 
+def test_stream_runs_again_without_new_events(spark, tmp_path):
+    schema = "channel string, at timestamp, seq int, joined boolean"
+    spark.range(9).selectExpr("concat('c', id % 4) as channel", "timestamp_seconds(id) as at", "cast(id as int) as seq", "id % 2 = 0 as joined").write.parquet(str(tmp_path / "in"))
+    run = lambda: sorted(map(tuple, subscriptions.stream(spark, spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "state")).collect()))
+    first = run()
+    assert first and run() == first and run() == first
+
+
+def test_upsert_takes_one_fact_a_key(spark):
+    now = spark.createDataFrame([("a", "x", None)], "id string, place string, sync_pin array<string>")
+    facts = spark.createDataFrame([("a", "y"), ("a", "z")], "id string, place string")
+    assert [tuple(r) for r in merge.upsert(now, facts, "id", ["place"]).select("id", "place").collect()] == [("a", "z")]
+
+
 def test_failures_end_subscriptions(spark):
     active = spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "u"), ("d", "v")], "channel string, team string")
     failed = spark.createDataFrame([("a", "t", "is_archived"), ("c", "u", "token_revoked"), ("d", "v", "ratelimited")], "channel string, team string, error string")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kalendry.functions import deadlines as dl
 from kalendry.functions import text as tx
 from kalendry.operators import evidence
+from kalendry.sources import portal
 
 
 def _one(spark, text, f):
@@ -64,3 +65,31 @@ def test_settled_kinds(spark):
     assert sorted((r.edition, r.kind, r.pos, r.said, r.kept_said, r.rivals) for r in got.collect()) == [
         (1, "abstract", 0, "paper", False, 0), (1, "paper", 1, "paper", False, 0), (2, "abstract", 0, "abstract", True, 0), (2, "paper", 1, "paper", True, 0), (3, "paper", 0, "paper", False, 1),
     ]
+
+
+def test_hosts_that_are_refused(spark):
+    bad = ["ftp://example.org/x", "file:///etc/passwd", "not a url"] + [f"http://{h}/x" for h in ("localhost", "127.0.0.1", "10.1.2.3", "172.16.0.1", "192.168.1.1", "169.254.1.1", "[::1]", "0.0.0.0", "100.64.0.1", "100.127.255.1", "[fe80::1]", "[fe9f::1]", "[febf::1]", "[fd00::1]", "[::ffff:127.0.0.1]", "0x7f.1", "2130706433", "localhost.")]
+    good = ["https://example.org/x", "http://100.128.0.1/", "http://[2001:db8::1]/x", "http://1.2.3.4.5/"]
+    rows = spark.createDataFrame([(u, u in good) for u in bad + good], "u string, fine boolean").select("u", "fine", tx.url_refusal(F.col("u")).isNull().alias("got")).collect()
+    assert [r.u for r in rows if r.got != r.fine] == []
+
+
+def test_unknown_zones_do_not_end_the_job(spark):
+    rows = spark.createDataFrame([(z,) for z in ("Mars/Base", "UTC+99", "EDT time", "Klingon", None, "America/New_York")], "z string")
+    got = rows.select(dl.instant(F.lit("2026-07-01 12:00"), F.col("z")).cast("string").alias("t")).collect()
+    assert [r.t for r in got] == [None] * 5 + ["2026-07-01 16:00:00"]
+
+
+def test_entry_zone_and_flags(spark):
+    page = "Paper submission: 1 May 2026"
+    rows = [(1, 0, 2026, "paper", "2026-05-01", None, z, page, "2026-02-31", page, own) for z, own in (("Mars/Base", "UTC-12"), (None, "UTC-12"), ("UTC+1", "UTC-12"), ("", None))]
+    claims = spark.createDataFrame(rows, "edition int, pos int, year int, kind string, date string, time string, zone_text string, evidence string, start_date string, page string, entry_zone string")
+    got = evidence.gated(claims, F.lit("2026-01-01").cast("timestamp")).select(F.col("at").cast("string").alias("at"), "flags", "drop_reason").collect()
+    assert [r.at for r in got] == ["2026-05-02 11:59:00", "2026-05-02 11:59:00", "2026-05-01 22:59:00", "2026-05-01 23:59:00"]
+    assert [list(r.flags) for r in got] == [["unknown zone", "start is no date"]] + [["start is no date"]] * 3 and {r.drop_reason for r in got} == {None}
+
+
+def test_portal_values_that_are_no_text(spark):
+    content = '{"a": {"value": "x"}, "b": {"value": {"a": 1}}, "c": {"value": 3}, "d": {"value": ""}, "e": {"value": ["p"]}}'
+    row = spark.createDataFrame([(content,)], "c string").select(*[portal.value_of(F.col("c"), k).alias(k) for k in "abcdef"]).first()
+    assert tuple(row) == ("x", None, None, None, None, None)
