@@ -502,7 +502,7 @@ def _open_runs(member: DataFrame) -> DataFrame:
     """Members of runs of more than one document in which others than the first are open; n and n_open of their run."""
     who = F.struct(F.col("doc_id"), F.col("row"))
     runs = member.groupBy("value").agg(F.count(F.lit(1)).alias("n"), F.count_if("open").alias("n_open"), F.min(who).alias("least"), F.max(who).alias("most"), F.max(F.when(F.col("open"), who)).alias("last"))
-    runs = runs.where("n > 2 and most != least and last is not null and last != least")
+    runs = runs.where("most != least and last is not null and last != least")
     return member.join(runs.select("value", "n", "n_open"), "value")
 
 
