@@ -148,17 +148,21 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of every word of a text (lower case, split at white space), all words at once.
-
-    A word's hash is a polynomial in its bytes, taken from prefix sums over the text and mixed.
-    """
+def _lowered(text: str | None) -> bytes:
     text = (text or "").lower()
     if not text.isascii():
         text = _OTHER_BLANK.sub(" ", text)
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return text.encode("utf-8", "surrogatepass")
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a text of _lowered() starts, and a 64-bit hash of it, all words at once.
+
+    A word's hash is a polynomial in its bytes, taken from prefix sums over the text and mixed.
+    """
+    raw = np.frombuffer(text, np.uint8)
     power, inverse = _powers()
-    out, at = [], 0
+    starts, out, at = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
     while at < len(raw):
         part = raw[at : at + _SPAN]
         blank = _BLANK[part]
@@ -167,6 +171,7 @@ def word_hashes(text: str | None) -> np.ndarray:
             if not len(cut):  # a word of that length is hashed whole
                 rest = np.nonzero(_BLANK[raw[at:]])[0]
                 word = raw[at : at + rest[0]] if len(rest) else raw[at:]
+                starts.append(np.array([at]))
                 out.append(mix(np.array([xxhash.xxh3_64_intdigest(word.tobytes())], np.uint64)))
                 at += len(word)
                 continue
@@ -175,9 +180,35 @@ def word_hashes(text: str | None) -> np.ndarray:
         start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
         total = np.zeros(len(part) + 1, np.uint64)
         np.cumsum(_BYTE[part] * power[: len(part)], out=total[1:])
+        starts.append(start + at)
         out.append(mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)))
         at += len(part)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(out)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of every word of a text (lower case, split at white space)."""
+    return _words(_lowered(text))[1]
+
+
+def word_hashes_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """word_hashes() of many texts end to end, and the number of words of each."""
+    raw = [_lowered(t) for t in texts]
+    starts, out = _words(b"\n".join(raw))
+    edges = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return out, np.diff(np.searchsorted(starts, edges))
+
+
+def parts_of(texts: list[str | None], size: int = 1 << 21):
+    """(from, to) of stretches of a list of texts with about `size` characters, one text at least."""
+    first, total = 0, 0
+    for i, t in enumerate(texts):
+        if total and total + len(t or "") > size:
+            yield first, i
+            first, total = i, 0
+        total += len(t or "")
+    if texts:
+        yield first, len(texts)
 
 
 def shingles(words: np.ndarray, n: int) -> np.ndarray:

@@ -44,8 +44,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalendry.llm.common import carried, discard, id_and_text, materialize, mix, prepare, restored, row_key
-from kalendry.llm.common import shingles, table_of, word_hashes
+from kalendry.llm.common import carried, discard, id_and_text, materialize, mix, parts_of, prepare, restored, row_key
+from kalendry.llm.common import shingles, table_of, word_hashes_of
 
 SHINGLE, LEAST, THRESHOLD = 5, 50, 0.8
 HASHES, GRID = 5, 64
@@ -98,35 +98,49 @@ def _reach(packed: int) -> tuple[int, int]:
     return c - (packed >> _LEFT & _NINE), c + (packed >> _RIGHT & _NINE)
 
 
-def _base(text: str | None) -> np.ndarray:
-    return shingles(word_hashes(text), SHINGLE)
+def _bases(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles of many texts end to end, where each text's start and how many they are; 0 between two texts."""
+    words, count = word_hashes_of(texts)
+    first, size = np.cumsum(count) - count, np.maximum(count - SHINGLE + 1, 0)
+    if len(words) < SHINGLE:
+        return np.empty(0, np.uint64), first, size
+    base = shingles(words, SHINGLE)
+    own = np.arange(len(words)) < np.repeat(first + size, count)
+    return np.where(own[: len(base)], base, np.uint64(0)), first, size
 
 
 def _window_rows(batches, least: int):
-    """(row, doc_id, text) -> (value, doc_id, row, packed) for every window."""
+    """(row, doc_id, text) -> (value, doc_id, row, packed) for every window.
+
+    Many texts go through the tree at once: the zeros between them are less than any hash, so no window crosses them.
+    """
     most = 2 * least
     for batch in batches:
-        values, packed, owner = [], [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            base = _base(text)
-            if len(base) < least:
-                continue
+        texts = batch.column("text").to_pylist()
+        for start, end in parts_of(texts):
+            base, first, _ = _bases(texts[start:end])
+            gap = base == 0
             follow = np.append(base[1:], np.uint64(0)).astype(np.int64) & 0x7FFF
-            for h in range(HASHES):
+            values, packed, owner = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for h in range(HASHES if len(base) else 0):
                 mixed = mix(base + np.uint64((h + 1) * 0x9E3779B97F4A7C15 % 2**64))
+                mixed[gap] = 0
                 left, centre, right = windows(mixed, least)
-                own = mixed[centre].view(np.int64)
-                order = np.lexsort((centre, own))  # of equal values one in half a shortest passage: it reaches the others
-                v, slot = own[order], centre[order] // max(least // 2, 1)
-                kept = np.sort(order[np.append(True, (v[1:] != v[:-1]) | (slot[1:] != slot[:-1]))])
-                left, centre, right, own = left[kept], centre[kept], right[kept], own[kept]
+                text = np.searchsorted(first, centre, "right") - 1  # of texts without words the last, which has the words
+                own, place = mixed[centre].view(np.int64), centre - first[text]
+                order = np.lexsort((centre, own, text))  # of equal values one in half a shortest passage: it reaches the others
+                order = order[~gap[centre[order]]]
+                v, t, slot = own[order], text[order], place[order] // max(least // 2, 1)
+                new = np.append(True, (v[1:] != v[:-1]) | (t[1:] != t[:-1]) | (slot[1:] != slot[:-1]))[: len(order)]
+                kept = np.sort(order[new])
+                left, centre, right = left[kept], centre[kept], right[kept]
                 reach = np.minimum(centre - left, most) << _LEFT | np.minimum(right - centre, most) << _RIGHT
-                values.append(own)
-                packed.append(centre << _CENTRE | reach | h << _HASH | follow[centre])
-                owner.append(np.full(len(own), i))
-        at = pa.array(np.concatenate([*owner, np.empty(0, np.int64)]).astype(np.int64))
-        columns = [pa.array(np.concatenate([*c, np.empty(0, np.int64)])) for c in (values, packed)]
-        yield pa.RecordBatch.from_arrays([columns[0], batch.column("doc_id").take(at), batch.column("row").take(at), columns[1]], names=_MEMBER)
+                values.append(own[kept])
+                packed.append(place[kept] << _CENTRE | reach | h << _HASH | follow[centre])
+                owner.append(text[kept] + start)
+            at = pa.array(np.concatenate(owner))
+            columns = [pa.array(np.concatenate(c)) for c in (values, packed)]
+            yield pa.RecordBatch.from_arrays([columns[0], batch.column("doc_id").take(at), batch.column("row").take(at), columns[1]], names=_MEMBER)
 
 
 def _earlier(x: tuple):
@@ -214,19 +228,26 @@ def joined_intervals(at: list[tuple[int, int]], agree: int = 1) -> list[tuple[in
 def _stretches(batches, agree: int):
     for batch in batches:
         out = []
-        for *pair, at in zip(*(batch.column(c).to_pylist() for c in ("row_a", "doc_a", "row_b", "doc_b", "at")), strict=True):
-            for s in joined_intervals([(x["at_a"], x["at_b"]) for x in at], agree):
+        ats, lists = batch.column("at"), batch.column("at").flatten()
+        edges = np.concatenate([[0], np.cumsum(ats.value_lengths().to_numpy())]).tolist()
+        at = list(zip(*(lists.field(c).to_pylist() for c in ("at_a", "at_b")), strict=True))
+        pairs = zip(*(batch.column(c).to_pylist() for c in ("row_a", "doc_a", "row_b", "doc_b")), strict=True)
+        for pair, low, high in zip(pairs, edges[:-1], edges[1:], strict=True):
+            for s in joined_intervals(at[low:high], agree):
                 out.append((*pair, *(v // GRID * GRID if i % 2 == 0 else (v // GRID + 1) * GRID for i, v in enumerate(s))))
         yield table_of(out, ["row_a", "doc_a", "row_b", "doc_b", "from_a", "to_a", "from_b", "to_b"])
 
 
 def _fetched(batches):
     for batch in batches:
-        out = []
-        for doc, row, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "wanted")), strict=True):
-            base = _base(text).astype(np.uint32)
-            out += [(doc, row, w["low"], w["high"], base[w["low"] : w["high"]].tobytes()) for w in wanted]
-        yield table_of(out, ["doc_id", "row", "low", "high", "part"], [*[pa.int64()] * 4, pa.binary()])
+        columns = [batch.column(c).to_pylist() for c in ("text", "doc_id", "row", "wanted")]
+        for start, end in parts_of(columns[0]):
+            out = []
+            base, first, size = _bases(columns[0][start:end])
+            base = base.astype(np.uint32)
+            for f, n, doc, row, wanted in zip(first.tolist(), size.tolist(), *(c[start:end] for c in columns[1:]), strict=True):
+                out += [(doc, row, w["low"], w["high"], base[f + w["low"] : f + min(w["high"], n)].tobytes()) for w in wanted]
+            yield table_of(out, ["doc_id", "row", "low", "high", "part"], [*[pa.int64()] * 4, pa.binary()])
 
 
 def _dense(x: np.ndarray, match: np.ndarray, new: np.ndarray, least: int, threshold: float) -> list[np.ndarray]:
@@ -308,17 +329,18 @@ class Alike:
             if high - low + 1 < least:
                 continue
             mine = b[low : high + 1]
-            alike, others = None, _dense(a, self.among(a, mine), self.firsts(i), least, threshold)
+            right, alike = self.distinct(mine), None
+            # a pair's common shingles are no more than its places here, its union no less than `right`
+            possible = lambda parts: [p for p in parts if len(p) >= threshold * right and p[-1] - p[0] >= least - 1]  # noqa: B023, E731
+            others = possible(_dense(a, self.among(a, mine), self.firsts(i), least, threshold)) if len(g) >= threshold * right else []
             while others:
                 other = others.pop()
                 x, y = int(other[0]), int(other[-1])
-                if y - x + 1 < least:
-                    continue
-                left, right, union = self.distinct(a[x : y + 1]), self.distinct(mine), self.distinct(a[x : y + 1], mine)
+                left, union = self.distinct(a[x : y + 1]), self.distinct(a[x : y + 1], mine)
                 if left + right - union >= threshold * union:
                     alike = (x, y, low, high)
                     break
-                others += _cut(other)
+                others += possible(_cut(other))
             if alike:
                 out.append(alike)
                 if one:
@@ -350,13 +372,16 @@ def _contexts(batches):
     names = [*_MEMBER, "open", "core", "n", "n_open", "context"]
     types = [*[pa.int64()] * 4, pa.bool_(), *[pa.int64()] * 3, pa.binary()]
     for batch in batches:
-        out = []
-        for doc, row, text, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text", "windows")), strict=True):
-            raw = _base(text).astype("<u4").tobytes()
-            for w in own:
-                low, high = _reach(w["packed"])
-                out.append((w["value"], doc, row, w["packed"], w["open"], w["core"], w["n"], w["n_open"], raw[4 * low : 4 * high + 4]))
-        yield table_of(out, names, types)
+        columns = [batch.column(c).to_pylist() for c in ("text", "doc_id", "row", "windows")]
+        for start, end in parts_of(columns[0]):
+            out = []
+            base, first, _ = _bases(columns[0][start:end])
+            raw = base.astype("<u4").tobytes()
+            for f, doc, row, own in zip(first.tolist(), *(c[start:end] for c in columns[1:]), strict=True):
+                for w in own:
+                    low, high = _reach(w["packed"])
+                    out.append((w["value"], doc, row, w["packed"], w["open"], w["core"], w["n"], w["n_open"], raw[4 * (f + low) : 4 * (f + high) + 4]))
+            yield table_of(out, names, types)
 
 
 def _most_around(flags: np.ndarray, size: np.ndarray, centre: np.ndarray, least: int) -> np.ndarray:
