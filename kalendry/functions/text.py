@@ -137,3 +137,8 @@ LEAST_TEXT = 200
 
 def too_short(text: Column) -> Column:
     return F.length(F.trim(F.coalesce(text, F.lit("")))) < LEAST_TEXT
+
+
+def page_key(url: Column) -> Column:
+    """The name under which a page is kept."""
+    return F.left(F.sha2(url, 256), F.lit(24))
