@@ -5,8 +5,11 @@ frequent training words, the end, and an escape; an escaped word is spelled by w
 closed by a blank. Both trees are Huffman trees, so every text has one sequence of bits, and a probability for each
 bit gives a probability for each text. Four predictors give the chance of a bit from counts over all training
 documents: by the tree node alone, and by the node with each of three hashed contexts (the token before, the two
-before, the one before that; in spelled words one, two and four bytes before). A fifth follows the token that came
-after the same two tokens earlier in the text. A mixer adds their log odds by weights of a set that is chosen by how
+before, the last of the few most frequent words; in spelled words the two bytes before, the four before, the two with
+that frequent word). Of tokens that are
+not frequent a context only holds the last byte, and the first two contexts stay out of the lower nodes, so contexts
+are seen often enough to count. A fifth predictor follows the token that came after the same two tokens earlier in
+the text. A mixer adds their log odds by weights of a set that is chosen by how
 much the contexts have been seen (the gate), and corrects that set after each bit; an adaptive table by tree depth
 and mixed odds refines the result and learns as well.
 
@@ -45,10 +48,14 @@ from kalendry.llm.common import crc_fold, id_and_text, materialize, mix, parts_o
 WORDS, LEAST_COUNT, LONGEST_WORD, MOST_BITS = 1 << 17, 8, 64, 21
 #: Slots of the tree nodes alone: WORDS + 1 of the words, 255 of the bytes.
 NODES = 1 << 18
-SEGMENT, EVENTS = 128, 1 << 22
+#: Words that are contexts of their own: before and two before (coarse), before (finer), and the last of the few most frequent.
+TOPS = (64, 2048, 32)
+#: Depths of the words' tree from which the first two contexts are left out, and the slot that stands for that.
+DEEPEST, UNUSED = (11, 9, None), NODES - 1
+SEGMENT, EVENTS = 256, 1 << 22
 INPUTS, GATES, DEPTHS, STEPS = 5, 64, 24, 24
 #: Rates of the mixer and of the adaptive table.
-RATE, TABLE_RATE, LEARN_RATE = 0.002, 0.01, 0.01
+RATE, TABLE_RATE, LEARN_RATE = 0.005, 0.02, 0.1
 PIECES, FAN_IN, ENTRIES = 64, 64, 1 << 19
 LEAST, FOLD = 1 / 65536, 1
 END = b"\n"
@@ -100,6 +107,7 @@ class Code:
         self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int32)
         self.nodes = np.fromiter(chain.from_iterable(n for n, _ in walks), np.int32)
         self.bits = np.fromiter(chain.from_iterable(b for _, b in walks), np.int8)
+        self.tail = np.array([*(w[-1] for w, _ in words), 0, 10], np.int64)
         self.depth = (np.arange(len(self.nodes)) - np.repeat(self.start, self.length)).astype(np.int32)
 
 
@@ -115,16 +123,27 @@ class Symbols:
         last = first + sizes - 1
         token[last] = end
         spelled = np.nonzero(token == escape)[0]
-        own = mix((token + 1).astype(np.uint64))
+        own, kind = mix((token + 1).astype(np.uint64)), code.tail[token]
         rare = [flat[i] for i in spelled.tolist()]
         own[spelled] = np.fromiter(map(xxhash.xxh3_64_intdigest, rare), np.uint64, len(rare))
-        before = [np.zeros_like(own), np.zeros_like(own)]
-        for k, b in enumerate(before, 1):
-            b[k:] = own[:-k]
-            for j in range(k):
-                b[np.minimum(first + j, last)] = 0
-        two = mix(before[0] * _ODD + before[1])
+        kind[spelled] = np.fromiter((w[-1] for w in rare), np.int64, len(rare))
         text_of = np.repeat(np.arange(len(texts)), sizes)
+        place = np.arange(len(token)) - first[text_of]
+
+        def back(values, k):
+            """The value k tokens before, -1 before the text starts."""
+            out = np.full(len(values), -1, np.int64)
+            out[k:] = values[: len(values) - k].astype(np.int64)
+            out[place < k] = -1
+            return out.astype(np.uint64)
+
+        two = mix(back(own, 1) * _ODD + back(own, 2))
+        # contexts are few enough to be seen often: a frequent word, or the last byte of another
+        coarse, finer = (np.where(token < top, token, code.byte + kind) for top in TOPS[:2])
+        lead = np.maximum.accumulate(np.where(token < TOPS[2], np.arange(len(token)), -1))
+        lead = np.concatenate([[-1], lead[:-1]])
+        lead = np.where(lead >= first[text_of], token[lead], -1).astype(np.uint64)
+        near_words = (back(finer, 1), back(coarse, 1) * _ODD + back(coarse, 2), lead)
 
         # the token that followed the same two tokens earlier in the text
         order = np.lexsort((np.arange(len(token)), two, text_of))
@@ -141,12 +160,13 @@ class Symbols:
         is_token[at] = True
         place = np.arange(len(raw)) - np.repeat(np.cumsum(letters) - letters, letters)
         near = [np.where(place >= k, np.concatenate([np.full(min(k, len(raw)), 32), raw[:-k]]), 32).astype(np.uint64) for k in (1, 2, 3, 4)]
-        one, pair = near[0], near[0] * np.uint64(256) + near[1]
-        four = (pair * np.uint64(256) + near[2]) * np.uint64(256) + near[3]
+        pair = near[0] * np.uint64(256) + near[1]
+        leads = np.repeat(lead[spelled], letters) + np.uint64(7)
+        near_bytes = (pair, (pair * np.uint64(256) + near[2]) * np.uint64(256) + near[3], leads * np.uint64(1 << 24) + pair)
         self.symbol = np.empty(len(is_token), np.int32)
         self.symbol[is_token], self.symbol[~is_token] = token, raw + code.byte
         self.contexts = []
-        for tag, (a, b) in enumerate(((before[0], one), (two, pair), (before[1], four)), 1):
+        for tag, (a, b) in enumerate(zip(near_words, near_bytes, strict=True), 1):
             c = np.empty(len(is_token), np.uint32)
             c[is_token], c[~is_token] = (mix(a + np.uint64(tag)) >> np.uint64(32)), (mix(b * np.uint64(16) + np.uint64(8 + tag)) >> np.uint64(32))
             self.contexts.append(c)
@@ -155,7 +175,7 @@ class Symbols:
         self.spelled = ~is_token
         self.owner = np.repeat(text_of, width)
         self.token, self.rare, self.text_of, self.is_rare = token, rare, text_of, spelled
-        self.n_bytes = np.bincount(text_of, np.fromiter(map(len, flat), np.int64, len(flat)) + 1, minlength=len(texts)).astype(np.int64) - 1
+        self.n_bytes = np.bincount(text_of, np.fromiter(map(len, flat), np.int64, len(flat)) + 1, minlength=len(texts)).astype(np.int64) - 2
 
     def segments(self, code: Code):
         """(from, to) of stretches of symbols: SEGMENT of one text, or what is left of it."""
@@ -185,12 +205,16 @@ class Symbols:
         ahead = code.start[symbols] - (np.cumsum(n) - n).astype(np.int32)
         return which, np.repeat(ahead, n) + np.arange(len(which), dtype=np.int32)
 
-    def slots(self, which: np.ndarray, node: np.ndarray, bits: int):
-        """The slot of each predictor that counts."""
+    def slots(self, code: Code, which: np.ndarray, place: np.ndarray, bits: int):
+        """The slot of each predictor that counts; UNUSED where a predictor leaves the lower nodes of the words' tree alone."""
+        node, depth = code.nodes[place], code.depth[place] - np.int32(1000) * self.spelled[which]
         yield node
         own = node.astype(np.uint32) * _ODD_NODE
-        for k, c in enumerate(self.contexts):
-            yield ((c[which] ^ own) * _ODD_SLOT >> np.uint32(32 - bits)).astype(np.int32) + np.int32(NODES + (k << bits))
+        for k, (c, deep) in enumerate(zip(self.contexts, DEEPEST, strict=True)):
+            slot = ((c[which] ^ own) * _ODD_SLOT >> np.uint32(32 - bits)).astype(np.int32) + np.int32(NODES + (k << bits))
+            if deep:
+                slot[depth >= deep] = UNUSED
+            yield slot
 
 
 def slots_of(bits: int) -> int:
@@ -245,7 +269,7 @@ def _count(batches, shared, bits: int):
             for start, stop, _ in symbols.chunks(code):
                 which, place = symbols.walk(code, start, stop)
                 bit = code.bits[place]
-                for slot in symbols.slots(which, code.nodes[place], bits):
+                for slot in symbols.slots(code, which, place, bits):
                     np.add.at(table, 2 * slot + bit, 1)
     task = TaskContext.get().partitionId()
     for k, piece in enumerate(np.array_split(table, PIECES)):
@@ -289,7 +313,9 @@ def tables(counts: DataFrame, bits: int) -> np.ndarray:
     """seen_of() all slots: 2 bytes a slot, at most 14 MB."""
     rows = {r.piece: r.seen for r in counts.groupBy("piece").applyInArrow(_seen, "piece int, seen binary").collect()}
     sizes = [len(x) // 2 for x in np.array_split(np.empty(2 * slots_of(bits), np.int8), PIECES)]
-    return np.concatenate([np.frombuffer(zlib.decompress(rows[k]), np.uint16) if k in rows else np.full(n, 12 * 512 << 2, np.uint16) for k, n in enumerate(sizes)])
+    out = np.concatenate([np.frombuffer(zlib.decompress(rows[k]), np.uint16) if k in rows else np.full(n, 12 * 512 << 2, np.uint16) for k, n in enumerate(sizes)])
+    out[UNUSED] = 12 * 512 << 2
+    return out
 
 
 def at_first() -> tuple[np.ndarray, np.ndarray]:
@@ -310,7 +336,7 @@ class Mixer:
         """Log odds of the predictors for every bit, its gate and its row of the adaptive table."""
         code, x, levels = self.code, np.empty((len(which), INPUTS), np.float32), []
         node, depth, spelled = code.nodes[place], code.depth[place], symbols.spelled[which]
-        for k, slot in enumerate(symbols.slots(which, node, self.bits)):
+        for k, slot in enumerate(symbols.slots(code, which, place, self.bits)):
             seen = self.seen[slot]
             x[:, k] = (seen >> np.uint16(2)) * np.float32(1 / 512) - np.float32(12)
             levels.append((seen & np.uint16(3)).astype(np.int32))
@@ -318,7 +344,7 @@ class Mixer:
         there = np.minimum(code.start[guess] + depth, np.int32(len(code.nodes) - 1))
         follows = (guess >= 0) & (depth < code.length[guess]) & (code.nodes[there] == node)
         x[:, 4] = np.where(follows, np.float32(4) * code.bits[there] - np.float32(2), np.float32(0))
-        gate = ((spelled * np.int32(4) + levels[2]) * 4 + levels[1]) * 2 + follows
+        gate = ((spelled * np.int32(4) + levels[3]) * 4 + levels[2]) * 2 + follows
         return x, gate, spelled * np.int32(DEPTHS // 2) + np.minimum(depth, DEPTHS // 2 - 1)
 
     def run(self, symbols: Symbols, start, stop, events, rate: float):
@@ -426,7 +452,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of docs.
 
     It learns from the rows whose crc32 of doc_id leaves no remainder by ten. score is the log10 of the probability
-    of the text's tokens; bits_per_byte spreads it over the bytes of its words with a blank between two.
+    of the text's tokens; bits_per_byte spreads it over the bytes of its words and one blank after each.
     """
     spark = docs.sparkSession
     prepare(spark)

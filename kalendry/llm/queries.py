@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kalendry.llm import bpe, divergence, fingerprint, langid, minhash, packing, quality, resampling, sharding, substring, topk, toxicity
+from kalendry.llm import bpe, divergence, fingerprint, langid, minhash, mixing, packing, quality, resampling, sharding, substring, topk, toxicity
 from kalendry.llm.common import crc_fold, new_folder, table
 
 
@@ -69,6 +69,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
