@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import tempfile
+import unicodedata
 import uuid
 
 import numpy as np
@@ -18,6 +19,11 @@ ARROW_ROWS = 1000
 #: Entries of one generation of a per-task word cache, so memory stays bounded.
 CACHE_WORDS = 1 << 17
 
+#: Combining marks, as ranges of a character class; they belong to the word of the letter before them.
+_MARKS = "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in ([c] for c in [*range(0x300, 0x20000), *range(0xE0100, 0xE01F0)] if unicodedata.category(chr(c))[0] == "M"))
+#: A word of letters with their marks.
+WORD_OF_LETTERS = re.compile(rf"[^\W\d_]+(?:[{_MARKS}]+[^\W\d_]*)*")
+
 _own: dict[str, str] = {}
 
 
@@ -76,6 +82,16 @@ def id_and_text(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
 
+def spot(column: str, seed: int):
+    """A number from 0 to 1 that a column's hash fixes, in 63 bits: any share of rows, however small, can be drawn by it."""
+    return F.shiftrightunsigned(F.xxhash64(column, F.lit(seed)), 1) / F.lit(2.0**63)
+
+
+def one_text_each(docs: DataFrame, label: str) -> DataFrame:
+    """doc_id, label, text: one row for each doc_id however often it is listed, with the greatest of its texts."""
+    return docs.groupBy("doc_id").agg(F.max(label).alias(label), F.max("text").alias("text"))
+
+
 def carried(docs: DataFrame):
     """All columns of docs but text, as one struct `others`: whatever their names, they clash with nothing.
 

@@ -15,7 +15,6 @@ other than doc_id, text and (for training) lang are not looked at.
 from __future__ import annotations
 
 import functools
-import re
 
 import ahocorasick
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalendry.llm.common import id_and_text, prepare
+from kalendry.llm.common import WORD_OF_LETTERS, id_and_text, prepare
 
 #: Training rows of each language are sampled by hash to about this many documents; of rarer ones, all are taken.
 TRAIN_DOCS = 4000
@@ -32,7 +31,6 @@ PASSES, FLOOR, SHORT, KEEP = 3, 1e-9, 32, 400_000
 WORDS, LETTERS = 20_000, 200_000
 #: Keeps forward sums of long words in range: a letter's part of every piece's probability.
 SCALE = 30.0
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Pieces:
@@ -141,7 +139,7 @@ def _chunks(words: list[str]):
 
 def words_of(text: str) -> list[str]:
     out = []
-    for w in _LETTERS.findall(text.lower()):
+    for w in WORD_OF_LETTERS.findall(text.lower()):
         out.append("▁" + w)
     return out
 

@@ -35,13 +35,15 @@ SLACK = 4
 ROUNDS, GAP, COLUMNS = 2000, 0.001, 20
 #: Items of one length that share a rank counter.
 PER_COUNTER = 100_000
+LONG_BLANK = 1000
 
 
 class Ids:
     """Texts to ids of a byte-level BPE file of the tokenizers library.
 
     The file's vocabulary is read into tiktoken, which encodes Latin text three times as fast to the same
-    ids; other texts go to the tokenizers library itself, whose tables decide what a letter is.
+    ids; other texts go to the tokenizers library itself, whose tables decide what a letter is, and so do texts with
+    LONG_BLANK blanks in a row, for which tiktoken's pattern goes too deep.
     """
 
     def __init__(self, path: str):
@@ -55,7 +57,7 @@ class Ids:
         letters = {c: b for b, c in SPELL.items()}
         ranks = {bytes(map(letters.__getitem__, t)): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.apart = re.compile("|".join(["[^\0-\u024f\u2010-\u2027]", *map(re.escape, special)]))
+        self.apart = re.compile("|".join(["[^\0-\u024f\u2010-\u2027]", *map(re.escape, special), r"\s{%d}" % LONG_BLANK]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""

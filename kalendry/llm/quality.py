@@ -15,7 +15,6 @@ repeated rows get the same score. Columns other than doc_id and text are not loo
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalendry.llm.common import Cache, carried, id_and_text, mix, prepare, restored
+from kalendry.llm.common import WORD_OF_LETTERS, Cache, carried, id_and_text, mix, one_text_each, prepare, restored, spot
 
 BUCKETS, DIMENSIONS, NONZERO = 8192, 64, 2
 TRAIN_DOCS, HIDDEN, EPOCHS = 12_000, 32, 60
 BLOCKS, FAN_IN = 64, 64
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _bucket(word: str) -> int:
@@ -47,7 +45,7 @@ def _shape(run: str) -> str:
 
 
 def run_words() -> Cache:
-    return Cache(lambda run: _bucket("".join(_LETTERS.findall(run.lower()))) << 16 | _bucket(_shape(run)))
+    return Cache(lambda run: _bucket("".join(WORD_OF_LETTERS.findall(run.lower()))) << 16 | _bucket(_shape(run)))
 
 
 def _words(texts: list[str], cache: Cache) -> list[np.ndarray]:
@@ -192,13 +190,13 @@ def sample_labels(labels: DataFrame, most: int) -> DataFrame:
     """About `most` labelled rows (doc_id, label), drawn by id hash, one for each id; small enough to broadcast."""
     known = labels.where("doc_id is not null and label is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     share = min(1.0, most / max(known.count(), 1))
-    return known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else known
+    return known.where(spot("doc_id", 5) < share) if share < 1 else known
 
 
 def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, most: int = TRAIN_DOCS) -> Network:
     """The network for labels(doc_id, label); the sample is bounded by `most`, so it is broadcast to the texts."""
     prepare(docs.sparkSession)
-    own = id_and_text(docs).join(F.broadcast(sample_labels(labels, most)), "doc_id").select("label", "text")
+    own = one_text_each(id_and_text(docs).join(F.broadcast(sample_labels(labels, most)), "doc_id"), "label").select("label", "text")
     rows = own.mapInArrow(lambda it: _features(it, vectors), "label int, x binary").toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, 4 * DIMENSIONS).astype(np.float64)
     y = rows.column("label").to_numpy().astype(np.float64)

@@ -13,7 +13,6 @@ predicted as that share; without labels, 0. Rows are independent; other columns
 
 from __future__ import annotations
 
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kalendry.llm.common import Cache, carried, id_and_text, prepare, restored
+from kalendry.llm.common import WORD_OF_LETTERS, Cache, carried, id_and_text, one_text_each, prepare, restored, spot
 
 TRAIN_DOCS, WORDS, FOLDS, RIDGE = 12_000, 300, 5, 1.0
-_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -72,7 +70,7 @@ class Chain:
 
 def _finder(vocabulary: list[str]) -> Cache:
     at = {w: i for i, w in enumerate(vocabulary)}
-    return Cache(lambda run: tuple(at[w] for w in _LETTERS.findall(run.lower()) if w in at))
+    return Cache(lambda run: tuple(at[w] for w in WORD_OF_LETTERS.findall(run.lower()) if w in at))
 
 
 def _presence(texts: list[str], find: Cache, n: int) -> np.ndarray:
@@ -97,9 +95,9 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], most: int =
     known = labels.where(" and ".join(f"{c} is not null" for c in ["doc_id", *categories])).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.array(*[F.max(c).cast("int") for c in categories]).alias("marks"))
     share = min(1.0, most / max(known.count(), 1))
     if share < 1:
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(share * 1_000_000))
-    own = id_and_text(docs).join(F.broadcast(known), "doc_id").cache()  # known is bounded by `most`
-    words = own.select("marks", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1)))).alias("word"))
+        known = known.where(spot("doc_id", 9) < share)
+    own = one_text_each(id_and_text(docs).join(F.broadcast(known), "doc_id"), "marks").cache()  # known is bounded by `most`
+    words = own.select("marks", F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(\p{L}+(?:\p{M}+\p{L}*)*)"), F.lit(1)))).alias("word"))
     sizes = own.agg(F.count(F.lit(1)), *[F.sum(F.col("marks")[k]) for k in range(len(categories))]).first()
     vocabulary: set[str] = set()
     seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("marks")[k]).alias(f"n{k}") for k in range(len(categories))]).where("n >= 3").cache()
