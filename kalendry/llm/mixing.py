@@ -34,7 +34,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,10 +52,10 @@ NODES = 1 << 18
 TOPS = (64, 2048, 32)
 #: Depths of the words' tree from which the first two contexts are left out, and the slot that stands for that.
 DEEPEST, UNUSED = (11, 9, None), NODES - 1
-SEGMENT, EVENTS = 256, 1 << 22
-INPUTS, GATES, DEPTHS, STEPS = 5, 64, 24, 24
+SEGMENT, EVENTS = 64, 1 << 21
+INPUTS, GATES, DEPTHS, STEPS = 5, 16, 8, 24
 #: Rates of the mixer and of the adaptive table.
-RATE, TABLE_RATE, LEARN_RATE = 0.005, 0.02, 0.1
+RATE, TABLE_RATE, LEARN_RATE = 0.01, 0.03, 0.1
 PIECES, FAN_IN, ENTRIES = 64, 64, 1 << 19
 LEAST, FOLD = 1 / 65536, 1
 END = b"\n"
@@ -108,7 +108,9 @@ class Code:
         self.nodes = np.fromiter(chain.from_iterable(n for n, _ in walks), np.int32)
         self.bits = np.fromiter(chain.from_iterable(b for _, b in walks), np.int8)
         self.tail = np.array([*(w[-1] for w, _ in words), 0, 10], np.int64)
-        self.depth = (np.arange(len(self.nodes)) - np.repeat(self.start, self.length)).astype(np.int32)
+        depth = np.arange(len(self.nodes)) - np.repeat(self.start, self.length)
+        #: Node, bit and depth (up to 63) of each place in one number.
+        self.packed = (self.nodes << 7 | self.bits.astype(np.int32) << 6 | np.minimum(depth, 63)).astype(np.int32)
 
 
 class Symbols:
@@ -116,9 +118,10 @@ class Symbols:
 
     def __init__(self, code: Code, texts: list[list[bytes]]):
         known, end, escape = code.words, code.end, code.escape
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        flat = [w for t in texts for w in (*t, END)]
-        token = np.fromiter((known.get(w, escape) for w in flat), np.int64, len(flat))
+        for t in texts:
+            t.append(END)
+        flat, sizes = list(chain.from_iterable(texts)), np.fromiter(map(len, texts), np.int64, len(texts))
+        token = np.fromiter(map(known.get, flat, repeat(escape)), np.int64, len(flat))
         first = np.cumsum(sizes) - sizes
         last = first + sizes - 1
         token[last] = end
@@ -155,7 +158,7 @@ class Symbols:
         letters = np.fromiter(map(len, rare), np.int64, len(rare)) + 1
         width[spelled] += letters
         at = np.cumsum(width) - width
-        raw = np.frombuffer(b"".join(w + b" " for w in rare), np.uint8).astype(np.int64)
+        raw = np.frombuffer(b" ".join([*rare, b""]), np.uint8).astype(np.int64)
         is_token = np.zeros(int(width.sum()), bool)
         is_token[at] = True
         place = np.arange(len(raw)) - np.repeat(np.cumsum(letters) - letters, letters)
@@ -199,30 +202,58 @@ class Symbols:
 
     def walk(self, code: Code, start: np.ndarray, stop: np.ndarray):
         """(symbol index, place in the code's walks) of every bit of the symbols of consecutive segments."""
-        symbols = self.symbol[start[0] : stop[-1]]
-        n = code.length[symbols]
-        which = np.repeat(np.arange(start[0], stop[-1], dtype=np.int32), n)
-        ahead = code.start[symbols] - (np.cumsum(n) - n).astype(np.int32)
-        return which, np.repeat(ahead, n) + np.arange(len(which), dtype=np.int32)
+        which, place = _places(code, self.symbol[start[0] : stop[-1]])
+        which += np.int32(start[0])
+        return which, place
 
-    def slots(self, code: Code, which: np.ndarray, place: np.ndarray, bits: int):
+    def slots(self, which: np.ndarray, node: np.ndarray, depth: np.ndarray, bits: int):
         """The slot of each predictor that counts; UNUSED where a predictor leaves the lower nodes of the words' tree alone."""
-        node, depth = code.nodes[place], code.depth[place] - np.int32(1000) * self.spelled[which]
         yield node
+        low = depth - np.int32(1000) * self.spelled[which]
         own = node.astype(np.uint32) * _ODD_NODE
         for k, (c, deep) in enumerate(zip(self.contexts, DEEPEST, strict=True)):
-            slot = ((c[which] ^ own) * _ODD_SLOT >> np.uint32(32 - bits)).astype(np.int32) + np.int32(NODES + (k << bits))
+            slot = _slot(c[which], own, k, bits)
             if deep:
-                slot[depth >= deep] = UNUSED
+                slot[low >= deep] = UNUSED
             yield slot
 
+    def count(self, code: Code, table: np.ndarray, seen: np.ndarray, bits: int) -> None:
+        """Adds the symbols to seen, and the bits of their walks to the contexts' slots of table (two numbers a slot).
+
+        A symbol that a context meets often is walked once, with its number.
+        """
+        seen += np.bincount(self.symbol, minlength=len(seen))
+        for k, (c, deep) in enumerate(zip(self.contexts, DEEPEST, strict=True)):
+            met = np.sort(c.astype(np.uint64) << np.uint64(32) | self.symbol.astype(np.uint64))
+            first = np.nonzero(np.concatenate([[True], met[1:] != met[:-1]]))[0]
+            times, met = np.diff(np.append(first, len(met))), met[first]
+            symbol = (met & np.uint64(0xFFFFFFFF)).astype(np.int32)
+            which, place = _places(code, symbol, deep)
+            packed = code.packed[place]
+            slot = _slot((met >> np.uint64(32)).astype(np.uint32)[which], (packed >> 7).astype(np.uint32) * _ODD_NODE, k, bits)
+            np.add.at(table, 2 * slot + (packed >> 6 & 1), times[which])
+
+
+def _slot(context: np.ndarray, node: np.ndarray, k: int, bits: int) -> np.ndarray:
+    return ((context ^ node) * _ODD_SLOT >> np.uint32(32 - bits)).astype(np.int32) + np.int32(NODES + (k << bits))
+
+
+def _places(code: Code, symbols: np.ndarray, deep: int | None = None):
+    """(index of the symbol, place in the code's walks) of the bits of symbols; of tokens only those above depth deep."""
+    n = code.length[symbols]
+    if deep:
+        n = np.where(symbols < code.byte, np.minimum(n, np.int32(deep)), n)
+    which = np.repeat(np.arange(len(symbols), dtype=np.int32), n)
+    ahead = code.start[symbols] - (np.cumsum(n) - n).astype(np.int32)
+    return which, np.repeat(ahead, n) + np.arange(len(which), dtype=np.int32)
+
 
 def slots_of(bits: int) -> int:
     return NODES + (3 << bits)
 
 
 def _parts(texts: list[str | None]):
-    for first, last in parts_of(texts, 1 << 21):
+    for first, last in parts_of(texts, 1 << 20):
         yield first, [tokens_of(t) for t in texts[first:last]]
 
 
@@ -263,14 +294,13 @@ def frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
 
 def _count(batches, shared, bits: int):
     code, table = shared.value, np.zeros(2 * slots_of(bits), np.int64)
+    seen = np.zeros(len(code.length), np.int64)
     for batch in batches:
         for _, texts in _parts(batch.column("text").to_pylist()):
-            symbols = Symbols(code, texts)
-            for start, stop, _ in symbols.chunks(code):
-                which, place = symbols.walk(code, start, stop)
-                bit = code.bits[place]
-                for slot in symbols.slots(code, which, place, bits):
-                    np.add.at(table, 2 * slot + bit, 1)
+            Symbols(code, texts).count(code, table, seen, bits)
+    met = np.nonzero(seen)[0].astype(np.int32)
+    which, place = _places(code, met)
+    np.add.at(table, 2 * code.nodes[place] + code.bits[place], seen[met][which])
     task = TaskContext.get().partitionId()
     for k, piece in enumerate(np.array_split(table, PIECES)):
         if piece.any():
@@ -334,32 +364,33 @@ class Mixer:
 
     def inputs(self, symbols: Symbols, which: np.ndarray, place: np.ndarray):
         """Log odds of the predictors for every bit, its gate and its row of the adaptive table."""
-        code, x, levels = self.code, np.empty((len(which), INPUTS), np.float32), []
-        node, depth, spelled = code.nodes[place], code.depth[place], symbols.spelled[which]
-        for k, slot in enumerate(symbols.slots(code, which, place, self.bits)):
+        code, x = self.code, np.empty((len(which), INPUTS), np.float32)
+        packed, spelled = code.packed[place], symbols.spelled[which]
+        node, depth = packed >> 7, packed & 63
+        for k, slot in enumerate(symbols.slots(which, node, depth, self.bits)):
             seen = self.seen[slot]
-            x[:, k] = (seen >> np.uint16(2)) * np.float32(1 / 512) - np.float32(12)
-            levels.append((seen & np.uint16(3)).astype(np.int32))
+            np.multiply(seen >> np.uint16(2), np.float32(1 / 512), out=x[:, k])
+        x[:, :4] -= np.float32(12)
         guess = symbols.guess[which]
-        there = np.minimum(code.start[guess] + depth, np.int32(len(code.nodes) - 1))
-        follows = (guess >= 0) & (depth < code.length[guess]) & (code.nodes[there] == node)
-        x[:, 4] = np.where(follows, np.float32(4) * code.bits[there] - np.float32(2), np.float32(0))
-        gate = ((spelled * np.int32(4) + levels[3]) * 4 + levels[2]) * 2 + follows
-        return x, gate, spelled * np.int32(DEPTHS // 2) + np.minimum(depth, DEPTHS // 2 - 1)
+        there = code.packed[np.minimum(code.start[guess] + depth, np.int32(len(code.nodes) - 1))]
+        follows = (guess >= 0) & (there >> 7 == node) & (there & 63 == depth)
+        x[:, 4] = follows * ((there >> 6 & 1) * np.float32(4) - np.float32(2))
+        gate = (spelled * np.int32(4) + (seen & np.uint16(3))) * 2 + follows
+        return x, gate, spelled * np.int32(DEPTHS // 2) + np.minimum(depth // 4, DEPTHS // 2 - 1)
 
     def run(self, symbols: Symbols, start, stop, events, rate: float):
         """(log of each segment's probability, final weights, final tables, uses of each gate) of consecutive segments."""
         order = np.argsort(-events, kind="stable")
         size = events[order]
         abreast = len(size) - np.searchsorted(size[::-1], np.arange(size[0]), side="right")  # segments that reach each step
-        step = np.repeat(np.arange(size[0]), abreast)
         edge = np.concatenate([[0], np.cumsum(abreast)])
-        lane = np.arange(edge[-1]) - edge[step]
-        turn = (np.cumsum(events) - events)[order][lane] + step
+        step = np.repeat(np.arange(size[0], dtype=np.int32), abreast)
+        lane = np.arange(edge[-1], dtype=np.int32) - np.repeat(edge[:-1].astype(np.int32), abreast)
+        turn = (np.cumsum(events) - events).astype(np.int32)[order][lane] + step
         which, place = (a[turn] for a in symbols.walk(self.code, start, stop))
         x, gate, row = self.inputs(symbols, which, place)
         bit = self.code.bits[place]
-        y, lane = bit.astype(np.float32), lane.astype(np.int32)
+        y = bit.astype(np.float32)
         at, row = lane * np.int32(GATES) + gate, (lane * np.int32(DEPTHS) + row) * np.int32(STEPS) + np.int32(STEPS // 2)
         weights = np.tile(self.weights, (len(size), 1))
         table = np.tile(self.table.reshape(-1), len(size))

@@ -80,10 +80,10 @@ def plain_score(code, seen, weights, table, bits, words):
                 level = [int(seen[s]) & 3 for s in slots]
                 follows = guess >= 0 and depth < code.length[guess] and code.nodes[code.start[guess] + depth] == node
                 x.append((4.0 * int(code.bits[code.start[guess] + depth]) - 2) if follows else 0.0)
-                gate = ((spelled * 4 + level[3]) * 4 + level[2]) * 2 + bool(follows)
+                gate = (spelled * 4 + level[3]) * 2 + bool(follows)
                 z = min(max(float(w[gate] @ x), -11.9), 11.9)
                 mixed = 1 / (1 + math.exp(-z))
-                row = spelled * (mixing.DEPTHS // 2) + min(depth, mixing.DEPTHS // 2 - 1)
+                row = spelled * (mixing.DEPTHS // 2) + min(depth // 4, mixing.DEPTHS // 2 - 1)
                 cell = mixing.STEPS // 2 + math.floor(z)
                 p = min(max((mixed + t[row, cell]) / 2, mixing.LEAST), 1 - mixing.LEAST)
                 total += math.log10(p if bit else 1 - p)
