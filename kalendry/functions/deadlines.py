@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import zoneinfo
 from functools import reduce
 
@@ -23,15 +24,28 @@ def _looked_up(table: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
 
+@functools.cache
+def zone_names() -> dict[str, str]:
+    """Lower-case name -> the zone as Spark reads it: all names of the zone database, without its copies for other rules."""
+    every = (z for z in zoneinfo.available_timezones() if not z.startswith(("posix/", "right/", "SystemV/")) and z not in ("Factory", "localtime", "posixrules"))
+    return {z.lower(): _SHORT.get(z, z) for z in sorted(every)}
+
+
+def _named(name: Column, key: Column) -> Column:
+    """A zone by its name. Long lists of literals are looked up by hash, and only names in another case need the table."""
+    names = zone_names()
+    written = [z for z in names.values() if z not in _SHORT.values()]
+    return F.when(name.isin(*written), name).when(key.isin(*names), _looked_up(names, key))
+
+
 def zone_of(text: Column) -> Column:
     """A zone that Spark can read, as pages mean it, or null: unknown names and offsets beyond 14 hours are no zones."""
     name = F.trim(text)
     key = F.lower(name)
-    known = {z: z for z in sorted(zoneinfo.available_timezones()) if "/" in z} | {z: z for z in ("UTC", "GMT", "CET", "EET", "WET", "MET")} | _SHORT
     hours, minutes = F.regexp_extract(name, r"^UTC[+-](\d{1,2})(?::(\d{2}))?$", 1).try_cast("int"), F.regexp_extract(name, r"^UTC[+-]\d{1,2}:(\d{2})$", 1).try_cast("int")
     within = (hours * 60 + F.coalesce(minutes, F.lit(0)) <= 14 * 60) & (F.coalesce(minutes, F.lit(0)) < 60)
     anywhere = F.when(name.rlike(r"(?i)aoe|anywhere\s+on\s+earth"), F.lit("UTC-12"))
-    return F.coalesce(anywhere, _looked_up(OFFSETS, key), _looked_up(PLACES, F.regexp_replace(key, r"\s+time$", "")), _looked_up(known, name), F.when(within, name))
+    return F.coalesce(anywhere, _looked_up(OFFSETS, key), _looked_up(PLACES, F.regexp_replace(key, r"\s+time$", "")), _named(name, key), F.when(within, name))
 
 
 def instant(local: Column, zone: Column) -> Column:
@@ -59,10 +73,14 @@ def _cases(pairs, other: Column) -> Column:
     return reduce(lambda c, p: c.when(*p), pairs[1:], F.when(*pairs[0])).otherwise(other)
 
 
+def start_at(start: Column, zone: Column) -> Column:
+    """The start's midnight in the event's zone (UTC if it has none)."""
+    return F.to_utc_timestamp(start.cast("timestamp"), F.coalesce(zone_of(zone), F.lit("UTC")))
+
+
 def start_days(start: Column, zone: Column, asof: Column) -> Column:
-    """Days from today's midnight (UTC) to the start's midnight in the event's zone (UTC if it has none), rounded."""
-    begins = F.to_utc_timestamp(start.cast("timestamp"), F.coalesce(zone_of(zone), F.lit("UTC")))
-    return F.round((F.unix_micros(begins) - F.unix_micros(F.date_trunc("day", asof))) / F.lit(float(DAY))).cast("long")
+    """Days from today's midnight (UTC) to start_at(), a started day counts: today west of UTC is 1, east of it 0."""
+    return F.ceil((F.unix_micros(start_at(start, zone)) - F.unix_micros(F.date_trunc("day", asof))) / F.lit(float(DAY))).cast("long")
 
 
 def countdown(at: Column, asof: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kalendry.functions.deadlines import start_at, start_days
 from kalendry.functions.text import squeezed
 
 
@@ -109,6 +110,13 @@ ORDERS = {
 
 
 def ordered(rows: DataFrame, by: str) -> DataFrame:
-    """rows in one of ORDERS; an unknown name is the order by deadline."""
-    keys = [F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc(k) for k in ORDERS.get(by, ORDERS["deadline"])]
+    """rows in one of ORDERS; an unknown name leaves them in their own order, by ord."""
+    keys = [F.desc_nulls_last(k[1:]) if k.startswith("-") else F.asc(k) for k in ORDERS.get(by, ["ord"])]
     return rows.orderBy(*keys)
+
+
+def upcoming_starts(rows: DataFrame, asof: Column, n: int | None = None) -> DataFrame:
+    """rows(id, start, zone) that start today or later, with days_left, by the moment they start; n of them at most."""
+    begun = rows.withColumns({"days_left": start_days(F.to_date("start"), F.col("zone"), asof), "begins": start_at(F.to_date("start"), F.col("zone"))})
+    ahead = begun.where("days_left >= 0").orderBy("begins", "id").drop("begins")
+    return ahead.limit(n) if n else ahead

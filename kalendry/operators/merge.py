@@ -24,9 +24,11 @@ def change_log(current: DataFrame, facts: DataFrame, key: str, fields: list[str]
 def upsert(current: DataFrame, facts: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """current with the facts written, except null facts and pinned fields; applying it twice changes nothing.
 
-    Of several facts for one key the greatest value of each field counts, so no entry is doubled.
+    Of several facts for one key the last that states a field counts, in the order of facts.seq where there is such a
+    column, else of the values; so no entry is doubled.
     """
-    known = facts.groupBy(key).agg(*[F.max(f).alias(f"__{f}") for f in fields])
+    last = lambda f: F.max_by(f, F.when(F.col(f).isNotNull(), F.col("seq"))) if "seq" in facts.columns else F.max(f)
+    known = facts.groupBy(key).agg(*[last(f).alias(f"__{f}") for f in fields])
     met = current.join(known, key, "left")
     new = {f: F.when(F.coalesce(F.array_contains("sync_pin", f), F.lit(False)), F.col(f)).otherwise(F.coalesce(f"__{f}", f)) for f in fields}
     return met.withColumns(new).select(*current.columns)

@@ -8,19 +8,55 @@ from pyspark.sql import functions as F
 from kalendry.functions.text import normal_url
 from kalendry.sources.portal import value_of
 
-_SETTINGS = "map<string,struct<url:string,home:string,prefix:string,suffix:string>>"
+_SETTINGS = "map<string,map<string,variant>>"
+
+
+def _said(settings: Column, name: str) -> Column:
+    return F.try_variant_get(F.try_element_at(settings, F.lit(name)), "$", "string")
+
+
+def configured(configs: DataFrame) -> DataFrame:
+    """configs(config) -> a row for each title: ord, title, url, home, prefix, suffix, note, multi_entry, settings.
+
+    settings holds all keys in their order, known or not, as they were. Text that is no such object has no rows.
+    """
+    each = configs.select(F.posexplode(F.from_json("config", _SETTINGS)).alias("ord", "title", "settings"))
+    known = [_said(F.col("settings"), n).alias(n) for n in ("url", "home", "prefix", "suffix", "note")]
+    several = F.coalesce(F.try_variant_get(F.try_element_at("settings", F.lit("multiEntry")), "$", "boolean"), F.lit(False))
+    return each.select("ord", "title", *known, several.alias("multi_entry"), "settings")
 
 
 def venues(configs: DataFrame) -> DataFrame:
-    """configs(config) -> a row for each title: title, url, home, prefix, suffix. Text that is no such object has no rows."""
-    each = configs.select(F.explode(F.from_json("config", _SETTINGS)).alias("title", "venue"))
-    return each.select("title", "venue.*")
+    """configs(config) -> title, url, home, prefix, suffix: what the joins below need; configured() is for rewriting."""
+    return configured(configs).select("title", "url", "home", "prefix", "suffix")
+
+
+def with_url(rows: DataFrame) -> DataFrame:
+    """rows whose settings hold the column url: in its place where there is one, else as the last key."""
+    new = F.variant_get(F.parse_json(F.to_json(F.struct("url"))), "$.url", "variant")
+    has = F.map_contains_key("settings", F.lit("url"))
+    inside = F.transform_values("settings", lambda k, v: F.when(k == "url", new).otherwise(v))
+    added = F.map_concat("settings", F.create_map(F.lit("url"), new))
+    return rows.withColumn("settings", F.when(F.col("url").isNull(), F.col("settings")).when(has, inside).otherwise(added))
 
 
 def config_text(rows: DataFrame) -> DataFrame:
-    """The opposite of venues(): one row with the JSON text, titles in order. A configuration is a small file."""
-    each = F.struct("title", F.struct("url", "home", "prefix", "suffix").alias("venue"))
-    return rows.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(each)))).alias("config"))
+    """The opposite of configured(): one row with the JSON text, two blanks a level, titles and keys in their order.
+
+    rows(title, settings) or, for a new configuration, (title, url, home, prefix, suffix); ord where there is an
+    order. A configuration is a small file: one row for each venue that is watched.
+    """
+    if "settings" not in rows.columns:
+        some = F.to_json(F.struct(*[c for c in ("url", "home", "prefix", "suffix") if c in rows.columns]))
+        rows = rows.withColumn("settings", F.from_json(some, "map<string,variant>"))
+    text = lambda c: F.get_json_object(F.to_json(F.struct(F.array(c).alias("x"))), "$.x")
+    quoted = lambda c: F.regexp_replace(text(c), r"^\[|\]$", "")
+    lines = F.transform(F.map_entries("settings"), lambda e: F.concat(F.lit("    "), quoted(e["key"]), F.lit(": "), F.to_json(e["value"])))
+    block = F.concat(F.lit("  "), quoted(F.col("title")), F.lit(": {"), F.when(F.size("settings") > 0, F.concat(F.lit("\n"), F.concat_ws(",\n", lines), F.lit("\n  "))).otherwise(""), F.lit("}"))
+    place = "ord" if "ord" in rows.columns else "title"
+    every = F.array_sort(F.collect_list(F.struct(F.col(place).alias("place"), block.alias("block"))))
+    body = F.concat_ws(",\n", F.transform(every, lambda x: x["block"]))
+    return rows.agg(F.when(F.count(F.lit(1)) > 0, F.concat(F.lit("{\n"), body, F.lit("\n}\n"))).otherwise("{}\n").alias("config"))
 
 
 def editions(rows: DataFrame, year: Column, more: int = 2) -> DataFrame:
@@ -59,4 +95,5 @@ def moved(rows: DataFrame, found: DataFrame) -> DataFrame:
     met = rows.join(found, "title", "left")
     changed = F.col("source_url").isNotNull() & ~normal_url(F.col("url")).eqNullSafe(F.col("source_url"))
     met = met.withColumn("changed", changed)
-    return met.withColumn("url", F.when(F.col("changed"), F.col("source_url")).otherwise(F.col("url"))).drop("source_url")
+    met = met.withColumn("url", F.when(F.col("changed"), F.col("source_url")).otherwise(F.col("url"))).drop("source_url")
+    return with_url(met).select(*rows.columns, "changed") if "settings" in rows.columns else met

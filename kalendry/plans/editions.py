@@ -76,10 +76,17 @@ def _claims(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), t.alias("t"), said.alias("evidence"))
 
 
+#: Days, months and years that quotes state, as triples joined to the claimed date.
+_NAMES = ", ".join(f"('{name}', {i})" for i, names in enumerate(evidence.MONTHS, 1) for name in names.split("|"))
+_TOKENS = "regexp_extract_all(lower(evidence), '(\\d+(?:st|nd|rd|th)?|[a-z]+)([^a-z0-9]*)', {0})"
 _STATED = f"""cl AS (SELECT o_orderkey AS id, o_orderdate AS t, {_SAID.replace("id % 7", "o_orderkey % 7").replace("(t,", "(o_orderdate,")} AS evidence FROM orders),
-pa AS (SELECT *, '\\b(?:' || {_MONTHS}[month(t)] || ')\\b' AS nm, '(?:' || month(t) || '|' || strftime(t, '%m') || ')' AS nu, '(?:' || day(t) || '(?:st|nd|rd|th)?|' || strftime(t, '%d') || ')' AS da FROM cl),
-od AS (SELECT *, '(?i)(?:^|[^0-9])(?:' || da || '[\\s,./-]{{0,4}}' || nm || '|' || nm || '[\\s,./-]{{0,4}}' || da || '|' || da || '[\\s,./-]{{1,4}}' || nu || '|' || nu || '[\\s,./-]{{1,4}}' || da || ')' AS o FROM pa),
-sh AS (SELECT id, t, evidence, regexp_matches(evidence, o || '(?:$|[^0-9])') AND (regexp_matches(evidence, '(?:^|[^0-9])' || year(t) || '(?:$|[^0-9])') OR regexp_matches(evidence, o || '[\\s,./-]{{1,4}}(?:' || (year(t) % 100) || ')(?:$|[^0-9])')) AS shown FROM od)"""
+mo(name, named) AS (VALUES {_NAMES}),
+tk AS (SELECT id, unnest({_TOKENS.format(1)}) AS w, unnest({_TOKENS.format(2)}) AS gap, unnest(range(len({_TOKENS.format(1)}))) AS i FROM cl),
+wo AS (SELECT id, i, w, regexp_full_match(gap, '[\\s,./-]{{1,4}}') AS near, TRY_CAST(regexp_extract(w, '^(\\d\\d?)(st|nd|rd|th)?$', 1) AS INTEGER) AS n, coalesce(named, TRY_CAST(CASE WHEN length(w) < 3 THEN w END AS INTEGER)) AS m FROM tk LEFT JOIN mo ON name = w),
+tw AS (SELECT a.id, a.n AS a_n, a.m AS a_m, b.n AS b_n, b.m AS b_m, CASE WHEN b.near THEN c.w END AS after FROM wo a JOIN wo b ON b.id = a.id AND b.i = a.i + 1 LEFT JOIN wo c ON c.id = a.id AND c.i = a.i + 2 WHERE a.near),
+tr AS (SELECT id, a_n AS d, b_m AS m, after FROM tw UNION ALL SELECT id, b_n, a_m, after FROM tw),
+ok AS (SELECT DISTINCT id FROM tr JOIN cl USING (id) WHERE d = day(t) AND m = month(t) AND (after = CAST(year(t) % 100 AS VARCHAR) OR EXISTS (SELECT 1 FROM wo WHERE wo.id = cl.id AND w = CAST(year(t) AS VARCHAR)))),
+sh AS (SELECT id, t, evidence, ok.id IS NOT NULL AS shown FROM cl LEFT JOIN ok USING (id))"""
 
 
 @query(f"WITH {_STATED} SELECT id, evidence, shown FROM sh")

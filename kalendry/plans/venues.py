@@ -93,14 +93,14 @@ def known_sources(spark, sf_dir):
 strftime(o_orderdate, '%Y-%m-%d') AS start, strftime(o_orderdate, '%Y-%m-%d') AS deadline, CASE WHEN o_orderkey % 2 = 0 THEN 'AoE' END AS abstract_zone FROM orders WHERE o_orderkey % 7 > 0""")
 def extracted_facts(spark, sf_dir):
     o, key, day = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
-    one = lambda kind, date, zone: F.struct(F.lit(kind).alias("kind"), date.alias("date"), F.lit(zone).alias("timezone"))
+    one = lambda kind, date, zone: F.struct(F.lit(kind).alias("kind"), date.alias("date"), F.lit(zone).alias("timezone_text"))
     twice = F.array(one("paper", day, "UTC"), one("paper", F.lit("1900-01-01"), "UTC"))
     stated = F.when(key % 2 == 0, F.concat(twice, F.array(one("abstract", day, "AoE")))).otherwise(twice)
     edition = F.struct(F.year("o_orderdate").alias("year"), F.when(key % 3 == 0, "").otherwise(F.col("o_orderpriority")).alias("full_name"), day.alias("start_date"), F.lit("1900-01-02").alias("end_date"), stated.alias("deadlines"))
     answers = o.select(key.alias("id"), F.when(key % 7 == 0, "{not JSON").otherwise(F.to_json(F.struct(F.array(edition).alias("editions")))).alias("answer"))
     rows = extraction.editions(answers.where(extraction.readable(F.col("answer"))), F.col("answer"))
     rows = rows.select("id", *extraction.facts(F.col("edition")))
-    return rows.select("id", "year", "full_name", "start", F.col("paper.date").alias("deadline"), F.col("abstract.timezone").alias("abstract_zone"))
+    return rows.select("id", "year", "full_name", "start", F.col("paper.date").alias("deadline"), F.col("abstract.timezone_text").alias("abstract_zone"))
 
 
 @query("""SELECT c_mktsegment AS team, lpad(CAST(count(DISTINCT c_custkey) AS VARCHAR), CAST(greatest(2, length(CAST(count(DISTINCT c_custkey) AS VARCHAR))) AS INTEGER), '0') || ' members' AS label, count(o_orderkey) AS given

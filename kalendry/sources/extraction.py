@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_DEADLINE = "struct<kind:string,date:string,time:string,timezone:string,quote:string>"
-_EDITIONS = f"struct<editions:array<struct<year:int,full_name:string,location:string,start_date:string,end_date:string,deadlines:array<{_DEADLINE}>>>>"
+_DEADLINE = "struct<kind:string,date:string,time:string,timezone_text:string,evidence:string>"
+_EDITIONS = f"struct<page_has_dates:boolean,editions:array<struct<year:int,full_name:string,location:string,start_date:string,end_date:string,deadlines:array<{_DEADLINE}>>>>"
 
 
 def editions(rows: DataFrame, answer: Column) -> DataFrame:
