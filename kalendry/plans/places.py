@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from kalendry.operators import ordering
 from kalendry.plans.queries import query, table
+from kalendry.sources import speakers
+from kalendry.sources.shared import new_folder
 
 
 @query("""WITH e AS (SELECT o_orderkey AS k, 'e' || o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE o_orderkey % 2 = 0),
@@ -27,3 +29,19 @@ def deep_page(spark, sf_dir):
     """Page 100 of a list by price, without a task that sorts it all."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice")
     return ordering.page(rows, 100, 12, F.col("o_totalprice").desc(), F.col("id")).select("id", "place")
+
+
+@query("""SELECT CAST(c_custkey AS VARCHAR) AS id, c_name || ': "' || c_mktsegment || '"' AS name, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS images, count(o_orderkey) AS talks, min(o_orderkey) AS first_year,
+max(CASE WHEN o_orderkey IS NOT NULL THEN o_orderpriority || ' # ' || o_orderstatus END) AS last_topic FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_name, c_mktsegment""")
+def speakers_reread(spark, sf_dir):
+    """Customers as speakers with their orders as presentations, written as files of entries and read back."""
+    key = F.col("c_custkey").cast("string")
+    talk = F.struct(F.concat("o_orderpriority", F.lit(" # "), "o_orderstatus").alias("topic"), F.lit("line\nline").alias("event"), F.lit("summit").alias("eventType"), F.col("o_orderkey").cast("int").alias("year"))
+    talks = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list(talk).alias("presentations"))  # a speaker's own, one entry of a file
+    kind = F.col("c_custkey") % 3
+    images = F.when(kind == 1, F.array(F.lit("/a.jpeg"))).when(kind == 2, F.array(F.lit("/a.jpeg"), F.lit("/b: c.jpeg")))
+    rows = table(spark, sf_dir, "customer").join(talks, "c_custkey", "left").select(F.col("c_custkey").alias("ord"), key.alias("id"), F.concat("c_name", F.lit(': "'), "c_mktsegment", F.lit('"')).alias("name"), images.alias("image_urls"), "presentations")
+    folder = new_folder(spark, "speakers")
+    speakers.write(rows, folder)
+    back = speakers.with_counts(speakers.read(spark, [folder]))
+    return back.select("id", "name", F.coalesce(F.size("image_urls"), F.lit(0)).alias("images"), F.col("given").cast("long").alias("talks"), F.array_min("presentations.year").cast("long").alias("first_year"), F.array_max("presentations.topic").alias("last_topic"))

@@ -14,8 +14,8 @@ _KIND = "CASE WHEN event_type = 'signup' THEN 'joined' WHEN event_type = 'error'
 @query(f"""WITH e AS (SELECT 't' || user_id % 8 AS team, CAST(user_id AS VARCHAR) AS channel, ts, event_id, {_KIND} AS kind FROM events),
 g AS (SELECT team, max((ts, event_id)) AS gone FROM e WHERE kind = 'removed' GROUP BY team),
 m AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY ts DESC, event_id DESC) AS r FROM e WHERE kind IN ('joined', 'left', 'dead')),
-p AS (SELECT channel, max((ts, event_id)) AS posted, max(ts) AS at FROM e WHERE kind = 'posted' GROUP BY channel)
-SELECT m.team, m.channel, strftime(ts, {_TS}) AS since, CASE WHEN posted > (ts, event_id) THEN strftime(at, {_TS}) END AS last_posted
+p AS (SELECT channel, max((ts, event_id)) AS posted, max(ts) AS posted_ts FROM e WHERE kind = 'posted' GROUP BY channel)
+SELECT m.team, m.channel, strftime(ts, {_TS}) AS since, CASE WHEN posted > (ts, event_id) THEN strftime(posted_ts, {_TS}) END AS last_posted
 FROM m LEFT JOIN g ON g.team = m.team LEFT JOIN p ON p.channel = m.channel WHERE r = 1 AND kind = 'joined' AND (gone IS NULL OR (ts, event_id) > gone)""")
 def subscription_store(spark, sf_dir):
     """The whole events table through the state store; the state is read back by a batch job."""

@@ -1,9 +1,7 @@
 """Event catalogues as text files of `- key: value` entries, and back.
 
-The reader takes the block layout that such catalogues are kept in: an entry begins with "- " in the first
-column, its keys are two columns in, lists are [a, b] or lines of "- a", longer lines are folded deeper in.
-Spark splits files between entries, so one file is read by many tasks. A file holding anything before its
-first entry other than comments fails the read.
+Spark splits files between entries, so one file is read by many tasks; kalendry.sources.blocks parses an entry. A file
+holding anything before its first entry other than comments fails the read.
 """
 
 from __future__ import annotations
@@ -12,47 +10,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kalendry.functions.text import or_default
+from kalendry.sources import blocks
 
 KEYS = ("title", "year", "id", "full_name", "link", "deadline", "abstract_deadline", "timezone", "place", "date", "start", "end", "paperslink", "pwclink", "hindex", "sub", "type", "deadline_status", "note", "sync_pin")
-_ITEM = "\u0001"
-
-
-def _plain(value: Column) -> Column:
-    single = F.replace(F.regexp_extract(value, "(?s)^'(.*)'$", 1), F.lit("''"), F.lit("'"))
-    double = F.regexp_replace(F.regexp_extract(value, '(?s)^"(.*)"$', 1), r'\\(["\\])', "$1")
-    return F.when(value.rlike("(?s)^'.*'$"), single).when(value.rlike('(?s)^".*"$'), double).when(value.isin("", "~", "null"), None).otherwise(value)
-
-
-def _fields(entry: Column) -> Column:
-    body = F.regexp_replace(F.regexp_replace(entry, r"(?m)^\s*#.*$", ""), r"^\s*- ", "")
-    body = F.regexp_replace(F.regexp_replace(body, r"\n\s+- ", _ITEM), r"\n {3,}", " ")
-    pairs = F.transform(F.split(body, r"\n"), lambda line: F.struct(F.regexp_extract(line, r"^\s*([A-Za-z_]+):", 1).alias("k"), F.regexp_extract(line, r"^\s*[A-Za-z_]+:\s*(.*?)\s*$", 1).alias("v")))
-    return F.map_from_entries(F.filter(pairs, lambda p: p["k"] != ""))
-
-
-def _list(value: Column) -> Column:
-    """[a, b], lines of items, or one value, as an array without empty elements; null if absent."""
-    flow = F.split(F.regexp_extract(value, r"^\[(.*)\]$", 1), r"\s*,\s*")
-    items = F.when(value.startswith(_ITEM), F.split(F.substr(value, F.lit(2)), _ITEM)).when(value.rlike(r"^\[.*\]$"), flow).otherwise(F.array(value))
-    return F.when(value.isNotNull(), F.filter(F.transform(items, lambda x: _plain(F.trim(x))), lambda x: x.isNotNull() & (x != "")))
 
 
 def read(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Every entry of the files, in this order of files: KEYS as strings (sub, sync_pin as arrays), raw (all that the
-    entry holds, as a map) and ord, which sorts rows as they stand in the files. A missing file fails the read.
+    entry holds, as a map of text) and ord, which sorts rows as they stand in the files. A missing file fails the read.
     """
-    frames = []
-    for number, path in enumerate(paths):
-        text = spark.read.option("lineSep", "\n- ").text(path)
-        places = F.struct(F.lit(number).alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-        frames.append(text.select(F.col("value"), places.alias("ord")))
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.union(frame)
-    rows = rows.where(F.regexp_replace("value", r"(?m)^\s*#.*$", "").rlike(r"\S")).select("ord", _fields(F.col("value")).alias("raw"))
-    known = [_list(F.try_element_at("raw", F.lit(k))).alias(k) if k in ("sub", "sync_pin") else _plain(F.try_element_at("raw", F.lit(k))).alias(k) for k in KEYS]
-    checked = F.when(F.size("raw") == 0, F.raise_error(F.lit("a catalogue holds something that is no entry"))).otherwise(F.col("raw"))
-    return rows.select("ord", checked.alias("raw"), *known)
+    rows = blocks.parsed(blocks.entries(spark, paths), typed=False)
+    of = lambda key, kind="string": F.try_variant_get("entry", f"$.{key}", kind)
+    several = lambda key: F.coalesce(of(key, "array<string>"), F.when(of(key).isNotNull(), F.array(of(key))))
+    known = [F.filter(several(k), lambda x: x.isNotNull() & (x != "")).alias(k) if k in ("sub", "sync_pin") else F.nullif(of(k), F.lit("")).alias(k) for k in KEYS]
+    return rows.select("ord", F.variant_get("entry", "$", "map<string,string>").alias("raw"), *known)
 
 
 def with_defaults(rows: DataFrame) -> DataFrame:
