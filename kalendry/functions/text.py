@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kalendry.functions import addresses
+
 
 def squeezed(c: Column) -> Column:
     """Lower case without any white space (Unicode white space too)."""
@@ -63,72 +63,30 @@ def links(html: Column) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["href"].alias("href"), F.trim(F.regexp_replace(html_text(p["text"]), r"(?U)\s+", " ")).alias("text")))
 
 
-def resolved(href: Column, base: Column) -> Column:
-    """An address relative to its page: absolute, //host, /path, ?query or a name beside the page (no dot segments)."""
-    root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    page = F.regexp_extract(base, r"^([^?#]*)", 1)
-    folder = F.when(page == root, F.concat(root, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
-    return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(base, r"^([^/]*)", 1), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("?"), F.concat(page, href))
-        .when(href.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), href))
-        .otherwise(F.concat(folder, href))
-    )
-
-
 def page_links(html: Column, base: Column, most: int = 200) -> Column:
     """Array of (href, text): absolute, fetchable, with a text, each address once (its first), at most `most`.
 
     `most` is the reader's own limit on a page's list.
     """
-    full = F.transform(links(html), lambda p: F.struct(normal_url(resolved(p["href"], base)).alias("href"), p["text"].alias("text")))
+    full = F.transform(links(html), lambda p: F.struct(normal_url(addresses.resolved(p["href"], base)).alias("href"), p["text"].alias("text")))
     usable = F.filter(full, lambda p: p["href"].isNotNull() & (p["text"] != "") & url_refusal(p["href"]).isNull())
-    pair = "array<struct<href:string,text:string>>"
-    once = F.aggregate(usable, F.array().cast(pair), lambda kept, p: F.when(F.exists(kept, lambda k: k["href"] == p["href"]), kept).otherwise(F.concat(kept, F.array(p)).cast(pair)))
-    return F.slice(once, 1, most)
-
 
-def normal_url(url: Column) -> Column:
-    """Scheme and host in lower case, no fragment, no closing slash except at the root."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    head = F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1)
-    rest = F.substr(bare, F.length(head) + 1)
-    return F.when(head == "", None).otherwise(F.concat(F.lower(head), F.when(rest.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(rest, "/$", ""))))
-
-
-def ipv4_of(host: Column) -> Column:
-    """The 32 bits of a host that is an address in one to four decimal, octal or hexadecimal parts; null for names."""
-    parts = F.split(host, r"\.")
-    octal = lambda p: F.conv(p, 8, 10)
-    number = lambda p: F.when(p.rlike("^0x[0-9a-f]*$"), F.conv(F.concat(F.lit("0"), F.substr(p, F.lit(3))), 16, 10)).when(p.rlike("^0[0-7]+$"), octal(p)).when(p.rlike("^[0-9]+$"), p).try_cast("long")
-    values = F.transform(parts, number)
-    n = F.size(values)
-    high = F.aggregate(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.lit(0).cast("long"), lambda acc, v: acc * 256 + v)
-    room = F.pow(F.lit(256.0), (5 - n).cast("double")).cast("long")
-    fits = n.between(1, 4) & ~F.exists(values, lambda v: v.isNull()) & (F.try_element_at(values, F.lit(-1)) < room)
-    return F.when(fits, high * room + F.try_element_at(values, F.lit(-1)))
+    def first_of_each(rows: Column) -> Column:
+        """One pass by hash over the addresses; each is then found at its first place."""
+        hrefs = F.transform(rows, lambda p: p["href"])
+        return addresses.bound(hrefs, lambda h: F.transform(F.array_distinct(h), lambda x: F.get(rows, (F.array_position(h, x) - 1).cast("int"))))
 
+    return F.slice(addresses.bound(usable, first_of_each), 1, most)
 
-#: Fixed: networks that must not be fetched from (address, bits).
-PRIVATE = (((0, 0), 8), ((10, 0), 8), ((100, 64), 10), ((127, 0), 8), ((169, 254), 16), ((172, 16), 12), ((192, 168), 16))
 
-
-def private_ipv4(ip: Column) -> Column:
-    inside = [F.shiftrightunsigned(ip, 32 - bits) == (((a << 24) | (b << 16)) >> (32 - bits)) for (a, b), bits in PRIVATE]
-    return reduce(lambda x, y: x | y, inside)
+def normal_url(url: Column) -> Column:
+    """The key of a page: its address without fragment and closing slash; null if it cannot be read."""
+    return addresses.normal(url)
 
 
 def url_refusal(url: Column) -> Column:
-    """Why an address must not be fetched (null: it may be): no web address, or a private host."""
-    given = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
-    host = F.regexp_replace(given, r"\.$", "")
-    named = host.rlike(r"^(localhost|.*\.localhost|.*\.local|.*\.internal)$")
-    six = host.rlike(r"^\[(::1?|::ffff:.*|fe[89ab][0-9a-f]:.*|f[cd][0-9a-f]{2}:.*)\]$")
-    private = named | six | F.coalesce(private_ipv4(ipv4_of(host)), F.lit(False))
-    scheme = F.coalesce(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.lit(""))
-    return F.when(~scheme.isin("http", "https"), "scheme").when(host == "", "host").when(private, "private")
+    """Why an address must not be fetched (null: it may be): scheme, host or private."""
+    return addresses.refusal(url)
 
 
 #: Pages with less text than this are fetched again by other means.

@@ -238,7 +238,7 @@ _ANCHOR = r"""'<a\b[^>]*href=["'']([^"'']+)["''][^>]*>(.*?)</a\s*>'"""
 @query(rf"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, {_ANCHOR}, 1, 'is')) AS href, unnest(regexp_extract_all(html, {_ANCHOR}, 2, 'is')) AS t,
  unnest(range(len(regexp_extract_all(html, {_ANCHOR}, 1, 'is')))) AS i FROM pages),
 f AS (SELECT page_id, i, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^(https?://[^/?#]*)', 1) || href ELSE href END AS href, trim(regexp_replace({_html_sql("t")}, '\s+', ' ', 'g')) AS text FROM l),
-n AS (SELECT page_id, i, CASE WHEN regexp_matches(href, '^https?://[^/]*/$') THEN href ELSE regexp_replace(regexp_replace(href, '#.*$', ''), '/$', '') END AS href, text FROM f WHERE text <> '' AND regexp_matches(href, '^https?:')),
+n AS (SELECT page_id, i, array_to_string([CASE WHEN c > '~' THEN url_encode(c) ELSE c END FOR c IN string_split(CASE WHEN regexp_matches(href, '^https?://[^/]*/$') THEN href ELSE regexp_replace(regexp_replace(href, '#.*$', ''), '/$', '') END, '')], '') AS href, text FROM f WHERE text <> '' AND regexp_matches(href, '^https?:')),
 d AS (SELECT *, row_number() OVER (PARTITION BY page_id, href ORDER BY i) AS r FROM n), k AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place FROM d WHERE r = 1)
 SELECT page_id, href, text FROM k WHERE place <= 200""")
 def extract_links(spark, sf_dir):
