@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kalendry.plans.queries import _TS, query, text_of
 from kalendry.sources.shared import new_folder
-from kalendry.streaming import state
+from kalendry.streaming import delivery, state
 
 _KIND = "CASE WHEN event_type = 'signup' THEN 'joined' WHEN event_type = 'error' THEN 'left' WHEN event_type = 'view' THEN 'posted' WHEN event_type = 'click' AND event_id % 50 = 0 THEN 'removed' WHEN event_type = 'purchase' AND event_id % 9 = 0 THEN 'dead' END"
 
@@ -27,3 +27,17 @@ def subscription_store(spark, sf_dir):
     folder = new_folder(spark, "subscriptions")
     state.run(rows, folder)
     return state.current(spark, folder).select("team", "channel", text_of("since").alias("since"), text_of("last_posted").alias("last_posted"))
+
+
+@query("""WITH m AS (SELECT 'u' || user_id AS target, event_type AS event, CAST(ts AS DATE) AS day, max(value) AS v FROM events WHERE event_type <> 'view' GROUP BY ALL)
+SELECT target, count(*) AS messages, strftime(min(day), '%Y-%m-%d') AS first_day, CAST(0 AS BIGINT) AS again FROM m GROUP BY target""")
+def delivered_once(spark, sf_dir):
+    """A message a user, kind and day, handed to the ledger by a stream, and all of them again as later batches."""
+    events = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).parquet(f"{sf_dir}/events.parque[t]")
+    of = lambda rows: rows.where("event_type <> 'view'").select(F.concat(F.lit("u"), "user_id").alias("target"), F.col("event_type").alias("event"), F.to_date("ts").alias("day"), F.col("value").cast("string").alias("text"))
+    folder = new_folder(spark, "ledger")
+    delivery.run(of(events), folder)
+    table = delivery.ledger(spark, folder)
+    again = delivery.take(table, of(spark.read.parquet(f"{sf_dir}/events.parquet")), 10).count()
+    rows = table.read().groupBy("target").agg(F.count(F.lit(1)).alias("messages"), F.date_format(F.min("day"), "yyyy-MM-dd").alias("first_day"))
+    return rows.withColumn("again", F.lit(again).cast("long"))
