@@ -31,11 +31,19 @@ def zone_names() -> dict[str, str]:
     return {z.lower(): _SHORT.get(z, z) for z in sorted(every)}
 
 
-def _named(name: Column, key: Column) -> Column:
-    """A zone by its name. Long lists of literals are looked up by hash, and only names in another case need the table."""
-    names = zone_names()
-    written = [z for z in names.values() if z not in _SHORT.values()]
-    return F.when(name.isin(*written), name).when(key.isin(*names), _looked_up(names, key))
+@functools.cache
+def _zone_table() -> str:
+    """The names as one SQL literal, a map for each first part: a row is compared with a region's names, not with all."""
+    regions: dict[str, list[str]] = {}
+    for key, zone in zone_names().items():
+        regions.setdefault(key.split("/")[0] if "/" in key else "", []).append(f"'{key}', '{zone}'")
+    return "map(" + ", ".join(f"'{r}', map({', '.join(pairs)})" for r, pairs in regions.items()) + ")"
+
+
+def _named(key: Column) -> Column:
+    """A zone by its name in lower case."""
+    region = F.when(key.contains("/"), F.substring_index(key, "/", 1)).otherwise("")
+    return F.try_element_at(F.try_element_at(F.expr(_zone_table()), region), key)
 
 
 def zone_of(text: Column) -> Column:
@@ -45,7 +53,7 @@ def zone_of(text: Column) -> Column:
     hours, minutes = F.regexp_extract(name, r"^UTC[+-](\d{1,2})(?::(\d{2}))?$", 1).try_cast("int"), F.regexp_extract(name, r"^UTC[+-]\d{1,2}:(\d{2})$", 1).try_cast("int")
     within = (hours * 60 + F.coalesce(minutes, F.lit(0)) <= 14 * 60) & (F.coalesce(minutes, F.lit(0)) < 60)
     anywhere = F.when(name.rlike(r"(?i)aoe|anywhere\s+on\s+earth"), F.lit("UTC-12"))
-    return F.coalesce(anywhere, _looked_up(OFFSETS, key), _looked_up(PLACES, F.regexp_replace(key, r"\s+time$", "")), _named(name, key), F.when(within, name))
+    return F.coalesce(anywhere, _looked_up(OFFSETS, key), _looked_up(PLACES, F.regexp_replace(key, r"\s+time$", "")), _named(key), F.when(within, name))
 
 
 def instant(local: Column, zone: Column) -> Column:
