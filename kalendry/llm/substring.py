@@ -50,7 +50,7 @@ from kalendry.llm.common import shingles, table_of, word_hashes_of
 SHINGLE, LEAST, THRESHOLD = 5, 50, 0.8
 HASHES, GRID = 5, 64
 #: Hash functions that must support a stretch in the first round, and those of the second, which needs one of them.
-AGREE, BLOCK_HASHES = 2, 3
+AGREE, BLOCK_HASHES = 2, 2
 #: Open windows of a block, and windows of the block they are compared with; in runs up to FEW, bounds cost more than they spare.
 BLOCK_A, BLOCK_B, FEW = 400, 2000, 8
 _WORD = re.compile(r"\S+")
