@@ -45,7 +45,7 @@ def speakers_reread(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").join(talks, "c_custkey", "left").select(F.col("c_custkey").alias("ord"), key.alias("id"), F.concat("c_name", F.lit(': "'), "c_mktsegment", F.lit('"')).alias("name"), images.alias("image_urls"), "presentations")
     folder = new_folder(spark, "speakers")
     speakers.write(rows, folder)
-    back = speakers.with_counts(speakers.read(spark, [folder]))
+    back = speakers.with_counts(speakers.from_files(spark, [folder]))
     return back.select("id", "name", F.coalesce(F.size("image_urls"), F.lit(0)).alias("images"), F.col("given").cast("long").alias("talks"), F.array_min("presentations.year").cast("long").alias("first_year"), F.array_max("presentations.topic").alias("last_topic"))
 
 

@@ -1,4 +1,4 @@
-"""Speakers with their presentations, read from their own files of entries."""
+"""Speakers with their presentations, kept as files of entries or as JSON lines (name, team, presentations)."""
 
 from __future__ import annotations
 
@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 
 from kalendry.sources import blocks
 
+SCHEMA = "name string, team string, presentations array<struct<title:string,date:string,link:string>>"
 _TALKS = "array<struct<topic:string,event:string,eventType:string,link:string,year:int>>"
 
 
-def read(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of SCHEMA."""
+    return spark.read.schema(SCHEMA).json(path)
+
+
+def from_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """ord, id, name, image_urls (one address or several, as an array), presentations (topic, event, eventType, link, year)."""
     rows = blocks.parsed(blocks.entries(spark, paths))
     of = lambda name, kind: F.try_variant_get("entry", f"$.{name}", kind)
@@ -20,7 +26,7 @@ def read(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def write(speakers: DataFrame, folder: str) -> None:
-    """The opposite of read(): entries in the order of ord; absent fields are left out."""
+    """The opposite of from_files(): entries in the order of ord; absent fields are left out."""
     image = F.when(F.size("image_urls") > 0, F.col("image_urls"))
     entry = F.to_json(F.struct("id", "name", image.alias("imageUrl"), "presentations"))
     blocks.write(speakers, entry, folder, F.col("ord"))

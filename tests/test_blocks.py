@@ -42,13 +42,13 @@ SPEAKERS = """# comment
 
 def test_speakers(spark, tmp_path):
     (tmp_path / "s.txt").write_text(SPEAKERS)
-    got = speakers.read(spark, [str(tmp_path / "s.txt")]).orderBy("ord").collect()
+    got = speakers.from_files(spark, [str(tmp_path / "s.txt")]).orderBy("ord").collect()
     assert [(r.id, r.name, r.image_urls) for r in got] == [("ada", 'Ada "A" Löwe', ["/ada.jpeg"]), ("bo", "Bo, son of O'Bo", ["/b.jpeg", "/b'2.jpeg"]), ("cy", "Cy the\nthird", None)]
     one, two = got[0].presentations
     assert tuple(one) == ("One: two", "Long\n  event\n", "conference", "https://a.org/x?y=1#z", 2025) and (two.topic, two.link, two.year) == ("flow", None, 2024)
     assert got[1].presentations == [] and got[2].presentations is None
-    speakers.write(speakers.read(spark, [str(tmp_path / "s.txt")]), str(tmp_path / "out"))
-    again = speakers.read(spark, sorted(glob.glob(str(tmp_path / "out" / "part-*")))).orderBy("ord").collect()
+    speakers.write(speakers.from_files(spark, [str(tmp_path / "s.txt")]), str(tmp_path / "out"))
+    again = speakers.from_files(spark, sorted(glob.glob(str(tmp_path / "out" / "part-*")))).orderBy("ord").collect()
     assert [r[1:4] for r in again] == [r[1:4] for r in got] and again[0].presentations[0] == one
 
 
