@@ -18,6 +18,18 @@ def folded(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)\s+", " "), r"^ | $", "")
 
 
+#: Characters that Java writes as several in upper case, with the one that stands for each in simple case mapping.
+_ONE_EACH = {c: "\u1e9e" if c == "\u00df" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x10000)) if len(c.upper()) > 1}
+_ONES = f"[{''.join(_ONE_EACH)}]"
+
+
+def upper_each(c: Column) -> Column:
+    """Upper case of each character by itself, so no text grows and lower case leads back: \u00df is \u1e9e, not SS."""
+    kept = F.create_map(*[F.lit(x) for pair in _ONE_EACH.items() for x in pair])
+    pieces = F.regexp_extract_all(c, F.lit(f"(?s)({_ONES}|[^{_ONES[1:]}+)"), F.lit(1))
+    return F.when(c.rlike(_ONES), F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(kept, x), F.upper(x))), "")).otherwise(F.upper(c))
+
+
 def or_default(c: Column, default) -> Column:
     """Empty text and null alike give the default."""
     return F.coalesce(F.nullif(c, F.lit("")), F.lit(default))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kalendry.functions.text import upper_each
 from kalendry.operators import quotes, redirects
 from kalendry.plans.queries import query, table
 
@@ -17,7 +18,7 @@ SELECT id, page_id FROM f JOIN t ON contains(page, quote) WHERE quote <> ''""")
 def quotes_on_pages(spark, sf_dir):
     """Quotes cut from pages, benchmark texts and the beginnings of documents against all pages."""
     p, k = table(spark, sf_dir, "pages"), F.col("page_id") % 5
-    cut = F.when(k == 0, F.upper(F.substring("html", 133, 60))).when(k == 1, F.substring("html", 700, 25)).when(k == 2, F.substring("html", 401, 9)).when(k == 3, F.replace(F.substring("html", 500, 80), F.lit(" "), F.lit("  ")))
+    cut = F.when(k == 0, upper_each(F.substring("html", 133, 60))).when(k == 1, F.substring("html", 700, 25)).when(k == 2, F.substring("html", 401, 9)).when(k == 3, F.replace(F.substring("html", 500, 80), F.lit(" "), F.lit("  ")))
     asked = p.select(F.concat(F.lit("p"), "page_id").alias("id"), cut.alias("quote"))
     asked = asked.union(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id"), "text"))
     asked = asked.union(table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id"), F.substring("text", 1, 30)))
