@@ -23,12 +23,21 @@ from pyspark.sql import types as T
 from kalendry.llm.common import WORD_OF_LETTERS, Cache, carried, id_and_text, one_text_each, prepare, restored, spot
 
 TRAIN_DOCS, WORDS, FOLDS, RIDGE = 12_000, 300, 5, 1.0
+#: Labelled rows that are numbers of eight bytes at a time while the driver fits; the rest are a byte a word.
+FIT_ROWS = 1000
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps; the last weight is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
+def _blocks(words: np.ndarray, before: np.ndarray, rows: np.ndarray):
+    """(place in rows, inputs with the intercept's column) of FIT_ROWS rows at a time: only they are ever wide numbers."""
+    for i in range(0, len(rows), FIT_ROWS):
+        part = rows[i : i + FIT_ROWS]
+        yield slice(i, i + len(part)), np.column_stack([words[part], before[part], np.ones(len(part))])
+
+
+def _fit(words: np.ndarray, before: np.ndarray, y: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Ridge logistic regression by Newton steps over some rows of words (bytes) and of earlier links' probabilities; the last weight is the intercept."""
+    y = y[rows]
+    w = np.zeros(words.shape[1] + before.shape[1] + 1)
     if not len(y) or y.min() == y.max():
         share = min(max(y.mean() if len(y) else 0.0, 1e-6), 1 - 1e-6)
         w[-1] = np.log(share / (1 - share))
@@ -36,35 +45,41 @@ def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     penalty = np.full(len(w), RIDGE)
     penalty[-1] = 1e-6
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        curve, slope = np.diag(penalty), -penalty * w
+        for at, x in _blocks(words, before, rows):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            slope += x.T @ (y[at] - p)
+            x *= np.sqrt(p * (1 - p) + 1e-9)[:, None]
+            curve += x.T @ x
+        step = np.linalg.solve(curve, slope)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+def _probability(words: np.ndarray, before: np.ndarray, w: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(rows))
+    for at, x in _blocks(words, before, rows):
+        out[at] = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return out
 
 
 class Chain:
-    """Links in order; link k's inputs are the words and the probabilities of links 0 .. k-1."""
+    """Links in order; link k's inputs are the words (0 or 1, as bytes) and the probabilities of links 0 .. k-1."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        fold = np.arange(len(x)) % FOLDS
-        self.links, before = [], x
+        fold, every = np.arange(len(x)) % FOLDS, np.arange(len(x))
+        self.links, before = [], np.zeros(y.shape)
         for k in range(y.shape[1]):
-            self.links.append(_fit(before, y[:, k]))
-            unseen = np.zeros(len(x))
+            self.links.append(_fit(x, before[:, :k], y[:, k], every))
             for f in range(FOLDS):
-                unseen[fold == f] = _probability(before[fold == f], _fit(before[fold != f], y[fold != f, k]))
-            before = np.column_stack([before, unseen])
+                before[fold == f, k] = _probability(x, before[:, :k], _fit(x, before[:, :k], y[:, k], every[fold != f]), every[fold == f])
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), len(self.links)))
         for k, w in enumerate(self.links):
-            out[:, k] = _probability(np.column_stack([x, out[:, :k]]), w)
+            out[:, k] = _probability(x, out[:, :k], w, np.arange(len(x)))
         return out
 
 
@@ -74,7 +89,7 @@ def _finder(vocabulary: list[str]) -> Cache:
 
 
 def _presence(texts: list[str], find: Cache, n: int) -> np.ndarray:
-    x = np.zeros((len(texts), n))
+    x = np.zeros((len(texts), n), np.uint8)
     for i, t in enumerate(texts):
         for found in map(find.__getitem__, t.split()):
             if found:
@@ -85,7 +100,7 @@ def _presence(texts: list[str], find: Cache, n: int) -> np.ndarray:
 def _rows(batches, vocabulary: list[str]):
     find = _finder(vocabulary)
     for batch in batches:
-        x = _presence([t or "" for t in batch.column("text").to_pylist()], find, len(vocabulary)).astype(np.uint8)
+        x = _presence([t or "" for t in batch.column("text").to_pylist()], find, len(vocabulary))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("marks"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "marks", "x"])
 
 
@@ -107,7 +122,7 @@ def learn(docs: DataFrame, labels: DataFrame, categories: list[str], most: int =
         vocabulary |= {r.word for r in seen.orderBy((F.abs(F.log(rate)) * F.sqrt("n")).desc(), "word").limit(WORDS).collect()}
     vocabulary_list = sorted(vocabulary)
     rows = own.mapInArrow(lambda it: _rows(it, vocabulary_list), "doc_id long, marks array<int>, x binary").toArrow().sort_by("doc_id")
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.uint8).reshape(rows.num_rows, len(vocabulary_list)).astype(np.float64)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.uint8).reshape(rows.num_rows, len(vocabulary_list))
     y = np.array(rows.column("marks").to_pylist(), np.float64).reshape(rows.num_rows, len(categories))
     own.unpersist()
     seen.unpersist()

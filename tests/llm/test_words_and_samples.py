@@ -1,5 +1,7 @@
 """Words with combining marks, ids of long runs, labelled samples at any size, accuracy on rows not fitted to."""
 
+import tracemalloc
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -66,3 +68,14 @@ def test_a_chain_of_three_categories(spark):
     for k, name in enumerate(("insult", "slur", "any")):
         assert sum((r.probabilities[k] >= 0.5) == bool(r[name]) for r in got) > 0.97 * len(got)
     assert chain.links[2][len(vocabulary) : len(vocabulary) + 2].min() > 0.5  # both earlier probabilities speak for it
+
+
+def test_fitting_never_holds_all_rows_as_wide_numbers():
+    rng = np.random.default_rng(5)
+    x = (rng.random((12_000, 200)) < 0.1).astype(np.uint8)
+    y = np.column_stack([x[:, :10].sum(1) > 1, x[:, 5:15].sum(1) > 1]).astype(float)
+    tracemalloc.start()
+    toxicity.Chain(x, y)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < x.size * 8  # before, several times that
