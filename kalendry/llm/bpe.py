@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from kalendry.llm.common import Cache, id_and_text, prepare
 
 END = "</w>"
+#: Entries of one generation of each cache: runs of text between white space are more than words, and a run that was dropped costs its encoding.
+KEPT_RUNS = 1 << 18
 #: Fixed: how the library spells bytes as letters (printable Latin-1 stays, the rest follow from 256 on).
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELL = {b: chr(b) for b in _KEPT} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _KEPT)}
@@ -139,8 +141,8 @@ class Codec:
         self.special = regex.compile("|".join(regex.escape(s) for s in v.special)) if v.special else None
         self.odd = regex.compile(r"[\x1c-\x1f]")
         self.space = regex.compile(f"[{_SPACE}]+")
-        self.words = Cache(v.word)
-        self.chunks = Cache(self._chunk)
+        self.words = Cache(v.word, KEPT_RUNS)
+        self.chunks = Cache(self._chunk, KEPT_RUNS)
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, the ids and their tokens as text, of a run of text without white space."""

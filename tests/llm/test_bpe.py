@@ -55,3 +55,14 @@ def test_defined_cases(make_docs):
     got = {(r.doc_id, len(r.ids), r.decoded[:9]) for r in bpe.encode(docs, PATH).collect()}
     assert got == {(0, 0, ""), (1, 0, ""), (1, 2, "a</w> b</"), (None, 1, "q</w>"), (5, 40000, "word</w> ")}
     assert bpe.digests(docs.limit(0), PATH).count() == 0
+
+
+def test_runs_that_come_again_are_not_encoded_again():
+    own, made = bpe.Codec(PATH), []
+    chunk = own.chunks.make
+    own.chunks.make = lambda run: made.append(run) or chunk(run)
+    text = " ".join(f"w{i}" for i in range(200_000))
+    first = own.encode(text)
+    assert len(made) == 200_000
+    assert own.encode(text) == first
+    assert len(made) == 200_000  # before, 131,072 runs were the most of one generation
