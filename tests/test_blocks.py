@@ -105,3 +105,10 @@ def test_a_malformed_entry_fails_with_its_place(spark, tmp_path):
     (tmp_path / "c.txt").write_text("- id: a\n  title: x\n- id: b\n  title: y: z\n")
     with pytest.raises(Exception, match=r"(?s)c\.txt.*id: b.*line 2: a colon"):
         blocks.parsed(blocks.entries(spark, [str(tmp_path / "c.txt")])).select(F.to_json("entry")).collect()
+
+
+@pytest.mark.parametrize("text", ['"plain"', '"a: b # c"', '"two\n  lines"', r'"tab\t"', '"é"', "'it''s'", '"" # note', "x # note", "x#y", "a:b", '"x"  ', "'q' #"])
+def test_short_ways_read_as_the_long_ones(text):
+    want = {'"plain"': "plain", '"a: b # c"': "a: b # c", '"two\n  lines"': "two lines", r'"tab\t"': "tab\t", '"é"': "é", "'it''s'": "it's", '"" # note': "", "x # note": "x", "x#y": "x#y", "a:b": "a:b", '"x"  ': "x", "'q' #": "q"}[text]
+    assert blocks.parse(f"k: {text}") == {"k": want}
+    assert blocks.parse(blocks.dump({"k": want})) == {"k": want}
