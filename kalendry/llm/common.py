@@ -72,6 +72,23 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the bitmap of perhaps() (a multiple of 32,768; 8 MB).
+SLOTS = 1 << 26
+
+
+def perhaps(held: DataFrame, key, asked: DataFrame) -> DataFrame:
+    """The rows of held whose key (a 64-bit hash) the only column of asked may have: all that it has, and few others.
+
+    An exact inner join must follow; texts that nothing asks for are then not shuffled. (A semi-join would be done first.)
+    """
+    slot = lambda c: F.pmod(c, F.lit(SLOTS))
+    bits = asked.select((slot(F.col(asked.columns[0])) + 1).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
+    bits = bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", (F.shiftright(slot(key), 3) % 4096 + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    met = held.withColumn("bucket", F.shiftright(slot(key), 15) + 1).join(F.broadcast(bits), "bucket")
+    return met.where(F.getbit(byte, (slot(key) % 8).cast("int")) == 1).select(*held.columns)
+
+
 def row_key():
     """64 bits that identify a row by (doc_id, text): rows that agree in both are one document listed twice."""
     return F.xxhash64(F.col("doc_id"), F.col("text"))

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalendry.llm.common import carried, discard, id_and_text, materialize, mix, parts_of, prepare, restored, row_key
+from kalendry.llm.common import carried, discard, id_and_text, materialize, mix, parts_of, perhaps, prepare, restored, row_key
 from kalendry.llm.common import shingles, table_of, word_hashes_of
 
 SHINGLE, LEAST, THRESHOLD = 5, 50, 0.8
@@ -60,6 +60,8 @@ _NINE = 511
 _PAIR = "row_a long, doc_a long, row_b long, doc_b long"
 _MEMBER = ["value", "doc_id", "row", "packed"]
 _JOINED = ["row_a", "doc_a", "row_b", "doc_b", "at_a", "at_b"]
+#: The window that a member is joined to, and whether the member is the earlier of both.
+_OTHER = ["other_id", "other_row", "other_packed", "earlier"]
 
 
 def _least_over(x: np.ndarray, span: int, take) -> np.ndarray:
@@ -192,14 +194,12 @@ def _stars(batches):
         me, them = rows[2:, at], rows[2:, other[at]]
         apart = ~new[at] & ((me[0] != them[0]) | (me[1] != them[1]) | (me[2] != them[2]))
         swap = _before(list(me), list(them))
-        a, b = np.where(swap, me, them), np.where(swap, them, me)
         number = lambda x, there: pa.array(x, pa.int64(), mask=~there.astype(bool))
         every = np.ones(len(at), bool)
-        columns = [number(rows[0, at], every), number(me[1], me[0]), number(me[2], every), number(me[3], every)]
-        for side in (a, b):
-            columns += [number(side[2], apart), number(side[1], apart & side[0].astype(bool))]
-        columns += [number(a[3], apart), number(b[3], apart)]
-        yield pa.RecordBatch.from_arrays(columns, names=_MEMBER + _JOINED)
+        again = (me[3] >> _HASH & 7) < BLOCK_HASHES  # the second round asks for these values only
+        columns = [number(rows[0, at], again), number(me[1], me[0]), *(number(x, every) for x in me[2:])]
+        columns += [number(them[1], apart & them[0].astype(bool)), *(number(x, apart) for x in them[2:]), pa.array(swap)]
+        yield pa.RecordBatch.from_arrays(columns, names=_MEMBER + _OTHER)
         last = first[-1]
         whole_run_is_one = last == n - 1 or (skip and last == 0 and n == 2)
         lonely = bool(whole_run_is_one) if last >= skip or not skip else lonely and value[2] != value[0]
@@ -511,6 +511,23 @@ def _spread(batches):
         yield pa.RecordBatch.from_arrays([batch.column("value").take(take), pa.array(flat), *own, pa.array(at)], names=["value", "shingle", "doc_id", "row", "packed", "at"])
 
 
+def _shared(batches):
+    """Rows of _spread() sorted by (value, shingle) -> those that agree in both with a neighbour; one row is held between batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        value, shingle = (table.column(c).to_numpy() for c in ("value", "shingle"))
+        same = (value[1:] == value[:-1]) & (shingle[1:] == shingle[:-1])
+        good = np.append(False, same) | np.append(same, False)
+        if held is not None and matched:  # it agreed with a row before it, and went out with that
+            good[0] = False
+        matched = bool(len(same) and same[-1])
+        yield from table.select(["doc_id", "row", "packed", "value", "at"]).filter(pa.array(good)).to_batches()
+        held = batch.slice(batch.num_rows - 1)
+
+
 def _enough(batches, need: int, least: int):
     """(value, doc_id, row, packed, at: places shared in the run) -> the windows that have enough around their centre."""
     for batch in batches:
@@ -578,10 +595,10 @@ class _Search:
         self.need = math.ceil(threshold * self.least - 1e-9)
         self.source = id_and_text(docs).withColumn("row", row_key())
 
-    def texts(self, wanted: DataFrame) -> DataFrame:
-        """The text of each document of wanted(doc_id, row, ...), once however often it is listed."""
+    def texts(self, wanted: DataFrame, rows: DataFrame) -> DataFrame:
+        """The text of each document of wanted(doc_id, row, ...), whose row keys are those of rows, once however often listed."""
         other = wanted.withColumnsRenamed({"doc_id": "w_id", "row": "w_row"})
-        met = self.source.join(other, (F.col("row") == F.col("w_row")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
+        met = perhaps(self.source, F.col("row"), rows).join(other, (F.col("row") == F.col("w_row")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
         return met.drop("w_id", "w_row")
 
     def stretches(self, pairs: DataFrame, agree: int, label: str) -> DataFrame:
@@ -592,7 +609,7 @@ class _Search:
         # what a text is asked for lies on a grid, so a passage's first document is asked for little, however many repeat it
         sides = [spans.select(F.col(f"doc_{s}").alias("doc_id"), F.col(f"row_{s}").alias("row"), F.col(f"from_{s}").alias("low"), F.col(f"to_{s}").alias("high")) for s in "ab"]
         wanted = sides[0].union(sides[1]).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
-        parts = self.texts(wanted).select("doc_id", "row", "text", "wanted").mapInArrow(_fetched, "doc_id long, row long, low long, high long, part binary")
+        parts = self.texts(wanted, spans.select("row_a").union(spans.select("row_b"))).select("doc_id", "row", "text", "wanted").mapInArrow(_fetched, "doc_id long, row long, low long, high long, part binary")
         parts = materialize(parts.dropDuplicates(["doc_id", "row", "low", "high"]), label + "-parts")
         both = spans
         for s in "ab":
@@ -612,19 +629,22 @@ class _Search:
         found = self.source.mapInArrow(lambda it: _window_rows(it, least), "value long, doc_id long, row long, packed long")
         runs = found.repartition("value").withColumn("follow", F.col("packed").bitwiseAND((1 << _HASH) - 1))
         runs = runs.sortWithinPartitions("value", "follow", F.col("doc_id").asc_nulls_first(), "row", "packed")
-        schema = f"value long, doc_id long, row long, packed long, {_PAIR}, at_a long, at_b long"
+        schema = "value long, doc_id long, row long, packed long, other_id long, other_row long, other_packed long, earlier boolean"
         member = materialize(runs.select("follow", *_MEMBER).mapInArrow(_stars, schema), "substring-members")
-        return member, self.stretches(member.where("row_a is not null").select(*_JOINED), AGREE, "substring-stretches")
+        # each number is kept once, in the order of the run; which document is the first of the pair is told when it is read
+        sides = (("other_row", "other_id", "other_packed"), ("row", "doc_id", "packed"))
+        side = lambda c, first: F.when(F.col("earlier"), F.col(sides[first][c])).otherwise(F.col(sides[1 - first][c]))
+        pairs = member.where("other_row is not null").select(*[side(c, first).alias(f"{name}_{'ab'[1 - first]}") for c, name in ((0, "row"), (1, "doc"), (2, "at")) for first in (1, 0)])
+        return member, self.stretches(pairs.select(*_JOINED), AGREE, "substring-stretches")
 
     def thinned(self, large: DataFrame) -> DataFrame:
         """Windows of runs of many blocks that have enough around them in other texts of their run."""
         least, need = self.least, self.need
         spread = large.select(*_MEMBER, "context").mapInArrow(_spread, "value long, shingle long, doc_id long, row long, packed long, at long")
-        key, who = ["value", "shingle"], F.struct("doc_id", "row", "packed")
         # held by another window of the run: another text's, or the same text's, whose shingle is there twice
-        shared = spread.groupBy(*key).agg(F.min(who).alias("low"), F.max(who).alias("high"), F.count(F.lit(1)).alias("n"))
-        shared = shared.where("low != high or n > 1").select(*key)
-        places = spread.join(shared, key, "left_semi").groupBy(*_MEMBER).agg(F.collect_list("at").alias("at"))
+        runs = spread.repartition("value", "shingle").sortWithinPartitions("value", "shingle")
+        shared = runs.mapInArrow(_shared, "doc_id long, row long, packed long, value long, at long")
+        places = shared.groupBy(*_MEMBER).agg(F.collect_list("at").alias("at"))
         kept = places.mapInArrow(lambda it: _enough(it, need, least), "value long, doc_id long, row long, packed long")
         kept = kept.withColumnsRenamed({"value": "k_value", "doc_id": "k_id", "row": "k_row", "packed": "k_packed"})
         same = (F.col("value") == F.col("k_value")) & (F.col("row") == F.col("k_row")) & (F.col("packed") == F.col("k_packed"))
@@ -634,7 +654,7 @@ class _Search:
         """state with the shingles that each window reaches: a text moves once, to all of its windows."""
         counts = "open boolean, core long, n long, n_open long"
         own = state.groupBy("doc_id", "row").agg(F.collect_set(F.struct("value", "packed", "open", "core", "n", "n_open")).alias("windows"))
-        texts = self.texts(own).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "windows")
+        texts = self.texts(own, state.select("row")).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "windows")
         return texts.mapInArrow(_contexts, f"value long, doc_id long, row long, packed long, {counts}, context binary")
 
     def blocks(self, state: DataFrame) -> DataFrame:
