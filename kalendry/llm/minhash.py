@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kalendry.llm.common import carried, id_and_text, materialize, mix, prepare, restored, row_key, shingles, word_hashes
+from kalendry.llm.common import carried, discard, id_and_text, materialize, mix, perhaps, prepare, restored, row_key, shingles, word_hashes
 from kalendry.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -244,8 +244,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
     used = materialize(near.select(F.col("a").alias("key")).union(near.select("b")).union(flagged).distinct(), "minhash-used")
 
     wanted = materialize(texts.select("key", "rep", "sig").join(used, "key"), "minhash-wanted")
+    discard(texts)
     named = wanted.select("rep").distinct()
-    bodies = source.join(named, source.doc_id.eqNullSafe(named.rep), "left_semi").select("text").mapInArrow(lambda it: _unit_rows(it, size), "key binary, units binary")
+    maybe = perhaps(source, F.xxhash64("doc_id"), wanted.select(F.xxhash64("rep")))
+    bodies = maybe.join(named, maybe.doc_id.eqNullSafe(named.rep)).select("text").mapInArrow(lambda it: _unit_rows(it, size), "key binary, units binary")
     bodies = materialize(bodies.join(wanted.select("key", "sig"), "key").dropDuplicates(["key"]), "minhash-units")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -260,7 +262,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, size: int = S
 
     roots = components(first.union(second), "minhash-components")
     known = sketch.select("row", "doc_id", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
+    discard(member, near, used, wanted, bodies, first)
     known = materialize(known.select("row", "doc_id", F.coalesce("root", "key", F.unhex(F.hex("row"))).alias("class_key")), "minhash-classes")
+    discard(sketch)
     classes = known.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return known.join(classes, "class_key").select("row", "doc_id", "class_key", "class_id", "class_size")
 
@@ -269,7 +273,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without all but one document of each class: the one with the least doc_id (then row identity)."""
     classes = near_duplicates(docs, **options)
     kept = classes.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least"))
-    kept = kept.select(F.col("least.doc_id").alias("k_id"), F.col("least.row").alias("k_row"))
-    marked = id_and_text(docs, carried(docs)).withColumn("row", row_key())
-    met = marked.join(kept, (F.col("row") == F.col("k_row")) & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
-    return restored(met.dropDuplicates(["doc_id", "row"]), docs)
+    kept = kept.select(F.struct("least.doc_id", "least.row").alias("k_who"))  # one key for both steps: texts are dealt once
+    marked = id_and_text(docs, carried(docs)).withColumn("who", F.struct("doc_id", row_key().alias("row")))
+    met = marked.join(kept, F.col("who") == F.col("k_who"), "left_semi")
+    return restored(met.dropDuplicates(["who"]), docs)
