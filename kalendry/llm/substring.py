@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import math
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,8 @@ HASHES, GRID = 5, 64
 AGREE, BLOCK_HASHES = 2, 2
 #: Open windows of a block, and windows of the block they are compared with; in runs up to FEW, bounds cost more than they spare.
 BLOCK_A, BLOCK_B, FEW = 400, 2000, 8
+#: Rows of runs, or of blocks, that numpy takes at once.
+GATHERED = 8000
 _WORD = re.compile(r"\S+")
 #: A window in one long: centre 27 bits, reach to the left and right 9 each, hash function 3, next shingle 15.
 _CENTRE, _LEFT, _RIGHT, _HASH = 36, 27, 18, 15
@@ -155,6 +158,33 @@ def _joined(x: tuple, y: tuple) -> tuple:
     return a[2], a[1], b[2], b[1], a[3], b[3]
 
 
+def _gathered(batches, rows: int):
+    """The same rows in batches of at least so many, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def _not_alone(batches):
+    """Rows sorted by value -> those whose value another one has; the last row waits for the next batch."""
+    held, matched = None, False
+    for batch in _gathered(batches, GATHERED):
+        if held is not None:
+            batch = next(iter(pa.Table.from_batches([held, batch]).combine_chunks().to_batches()))
+        value = batch.column("value").to_numpy()
+        same = value[1:] == value[:-1]
+        good = np.append(matched, same) | np.append(same, False)
+        matched, held = bool(same[-1]) if len(same) else matched, batch.slice(batch.num_rows - 1)
+        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(good[:-1]))
+    if held is not None and matched:
+        yield held
+
+
 def _before(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Whether each window of x sorts before that of y by (doc_id known, doc_id, row, packed)."""
     out = x[-1] < y[-1]
@@ -169,7 +199,7 @@ def _stars(batches):
     What a run needs from earlier batches are its first window and that of its last next shingle.
     """
     held, lonely = None, False  # these two rows, and whether the run has no second one yet
-    for batch in batches:
+    for batch in _gathered(batches, GATHERED):
         known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
         doc = batch.column("doc_id").fill_null(0).to_numpy()
         rows = np.stack([batch.column("value").to_numpy(), batch.column("follow").to_numpy(), known, doc, *(batch.column(c).to_numpy() for c in ("row", "packed"))])
@@ -250,30 +280,33 @@ def _fetched(batches):
             yield table_of(out, ["doc_id", "row", "low", "high", "part"], [*[pa.int64()] * 4, pa.binary()])
 
 
-def _dense(x: np.ndarray, match: np.ndarray, new: np.ndarray, least: int, threshold: float) -> list[np.ndarray]:
+def _dense(x: np.ndarray, match: np.ndarray, new: np.ndarray | None, least: int, threshold: float) -> list[np.ndarray]:
     """Matching places, by runs of all stretches that have a share of at least `threshold` of them; runs of `least` places.
 
+    new: where shingles are new, None where all are.
     A shingle that does not match counts once (where it is new), and one that matches once where it follows itself,
     as both do for the likeness, so no stretch that is near enough is cut.
     """
     places = match.nonzero()[0]
     if not len(places) or places[-1] - places[0] < least - 1:
         return []
-    gain = np.where(match, 1 - threshold, np.where(new, -threshold, 0))
-    gain[1:][x[1:] == x[:-1]] = 0
+    gain = match - threshold
+    if new is not None:
+        gain[~match & ~new] = 0
+        gain[1:][x[1:] == x[:-1]] = 0
     total = np.zeros(len(match) + 1)
     np.cumsum(gain, out=total[1:])
     inside = np.maximum.accumulate(total[:0:-1])[::-1] - np.minimum.accumulate(total[:-1]) > -1e-9
-    apart = np.cumsum(~inside)[places]
+    apart = (~inside).cumsum()[places]
     edges = [0, *((apart[1:] != apart[:-1]).nonzero()[0] + 1).tolist(), len(places)]
     return [places[i:j] for i, j in zip(edges[:-1], edges[1:], strict=True) if places[j - 1] - places[i] >= least - 1]
 
 
 def _cut(places: np.ndarray) -> list[np.ndarray]:
     """Places on both sides of their longest gap."""
-    gaps = np.diff(places)
-    if not len(gaps) or gaps.max() <= 1:
+    if places[-1] - places[0] < len(places):
         return []
+    gaps = places[1:] - places[:-1]
     at = int(gaps.argmax()) + 1
     return [places[:at], places[at:]]
 
@@ -286,7 +319,7 @@ class Alike:
         number = np.unique(np.concatenate(sequences), return_inverse=True)[1]
         self.ids = np.split(number, np.cumsum([len(x) for x in sequences])[:-1])
         self.mark = np.zeros(len(number) + 1, bool)
-        self.new: dict[int, np.ndarray] = {}
+        self.new: dict[int, np.ndarray | None] = {}
 
     def among(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         self.mark[y] = True
@@ -302,21 +335,23 @@ class Alike:
             self.mark[x] = False
         return n
 
-    def firsts(self, i: int) -> np.ndarray:
-        """Where a sequence's shingles are new in it."""
+    def firsts(self, i: int) -> np.ndarray | None:
+        """Where a sequence's shingles are new in it; None where all are."""
         if i not in self.new:
-            out = self.new[i] = np.zeros(len(self.ids[i]), bool)
+            out = np.zeros(len(self.ids[i]), bool)
             out[np.unique(self.ids[i], return_index=True)[1]] = True
+            self.new[i] = None if out.all() else out
         return self.new[i]
 
-    def near(self, i: int, k: int, centre: int, need: int) -> bool:
-        """Whether `need` of some `least` places around the centre of sequence i are in sequence k, or were there before."""
-        free = len(self.ids[i]) - np.count_nonzero(self.firsts(i))  # places of shingles that were there before
-        total = np.cumsum(np.append(False, self.among(self.ids[i], self.ids[k])))
-        first, last = max(0, centre - self.least + 1), min(centre, len(total) - 1 - self.least)
-        if total[-1] + free < need or first > last:
-            return False
-        return bool((total[first + self.least : last + self.least + 1] - total[first : last + 1]).max() + free >= need)
+    def near(self, many: np.ndarray, k: int, centre: np.ndarray, need: int) -> np.ndarray:
+        """Of which sequences `need` of some `least` places around their centre are in sequence k, or were there before."""
+        new = [self.firsts(i) for i in many.tolist()]
+        free = np.array([0 if x is None else len(x) - np.count_nonzero(x) for x in new])  # places of shingles that were there before
+        ids = [self.ids[i] for i in many.tolist()]
+        size = np.array([len(x) for x in ids])
+        flags = self.among(np.concatenate(ids), self.ids[k])
+        around = (np.maximum(0, centre - self.least + 1) <= np.minimum(centre, size - self.least)) & (size >= self.least)
+        return around & (_most_around(flags, size, centre, self.least) + free >= need)
 
     def stretches(self, i: int, k: int, one: bool = False) -> list[tuple[int, int, int, int]]:
         """Maximal (a_from, a_to, b_from, b_to), inclusive, of sequences i and k that are near-duplicates; one: any of them."""
@@ -387,7 +422,7 @@ def _contexts(batches):
 def _most_around(flags: np.ndarray, size: np.ndarray, centre: np.ndarray, least: int) -> np.ndarray:
     """Of contexts laid end to end: the most flags in any `least` places around each centre."""
     start = np.cumsum(size) - size
-    total = np.concatenate([[0], np.cumsum(flags)])
+    total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     sums = np.append(total[least:] - total[:-least], [0] * least)
     first, last = start + np.maximum(0, centre - least + 1), start + np.minimum(centre, size - least)
     edges = np.stack([first, np.maximum(last, first) + 1], axis=1).ravel()
@@ -448,7 +483,7 @@ def _near_contexts(sets: list[np.ndarray], least: int, need: int):
     return near
 
 
-def _block_pairs(table: pa.Table, need: int, least: int, threshold: float) -> pa.Table:
+def _block_pairs(table: pa.Table, need: int, least: int, threshold: float) -> list[tuple]:
     """Open windows of one block joined to a window of each group of linked documents of another block of their run."""
     rows = table.to_pylist()
     contexts = [np.frombuffer(r["context"], np.uint32) for r in rows]
@@ -457,14 +492,17 @@ def _block_pairs(table: pa.Table, need: int, least: int, threshold: float) -> pa
     owner = np.array([names.setdefault((m[1], m[2]), len(names)) for m in members])
     centre = np.array([(m[3] >> _CENTRE) - _reach(m[3])[0] for m in members])
     alive = _possible(contexts, centre, owner, least, need).tolist() if len(rows) > FEW else range(len(rows))
+    owner = owner.tolist()
     alive = sorted(alive, key=lambda i: _earlier(members[i]))
     above, out, known = {}, [], {}
 
     def root(i):
-        core = rows[i]["core"]
-        while above.get(core, core) != core:
-            core = above[core]
-        return core
+        core = top = rows[i]["core"]
+        while top in above:
+            top = above[top]
+        while core != top:  # the way is shortened, or chains of links would be walked again and again
+            above[core], core = top, above[core]
+        return top
 
     held: dict[bytes, list[int]] = {}  # windows of the second block by their context, in order of documents
     for i in alive:
@@ -472,7 +510,7 @@ def _block_pairs(table: pa.Table, need: int, least: int, threshold: float) -> pa
             held.setdefault(rows[i]["context"], []).append(i)
     groups, place, asked = list(held.values()), {x: k for k, x in enumerate(held)}, {}
     near = _near_contexts([contexts[g[0]] for g in groups], least, need) if len(groups) > FEW else None
-    pairs = Alike(contexts, least, threshold)
+    pairs, heads = Alike(contexts, least, threshold), np.array([g[0] for g in groups], np.int64)
     for i in alive:
         if not rows[i]["open"] or rows[i]["side"] == 1:
             continue
@@ -485,34 +523,100 @@ def _block_pairs(table: pa.Table, need: int, least: int, threshold: float) -> pa
             if owner[first] != owner[i]:
                 continue
         asked[same] = i
-        for k in range(len(groups)) if near is None else near(contexts[i], centre[i]):
-            apart = [j for j in groups[k] if owner[j] != owner[i] and root(j) != root(i)]
-            if not apart:
+        mine = root(i)
+        some = [k for k in (range(len(groups)) if near is None else near(contexts[i], centre[i])) if any(owner[j] != owner[i] and root(j) != mine for j in groups[k])]
+        if not some:
+            continue
+        held_by = heads[some]
+        for k, close in zip(some, pairs.near(held_by, i, centre[held_by], need).tolist(), strict=True):
+            if not close or not any(owner[j] != owner[i] and root(j) != root(i) for j in groups[k]):
                 continue
             pair = (rows[i]["context"], k)
             if pair not in known:
-                first = groups[k][0]
-                known[pair] = pairs.near(first, i, centre[first], need) and bool(pairs.stretches(i, first, True))
-            for j in apart if known[pair] else []:
-                if root(j) != root(i):
+                known[pair] = bool(pairs.stretches(i, groups[k][0], True))
+            for j in groups[k] if known[pair] else []:
+                if owner[j] != owner[i] and root(j) != root(i):
                     out.append(_joined(members[i], members[j]))
                     above[root(i)] = root(j)
-    return pa.Table.from_batches([table_of(out, _JOINED)])
+    return out
+
+
+def _may_match(contexts: list[bytes], group: np.ndarray, owner: np.ndarray, centre: np.ndarray, least: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows may be in a pair of their group at all, and which of them as the one that near() looks around.
+
+    Counts places whose shingles another owner of the group has; both are bounds of what near() and stretches() ask for.
+    """
+    size = np.array([len(x) // 4 for x in contexts], np.int64)
+    flat, member = np.frombuffer(b"".join(contexts), "<u4").astype(np.int64), np.repeat(np.arange(len(size)), size)
+    key = group[member] << 32 | flat
+    order = np.argsort(key)
+    begin = np.nonzero(np.append(True, key[order[1:]] != key[order[:-1]]))[0]
+    who = owner[member[order]]
+    shared = np.minimum.reduceat(who, begin) != np.maximum.reduceat(who, begin)
+    flags = np.empty(len(flat), np.int64)
+    flags[order] = np.repeat(shared, np.diff(np.append(begin, len(flat))))
+    own = np.sort(member << 32 | flat)
+    free = np.bincount(own[1:][own[1:] == own[:-1]] >> 32, minlength=len(size))
+    some = np.bincount(member, weights=flags, minlength=len(size)) + free >= need
+    return some, some & (_most_around(flags, size, centre, least) + free >= need)
+
+
+def _few_left(table: pa.Table, group: np.ndarray, need: int, least: int) -> np.ndarray:
+    """Rows of small blocks that are left when windows go that have no match, and then blocks without a pair to ask about."""
+    columns = {c: table.column(c).to_numpy() for c in ("row", "packed", "side")}
+    centre = columns["packed"] >> _LEFT & _NINE  # in the context
+    known, doc = table.column("doc_id").is_valid().to_numpy(), table.column("doc_id").combine_chunks().fill_null(0).to_numpy()
+    owner = np.unique(np.stack([known.astype(np.int64), doc, columns["row"]]), axis=1, return_inverse=True)[1].ravel()
+    some, around = _may_match(table.column("context").to_pylist(), group, owner, centre, least, need)
+    n = int(group[-1]) + 1
+    asks = np.bincount(group, weights=some & table.column("open").to_numpy() & (columns["side"] != 1), minlength=n) > 0
+    asks &= np.bincount(group, weights=around & (columns["side"] != 0), minlength=n) > 0
+    return np.nonzero(some & asks[group])[0]
+
+
+def _blocks(batches, need: int, least: int, threshold: float):
+    """Rows sorted by (value, i, j) -> the pairs of each block; the last block waits for the batch that ends it."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        held += [batch] if batch is not None else []
+        n = sum(b.num_rows for b in held)
+        if not n or (batch is not None and n < GATHERED):
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        keys = np.stack([table.column(c).to_numpy() for c in ("value", "i", "j")])
+        edges = np.concatenate([[0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1, [n]])
+        held = []
+        if batch is not None:
+            held, edges = table.slice(edges[-2]).to_batches(), edges[:-1]
+        size, out = np.diff(edges), []
+        few = np.nonzero(size <= FEW)[0]
+        if len(few):
+            group = np.repeat(np.arange(len(few)), size[few])
+            small = table.take(edges[few][group] + np.arange(len(group)) - np.repeat(np.cumsum(size[few]) - size[few], size[few]))
+            left = _few_left(small, group, need, least)
+            small, ends = small.take(left), np.searchsorted(group[left], np.arange(len(few) + 1))
+            parts = [small.slice(a, b - a) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True) if b - a > 1]
+        else:
+            parts = []
+        for part in chain(parts, (table.slice(edges[g], size[g]) for g in np.nonzero(size > FEW)[0].tolist())):
+            out += _block_pairs(part, need, least, threshold)
+        yield table_of(out, _JOINED)
 
 
 def _spread(batches):
-    """Windows of large runs -> (value, shingle, doc_id, row, packed, at) for each place of their contexts."""
+    """Windows of large runs -> (value, shingle, doc_id, row, packed, at, sure) for each place of their contexts."""
     for batch in batches:
         size = np.array([len(x) // 4 for x in batch.column("context").to_pylist()], np.int64)
         flat = np.frombuffer(b"".join(batch.column("context").to_pylist()), np.uint32).astype(np.int64)
         take = pa.array(np.repeat(np.arange(len(size)), size))
         at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
         own = [batch.column(c).take(take) for c in ("doc_id", "row", "packed")]
-        yield pa.RecordBatch.from_arrays([batch.column("value").take(take), pa.array(flat), *own, pa.array(at)], names=["value", "shingle", "doc_id", "row", "packed", "at"])
+        columns = [batch.column("value").take(take), pa.array(flat), *own, pa.array(at), batch.column("sure").take(take)]
+        yield pa.RecordBatch.from_arrays(columns, names=["value", "shingle", "doc_id", "row", "packed", "at", "sure"])
 
 
 def _shared(batches):
-    """Rows of _spread() sorted by (value, shingle) -> those that agree in both with a neighbour; one row is held between batches."""
+    """Rows of _spread() sorted by (value, shingle) -> those not sure that agree in both with a neighbour; one row is held between batches."""
     held = None
     for batch in batches:
         if not batch.num_rows:
@@ -524,6 +628,8 @@ def _shared(batches):
         if held is not None and matched:  # it agreed with a row before it, and went out with that
             good[0] = False
         matched = bool(len(same) and same[-1])
+        if "sure" in table.column_names:
+            good &= ~table.column("sure").to_numpy()
         yield from table.select(["doc_id", "row", "packed", "value", "at"]).filter(pa.array(good)).to_batches()
         held = batch.slice(batch.num_rows - 1)
 
@@ -596,10 +702,14 @@ class _Search:
         self.source = id_and_text(docs).withColumn("row", row_key())
 
     def texts(self, wanted: DataFrame, rows: DataFrame) -> DataFrame:
-        """The text of each document of wanted(doc_id, row, ...), whose row keys are those of rows, once however often listed."""
+        """The text of each document of wanted(doc_id, row, ...), whose row keys are those of rows, once however often listed.
+
+        All is dealt by row alone (the ids are compared, but are no key of the join), so a text is shuffled once.
+        """
         other = wanted.withColumnsRenamed({"doc_id": "w_id", "row": "w_row"})
-        met = perhaps(self.source, F.col("row"), rows).join(other, (F.col("row") == F.col("w_row")) & F.col("doc_id").eqNullSafe(F.col("w_id")))
-        return met.drop("w_id", "w_row")
+        same = F.coalesce(F.col("doc_id") == F.col("w_id"), F.col("doc_id").isNull() & F.col("w_id").isNull())
+        met = perhaps(self.source, F.col("row"), rows).join(other, (F.col("row") == F.col("w_row")) & same)
+        return met.drop("w_id", "w_row").dropDuplicates(["doc_id", "row"])
 
     def stretches(self, pairs: DataFrame, agree: int, label: str) -> DataFrame:
         pairs = pairs.groupBy("row_a", "doc_a", "row_b", "doc_b").agg(F.collect_set(F.struct("at_a", "at_b")).alias("at"))
@@ -608,9 +718,9 @@ class _Search:
     def verified(self, spans: DataFrame, label: str) -> DataFrame:
         # what a text is asked for lies on a grid, so a passage's first document is asked for little, however many repeat it
         sides = [spans.select(F.col(f"doc_{s}").alias("doc_id"), F.col(f"row_{s}").alias("row"), F.col(f"from_{s}").alias("low"), F.col(f"to_{s}").alias("high")) for s in "ab"]
-        wanted = sides[0].union(sides[1]).distinct().groupBy("doc_id", "row").agg(F.collect_list(F.struct("low", "high")).alias("wanted"))
+        wanted = sides[0].union(sides[1]).repartition("row").groupBy("doc_id", "row").agg(F.collect_set(F.struct("low", "high")).alias("wanted"))
         parts = self.texts(wanted, spans.select("row_a").union(spans.select("row_b"))).select("doc_id", "row", "text", "wanted").mapInArrow(_fetched, "doc_id long, row long, low long, high long, part binary")
-        parts = materialize(parts.dropDuplicates(["doc_id", "row", "low", "high"]), label + "-parts")
+        parts = materialize(parts, label + "-parts")
         both = spans
         for s in "ab":
             side = parts.select(F.col("doc_id").alias("p_id"), F.col("row").alias("p_row"), F.col("low").alias("p_low"), F.col("high").alias("p_high"), F.col("part").alias(f"part_{s}"))
@@ -627,7 +737,9 @@ class _Search:
         """(members of runs, stretches of their stars)."""
         least = self.least
         found = self.source.mapInArrow(lambda it: _window_rows(it, least), "value long, doc_id long, row long, packed long")
-        runs = found.repartition("value").withColumn("follow", F.col("packed").bitwiseAND((1 << _HASH) - 1))
+        # most values occur once: those rows go before the sort by all keys, after one by a single number, which is cheap
+        found = found.repartition("value").sortWithinPartitions("value").mapInArrow(_not_alone, "value long, doc_id long, row long, packed long")
+        runs = found.withColumn("follow", F.col("packed").bitwiseAND((1 << _HASH) - 1))
         runs = runs.sortWithinPartitions("value", "follow", F.col("doc_id").asc_nulls_first(), "row", "packed")
         schema = "value long, doc_id long, row long, packed long, other_id long, other_row long, other_packed long, earlier boolean"
         member = materialize(runs.select("follow", *_MEMBER).mapInArrow(_stars, schema), "substring-members")
@@ -637,10 +749,15 @@ class _Search:
         pairs = member.where("other_row is not null").select(*[side(c, first).alias(f"{name}_{'ab'[1 - first]}") for c, name in ((0, "row"), (1, "doc"), (2, "at")) for first in (1, 0)])
         return member, self.stretches(pairs.select(*_JOINED), AGREE, "substring-stretches")
 
-    def thinned(self, large: DataFrame) -> DataFrame:
-        """Windows of runs of many blocks that have enough around them in other texts of their run."""
+    def thinned(self, large: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(windows of runs of many blocks that have enough around them in other texts of their run, a table they are read from)."""
         least, need = self.least, self.need
-        spread = large.select(*_MEMBER, "context").mapInArrow(_spread, "value long, shingle long, doc_id long, row long, packed long, at long")
+        # windows of equal contexts are spread once: all their places are shared, and they need not be counted
+        alike = ["value", "left", "one", "two"]
+        keyed = large.withColumns({"left": F.shiftright("packed", _LEFT).bitwiseAND(_NINE), "one": F.xxhash64("context"), "two": F.xxhash64(F.lit(1), "context")})
+        kinds = keyed.groupBy(*alike).agg(F.count(F.lit(1)).alias("times"), F.first(F.struct("doc_id", "row", "packed", "context")).alias("w"))
+        kinds = materialize(kinds.select(*alike, "times", "w.*"), "substring-kinds")
+        spread = kinds.select(*_MEMBER, "context", (F.col("times") > 1).alias("sure")).mapInArrow(_spread, "value long, shingle long, doc_id long, row long, packed long, at long, sure boolean")
         # held by another window of the run: another text's, or the same text's, whose shingle is there twice
         runs = spread.repartition("value", "shingle").sortWithinPartitions("value", "shingle")
         shared = runs.mapInArrow(_shared, "doc_id long, row long, packed long, value long, at long")
@@ -648,13 +765,15 @@ class _Search:
         kept = places.mapInArrow(lambda it: _enough(it, need, least), "value long, doc_id long, row long, packed long")
         kept = kept.withColumnsRenamed({"value": "k_value", "doc_id": "k_id", "row": "k_row", "packed": "k_packed"})
         same = (F.col("value") == F.col("k_value")) & (F.col("row") == F.col("k_row")) & (F.col("packed") == F.col("k_packed"))
-        return large.join(kept, same & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+        single = kinds.where("times = 1").join(kept, same & F.col("doc_id").eqNullSafe(F.col("k_id")), "left_semi")
+        good = kinds.where("times > 1").select(*alike).union(single.select(*alike))
+        return keyed.join(good, alike, "left_semi").select(*large.columns), kinds
 
     def contexts(self, state: DataFrame) -> DataFrame:
         """state with the shingles that each window reaches: a text moves once, to all of its windows."""
         counts = "open boolean, core long, n long, n_open long"
-        own = state.groupBy("doc_id", "row").agg(F.collect_set(F.struct("value", "packed", "open", "core", "n", "n_open")).alias("windows"))
-        texts = self.texts(own, state.select("row")).dropDuplicates(["doc_id", "row"]).select("doc_id", "row", "text", "windows")
+        own = state.repartition("row").groupBy("doc_id", "row").agg(F.collect_set(F.struct("value", "packed", "open", "core", "n", "n_open")).alias("windows"))
+        texts = self.texts(own, state.select("row")).select("doc_id", "row", "text", "windows")
         return texts.mapInArrow(_contexts, f"value long, doc_id long, row long, packed long, {counts}, context binary")
 
     def blocks(self, state: DataFrame) -> DataFrame:
@@ -662,8 +781,8 @@ class _Search:
         least, need, threshold = self.least, self.need, self.threshold
 
         def compared(windows: DataFrame, label: str) -> DataFrame:
-            blocks = _in_blocks(windows).groupBy("value", "i", "j")
-            pairs = blocks.applyInArrow(lambda t: _block_pairs(t, need, least, threshold), f"{_PAIR}, at_a long, at_b long")
+            blocks = _in_blocks(windows).repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+            pairs = blocks.mapInArrow(lambda it: _blocks(it, need, least, threshold), f"{_PAIR}, at_a long, at_b long")
             return self.stretches(pairs, 1, label)
 
         wide = (F.col("n_open") > BLOCK_A) & (F.col("n") > BLOCK_B)
@@ -671,9 +790,9 @@ class _Search:
         if state.where(wide).isEmpty():
             return small
         large = materialize(self.contexts(state.where(wide)), "substring-contexts")
-        thin = _counted(self.thinned(large).drop("n", "n_open"))
-        large_pairs = compared(thin, "substring-large")
-        discard(large)
+        thin, kinds = self.thinned(large)
+        large_pairs = compared(_counted(thin.drop("n", "n_open")), "substring-large")
+        discard(large, kinds)
         return small.union(large_pairs).distinct()
 
     def run(self) -> DataFrame:
